@@ -13,7 +13,12 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WORD = f"[^{WHITE_SPACE}]+"
+# The same characters as a pattern. The few beyond Latin-1 sit behind one range test, so that an
+# ordinary character is refused after two comparisons.
+SPACE = (
+    r"[\t-\r\x1c-\x20\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]+"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,7 +37,8 @@ def strip(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("int")
+    """Runs of characters other than white space."""
+    return F.size(F.array_remove(F.split(text, SPACE), ""))
 
 
 def lines(text: Column) -> Column:
@@ -81,3 +87,18 @@ def largest_char_share(text: Column) -> Column:
     )
     longest = F.array_max(F.transform(runs, F.length))
     return F.when(F.length(text) > 0, longest / F.length(text)).otherwise(F.lit(1.0))
+
+
+def has_dominant_char(text: Column, share: float) -> Column:
+    """Whether one character makes up at least ``share`` of ``text``; true for an empty text.
+
+    All but ``1 - share`` of the text is then that character, so it must show up in a prefix one
+    longer than that, and only the few characters of the prefix need counting.
+    """
+    n = F.length(text)
+    prefix = F.left(text, F.floor(n * (1 - share)).cast("int") + 2)
+    count = lambda c: n - F.length(F.replace(text, c, F.lit("")))
+    return F.when(
+        n > 0,
+        F.exists(F.array_distinct(F.split(prefix, "")), lambda c: count(c) / n >= share),
+    ).otherwise(F.lit(True))

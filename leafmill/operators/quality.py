@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import html as h
-from leafmill.functions.text import kilobytes, largest_char_share, saved_percent
+from leafmill.functions.text import has_dominant_char, kilobytes, largest_char_share, saved_percent
 
 # Result codes of a check and the share from which a page counts as blank.
 CLEAN, ERROR, WARNING = 0, 2, 3
@@ -72,14 +72,18 @@ def blank_page_check(doc_pages: DataFrame, threshold: float = BLANK_SHARE) -> Da
     )
 
 
-def _closed(html: Column, balance: Column) -> Column:
-    """Append what a cut-off page lacks at its end; nothing else is made up."""
+def _cut_in(html: Column) -> Column:
+    """Opening of the script, style or comment in which the page ends; empty when in none."""
     rest = F.regexp_replace(
         html,
         r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->",
         "",
     )
-    cut_in = F.lower(F.regexp_extract(rest, r"(?i)(<!--|<script\b|<style\b)", 1))
+    return F.lower(F.regexp_extract(rest, r"(?i)(<!--|<script\b|<style\b)", 1))
+
+
+def _closed(html: Column, balance: Column, cut_in: Column) -> Column:
+    """Append what a cut-off page lacks at its end; nothing else is made up."""
     end_of_block = (
         F.when(cut_in == "<!--", F.lit("-->"))
         .when(cut_in == "<script", F.lit("</script>"))
@@ -87,7 +91,7 @@ def _closed(html: Column, balance: Column) -> Column:
         .otherwise(F.lit(""))
     )
     whole_tags = F.when(
-        cut_in == "", F.regexp_replace(html, r"<[a-zA-Z/!][^<>]*\z", "")
+        cut_in == "", F.regexp_replace(html, r"<[a-zA-Z/!][^<>]*+\z", "")
     ).otherwise(html)
     missing = [
         F.repeat(F.lit(f"</{tag}>"), F.greatest(_open(balance, tag), F.lit(0)))
@@ -105,25 +109,26 @@ def repair_pages(page_table: DataFrame) -> DataFrame:
     checked = page_table.select(
         "page_id", "html", h.tag_balance(F.col("html"), tags).alias("_before")
     ).withColumn("code_before", _code(F.col("_before"), ERROR_TAGS))
-    repaired = checked.select(
+    faulty = F.col("code_before") != CLEAN
+    repaired = checked.withColumn("_cut_in", F.when(faulty, _cut_in(F.col("html")))).select(
         "page_id",
         "code_before",
         "html",
-        F.when(F.col("code_before") != CLEAN, _closed(F.col("html"), F.col("_before")))
+        F.when(faulty, _closed(F.col("html"), F.col("_before"), F.col("_cut_in")))
         .otherwise(F.col("html"))
         .alias("_after"),
     ).withColumn("repaired", F.col("_after") != F.col("html"))
     again = repaired.withColumn(
         "_again", F.when(F.col("repaired"), h.tag_balance(F.col("_after"), tags))
     )
-    return again.select(
+    return again.withColumn("_text", h.visible_text(F.col("_after"))).select(
         "page_id",
         "code_before",
         F.when(F.col("repaired"), _code(F.col("_again"), ERROR_TAGS))
         .otherwise(F.col("code_before"))
         .alias("code_after"),
         "repaired",
-        (largest_char_share(h.visible_text(F.col("_after"))) >= BLANK_SHARE).alias("blank_after"),
+        has_dominant_char(F.col("_text"), BLANK_SHARE).alias("blank_after"),
         F.col("_after").alias("html"),
     )
 

@@ -116,8 +116,8 @@ def _write_derived(spark: SparkSession, folder: str) -> DataFrame:
 
 def _export_tables_csv(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_path(spark, "tables")
-    sinks.export_tables_csv(extract.table_rows(tables.documents(spark, folder)), out, "folders")
-    return spark.read.schema("value string, doc_id bigint, name string").text(out)
+    sinks.export_tables_csv(extract.table_rows(tables.documents(spark, folder)), out)
+    return spark.read.text(out)
 
 
 def _export_links_txt(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,7 +69,7 @@ def _write_lines(df: DataFrame, out: str, layout: str, folders: list[str], order
         raise ValueError("layout is 'sorted' or 'folders'")
 
 
-def export_tables_csv(rows: DataFrame, out: str, layout: str = "folders") -> None:
+def export_tables_csv(rows: DataFrame, out: str, layout: str = "sorted") -> None:
     """CSV of every table from ``table_rows``.
 
     ``folders`` gives ``doc_id=../name=table_NN_page_NN.csv``; ``sorted`` puts document, table,
