@@ -12,7 +12,9 @@ from leafmill.operators.select import page_totals
 from leafmill.plans.scale import page_block, running_totals, spread_join
 
 
-def merge_documents(doc_pages: DataFrame, manifest: DataFrame) -> DataFrame:
+def merge_documents(
+    doc_pages: DataFrame, manifest: DataFrame, totals: DataFrame | None = None
+) -> DataFrame:
     """Concatenate documents: ``manifest`` is ``out_id, seq, doc_id``.
 
     Inputs follow ``seq``; a repeated input counts once, at its first place; an output with a
@@ -20,7 +22,7 @@ def merge_documents(doc_pages: DataFrame, manifest: DataFrame) -> DataFrame:
     meet their offset in one join, whose key is a block of pages of one document.
     """
     inputs = manifest.groupBy("out_id", "doc_id").agg(F.min("seq").alias("seq"))
-    sized = spread_join(inputs, page_totals(doc_pages), ["doc_id"], ["out_id"])
+    sized = spread_join(inputs, page_totals(doc_pages) if totals is None else totals, ["doc_id"], ["out_id"])
     placed = (
         running_totals(sized, "out_id", ["seq", "doc_id"], "total")
         .filter(F.col("_group_size") >= 2)

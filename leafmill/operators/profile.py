@@ -71,13 +71,14 @@ def resource_catalog(page_table: DataFrame) -> DataFrame:
     """Distinct element names of each site, one row per name, with their number per site.
 
     The names of a site are never gathered into one list, so a site with any number of them is
-    only rows. Names are made distinct per page before the shuffle.
+    only rows. Names are made distinct per page before the shuffle, and one shuffle of them
+    serves the totals as well: the totals read ``n_pages`` to need the same columns.
     """
     used = with_host(page_table).select(
         "host", F.explode(h.element_names(h.markup_only(F.col("html")))).alias("resource")
     )
     names = used.groupBy("host", "resource").agg(F.count(F.lit(1)).alias("n_pages"))
-    totals = names.groupBy("host").agg(F.count(F.lit(1)).alias("n_resources"))
-    return spread_join(names, totals, ["host"], ["resource"]).select(
+    totals = names.groupBy("host").agg(F.count_if(F.col("n_pages") > 0).alias("n_resources"))
+    return spread_join(names, totals, ["host"], ["resource"], rows="n_resources").select(
         "host", "resource", "n_pages", "n_resources"
     )

@@ -29,14 +29,15 @@ def redact_page_counts(doc_pages: DataFrame, terms: str | list[str]) -> DataFram
     """Matches per page over all terms, with the total of the document.
 
     Pages are placed once by document and block; their counts are added up per block, and the
-    few block totals per document. No task holds all pages of a document.
+    few block totals per document. No task holds all pages of a document, and the text is
+    searched once: both uses read the same shuffle.
     """
     matches = sum((count_term(F.col("text"), t) for t in parse_terms(terms)), F.lit(0))
+    found = F.filter(F.array(F.struct(matches.alias("matches"))), lambda c: c["matches"] > 0)
     hits = (
-        doc_pages.select("doc_id", "page_no", matches.alias("matches"))
-        .filter(F.col("matches") > 0)
+        doc_pages.select("doc_id", "page_no", F.inline(found))
+        .repartition(F.col("doc_id"), page_block(F.col("page_no")))
         .withColumn("_block", page_block(F.col("page_no")))
-        .repartition("doc_id", "_block")
     )
     blocks = hits.groupBy("doc_id", "_block").agg(F.sum("matches").alias("_in_block"))
     totals = blocks.select(

@@ -4,6 +4,9 @@ Page tables are ``doc_id, page_no, text`` with pages numbered 1..total without g
 are ``doc_id, spec`` with one row per document. The parsed expression travels to the pages as one
 row per document; which pages it covers and their new numbers follow from the ranges alone, so
 there is no row per selected page, no window and no second join.
+
+Page totals (``doc_id, total``) are counted from the page table unless they are given; whoever
+made the pages from documents knows them without a shuffle.
 """
 
 from __future__ import annotations
@@ -78,14 +81,16 @@ def parse_page_ranges(specs: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def split_by_ranges(doc_pages: DataFrame, specs: DataFrame) -> DataFrame:
+def split_by_ranges(
+    doc_pages: DataFrame, specs: DataFrame, totals: DataFrame | None = None
+) -> DataFrame:
     """One output document per distinct range; a page may go to several of them.
 
     Invalid expressions give no output.
     """
     page = F.col("page_no")
     plan = (
-        _parsed(specs, page_totals(doc_pages), "inner")
+        _parsed(specs, page_totals(doc_pages) if totals is None else totals, "inner")
         .filter(F.col("each") | F.col("ranges").isNotNull())
         .select("doc_id", "total", "each", F.array_distinct("ranges").alias("ranges"))
     )
@@ -111,11 +116,13 @@ def split_by_ranges(doc_pages: DataFrame, specs: DataFrame) -> DataFrame:
     )
 
 
-def _choose(doc_pages: DataFrame, specs: DataFrame, drop: bool) -> DataFrame:
+def _choose(
+    doc_pages: DataFrame, specs: DataFrame, totals: DataFrame | None, drop: bool
+) -> DataFrame:
     page, total = F.col("page_no"), F.col("total")
     whole = F.array(F.struct(F.lit(1).alias("a"), total.alias("b"))).cast(RANGES_TYPE)
     plan = (
-        _parsed(specs, page_totals(doc_pages), "inner")
+        _parsed(specs, page_totals(doc_pages) if totals is None else totals, "inner")
         .withColumn("picks", F.when(F.col("each"), whole).otherwise(merged_ranges(F.col("ranges"))))
         .withColumn("_picked", covered_up_to(F.col("picks"), total))
     )
@@ -146,11 +153,15 @@ def _choose(doc_pages: DataFrame, specs: DataFrame, drop: bool) -> DataFrame:
     )
 
 
-def extract_pages(doc_pages: DataFrame, specs: DataFrame) -> DataFrame:
+def extract_pages(
+    doc_pages: DataFrame, specs: DataFrame, totals: DataFrame | None = None
+) -> DataFrame:
     """The chosen pages of each document, ascending, each once, renumbered."""
-    return _choose(doc_pages, specs, drop=False)
+    return _choose(doc_pages, specs, totals, drop=False)
 
 
-def delete_pages(doc_pages: DataFrame, specs: DataFrame) -> DataFrame:
+def delete_pages(
+    doc_pages: DataFrame, specs: DataFrame, totals: DataFrame | None = None
+) -> DataFrame:
     """All other pages, renumbered; refused when none would be left."""
-    return _choose(doc_pages, specs, drop=True)
+    return _choose(doc_pages, specs, totals, drop=True)

@@ -61,22 +61,22 @@ def _on_pages(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: operator(tables.pages(spark, folder))
 
 
-def _with_specs(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+def _with_specs(operator: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         docs = tables.documents(spark, folder)
-        return operator(tables.paginate(docs), _specs(docs))
+        return operator(tables.paginate(docs), _specs(docs), tables.page_totals_of(docs))
 
     return run
 
 
 def _parse_page_ranges(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.documents(spark, folder)
-    return select.parse_page_ranges(_specs(docs), select.page_totals(tables.paginate(docs)))
+    return select.parse_page_ranges(_specs(docs), tables.page_totals_of(docs))
 
 
 def _merge_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.documents(spark, folder)
-    return merge.merge_documents(tables.paginate(docs), _manifest(docs))
+    return merge.merge_documents(tables.paginate(docs), _manifest(docs), tables.page_totals_of(docs))
 
 
 def _protect_columns(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 
 from leafmill.session import durable
 
-PAGES_PER_BLOCK = 65536
+BLOCK_BITS = 16
+PAGES_PER_BLOCK = 1 << BLOCK_BITS
 HEAVY_KEYS = 1000
 SLICES = 64
+HEAVY_ROWS = 4096
 
 
 def page_block(page_no: Column) -> Column:
-    """Block of a page number; with the document it makes a join key of bounded size."""
-    return F.floor((page_no - 1) / F.lit(PAGES_PER_BLOCK)).cast("int")
+    """Block of a page number; with the document it makes a join key of bounded size.
+
+    Never NULL, so that no filter is inferred for one use of a shared shuffle and not the other.
+    """
+    return F.coalesce(F.shiftright(page_no - 1, BLOCK_BITS), F.lit(0))
 
 
 def block_join(pages: DataFrame, per_doc: DataFrame, doc: str, total: str) -> DataFrame:
@@ -38,35 +43,38 @@ def block_join(pages: DataFrame, per_doc: DataFrame, doc: str, total: str) -> Da
 
 
 def spread_join(
-    many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str], how: str = "inner"
+    many: DataFrame,
+    few: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    rows: str | None = None,
 ) -> DataFrame:
-    """Join where a few keys may own much of ``many``.
+    """Inner join where a few keys may own much of ``many``.
 
-    The heaviest keys of ``many`` are found with a pre-aggregated count. There are at most
-    ``HEAVY_KEYS`` of them, which bounds the broadcast, and every other key owns less than one
-    part in ``HEAVY_KEYS`` of the rows. Rows of heavy keys are cut into slices and the matching
-    rows of ``few`` are repeated per slice; all other rows join as usual.
+    The heaviest keys of ``many`` come from a pre-aggregated count, or from the column ``rows``
+    of ``few`` when that already holds it. There are at most ``HEAVY_KEYS`` of them, which bounds
+    the broadcast, and every other key owns less than one part in ``HEAVY_KEYS`` of the rows.
+    Rows of heavy keys are cut into slices and the matching rows of ``few`` are repeated per
+    slice; all other rows join as usual.
     """
-    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    if rows is None:
+        counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        counts = few.select(*on, F.col(rows).alias("_rows"))
     heavy = (
         counts.orderBy(F.desc("_rows"))
         .limit(HEAVY_KEYS)
-        .filter(F.col("_rows") > SLICES * SLICES)
+        .filter(F.col("_rows") > HEAVY_ROWS)
         .select(*on, F.lit(True).alias("_heavy"))
     )
+    is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
+    slice_no = F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)).cast("int")
     sliced = many.join(F.broadcast(heavy), on, "left").withColumn(
-        "_slice",
-        F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)).cast("int")).otherwise(0),
-    )
-    repeated = few.join(F.broadcast(heavy), on, "left").withColumn(
-        "_slice",
-        F.explode(
-            F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
+        "_slice", F.when(is_heavy, slice_no).otherwise(0)
     )
-    return sliced.drop("_heavy").join(repeated.drop("_heavy"), [*on, "_slice"], how).drop("_slice")
+    slices = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    repeated = few.join(F.broadcast(heavy), on, "left").withColumn("_slice", F.explode(slices))
+    return sliced.drop("_heavy").join(repeated.drop("_heavy"), [*on, "_slice"]).drop("_slice")
 
 
 def running_totals(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import pages_of
+from leafmill.functions.text import line_count, pages_of
 from leafmill.functions.urls import host_of
 from leafmill.plans.scale import running_totals
 
@@ -34,6 +34,12 @@ def paginate(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame
     ).select("doc_id", (F.col("_at") + 1).alias("page_no"), "text")
 
 
+def page_totals_of(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
+    """``doc_id, total`` of the pages ``paginate`` makes, without making them."""
+    pages_made = F.ceil(line_count(F.col("text")) / F.lit(lines_per_page)).cast("int")
+    return docs.select("doc_id", pages_made.alias("total"))
+
+
 def doc_pages(spark: SparkSession, folder: str, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     return paginate(documents(spark, folder), lines_per_page)
 
