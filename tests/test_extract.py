@@ -1,0 +1,64 @@
+from leafmill.operators.extract import detect_tables, extract_assets, extract_links, link_totals, page_links, table_cells
+
+SITE = "http://s.example.com"
+
+
+def web(spark, htmls, urls=None):
+    rows = [(i, (urls or {}).get(i, f"{SITE}/p{i}"), h) for i, h in htmls.items()]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def test_links(spark):
+    pages = web(
+        spark,
+        {
+            10: '<a href="/x">1</a> <a class=c href=\'http://o.example.org/?a&amp;b\'>2</a><a href="/x">3</a>',
+            20: '<a href="">e</a><a href=#t>t</a><a name="n">n</a><script>"<a href=\'/no\'>"</script>'
+            "<!-- <a href='/no'> --><A\nHREF = up.html>u</A><area href='/no'>",
+        },
+    )
+    rows = extract_links(pages, ("internal", "external", "anchor")).collect()
+    got = [(r["page_no"], r["ord"], r["uri"], r["kind"]) for r in sorted(rows, key=lambda r: (r["page_no"], r["ord"]))]
+    assert got == [
+        (1, 1, f"{SITE}/x", "internal"),
+        (1, 2, "http://o.example.org/?a&b", "external"),
+        (1, 3, f"{SITE}/x", "internal"),
+        (2, 2, f"{SITE}/p20#t", "anchor"),
+        (2, 3, f"{SITE}/up.html", "internal"),
+    ]
+    external = page_links(pages)
+    assert [r["kind"] for r in external.collect()] == ["external"]
+    totals = link_totals(page_links(pages, ("internal", "external"))).collect()
+    assert [tuple(r) for r in totals] == [("s.example.com", 4, 3)]
+
+
+def test_assets_first_sight(spark):
+    pages = web(
+        spark,
+        {
+            1: '<img src="/a.png"><img src=""><img src="/a.png"><img src="/b.png">',
+            2: '<img src="/b.png"><img alt="x" src="/c.png">',
+            3: '<img src="/a.png">',
+        },
+        {3: "http://other.example.com/"},
+    )
+    got = {tuple(r) for r in extract_assets(pages).collect()}
+    assert got == {
+        ("s.example.com", f"{SITE}/a.png", 1, 1, "page001_img01"),
+        ("s.example.com", f"{SITE}/b.png", 1, 4, "page001_img04"),
+        ("s.example.com", f"{SITE}/c.png", 2, 2, "page002_img02"),
+        ("other.example.com", "http://other.example.com/a.png", 1, 1, "page001_img01"),
+    }
+
+
+def test_tables(spark):
+    text = "intro\na | b\nc | d | e\nmid\nx\ny\nz | 1\n | \nend"
+    df = spark.createDataFrame(
+        [(1, text), (2, "none"), (3, "p | q"), (4, "")], "doc_id bigint, text string"
+    )
+    got = sorted(map(tuple, detect_tables(df).collect()))
+    assert got == [(1, 1, 1, 2, 2, 3), (1, 2, 2, 7, 2, 2), (3, 1, 1, 1, 1, 2)]
+    cells = {tuple(r)[:4]: r["value"] for r in table_cells(df).collect()}
+    assert len(cells) == 6 + 4 + 2
+    assert [cells[(1, 1, 1, c)] for c in (1, 2, 3)] == ["a", "b", ""]
+    assert [cells[(1, 2, 2, c)] for c in (1, 2)] == ["", ""]
