@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import html as h
 from leafmill.functions.text import strip
-from leafmill.sources.tables import page_numbers, with_host
+from leafmill.sources.tables import with_host, with_page_no
 
 PAGES_PER_PART = 64
 
@@ -20,11 +20,12 @@ def html_to_markdown(page_table: DataFrame) -> DataFrame:
     return page_table.select("page_id", h.markdown(F.col("html")).alias("markdown"))
 
 
-def page_texts(page_table: DataFrame) -> DataFrame:
+def page_texts(page_table: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """``host, page_no, text`` of every page; text, not markup, goes through the join."""
-    return html_to_text(page_table).join(page_numbers(page_table), "page_id").select(
-        "host", "page_no", "text"
+    texts = with_host(page_table).select(
+        "page_id", "host", h.visible_text(F.col("html")).alias("text")
     )
+    return with_page_no(texts, page_table, numbers).select("host", "page_no", "text")
 
 
 def assemble_document(texts: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.html import attribute_values, without_hidden
 from leafmill.functions.text import let, lines
 from leafmill.functions.urls import link_kind, resolve
-from leafmill.sources.tables import LINES_PER_PAGE, page_numbers, with_host
+from leafmill.sources.tables import LINES_PER_PAGE, with_host, with_page_no
 
 LINK_KINDS = ("external",)
 
@@ -37,15 +37,17 @@ def page_links(page_table: DataFrame, kinds: tuple[str, ...] = LINK_KINDS) -> Da
     )
 
 
-def extract_links(page_table: DataFrame, kinds: tuple[str, ...] = LINK_KINDS) -> DataFrame:
+def extract_links(
+    page_table: DataFrame,
+    kinds: tuple[str, ...] = LINK_KINDS,
+    numbers: DataFrame | None = None,
+) -> DataFrame:
     """Links of each site with the page they stand on.
 
     Extraction is narrow; only the links, not the pages, meet the page numbers.
     """
-    return (
-        page_links(page_table, kinds)
-        .join(page_numbers(page_table).select("page_id", "page_no"), "page_id")
-        .select("page_id", "host", "page_no", "ord", "href", "uri", "kind")
+    return with_page_no(page_links(page_table, kinds), page_table, numbers).select(
+        "page_id", "host", "page_no", "ord", "href", "uri", "kind"
     )
 
 
@@ -56,25 +58,38 @@ def link_totals(links: DataFrame) -> DataFrame:
     )
 
 
-def extract_assets(page_table: DataFrame, tag: str = "img", attribute: str = "src") -> DataFrame:
+def extract_assets(
+    page_table: DataFrame,
+    tag: str = "img",
+    attribute: str = "src",
+    numbers: DataFrame | None = None,
+) -> DataFrame:
     """Each asset once per site, named after the page and position where it is seen first.
 
     The first sight on a page is found inside the row; over pages it is a minimum, which is
     combined before the shuffle however often an asset occurs.
     """
-    first_on_page = (
-        _references(page_table, tag, attribute)
-        .select("host", resolve(F.col("url"), F.col("href")).alias("asset"), "page_id", "ord")
+    values = attribute_values(without_hidden(F.col("html")), tag, attribute)
+    uris = F.transform(values, lambda v: F.when(v != "", resolve(F.col("url"), v)))
+    first_on_page = let(
+        uris,
+        lambda all_uris: F.transform(
+            F.filter(F.array_distinct(all_uris), lambda u: u.isNotNull()),
+            lambda u: F.struct(
+                u.alias("asset"), F.array_position(all_uris, u).cast("int").alias("ord")
+            ),
+        ),
     )
-    first = first_on_page.groupBy("host", "asset", "page_id").agg(F.min("ord").alias("ord"))
-    seen = first.groupBy("host", "asset").agg(
-        F.min("page_id").alias("page_id"), F.min_by("ord", "page_id").alias("ord")
+    seen = (
+        with_host(page_table)
+        .select("host", "page_id", F.inline(first_on_page))
+        .groupBy("host", "asset")
+        .agg(F.min("page_id").alias("page_id"), F.min_by("ord", "page_id").alias("ord"))
     )
     # Fixed value: the name pattern of extracted assets.
     name = F.format_string("page%03d_img%02d", "page_no", "ord")
-    return (
-        seen.join(page_numbers(page_table).select("page_id", "page_no"), "page_id")
-        .select("host", "asset", "page_no", "ord", name.alias("name"))
+    return with_page_no(seen, page_table, numbers).select(
+        "host", "asset", "page_no", "ord", name.alias("name")
     )
 
 

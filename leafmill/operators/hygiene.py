@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import html as h
 from leafmill.functions.text import strip
 from leafmill.functions.urls import SCHEME
-from leafmill.sources.tables import page_numbers, with_host
+from leafmill.sources.tables import with_host, with_page_no
 
 SHOWN_CHARACTERS = 80
 SHOWN_FINDINGS = 10
@@ -162,13 +162,13 @@ def page_findings(page_table: DataFrame) -> DataFrame:
     )
 
 
-def scan_active_content(page_table: DataFrame) -> DataFrame:
+def scan_active_content(page_table: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """One row per finding with its page and place within page and category."""
-    return (
-        page_findings(page_table)
-        .select("page_id", "host", "category", F.posexplode("items").alias("_at", "item"))
-        .join(page_numbers(page_table).select("page_id", "page_no"), "page_id")
-        .select("page_id", "host", "page_no", "category", (F.col("_at") + 1).alias("ord"), "item")
+    items = page_findings(page_table).select(
+        "page_id", "host", "category", F.posexplode("items").alias("_at", "item")
+    )
+    return with_page_no(items, page_table, numbers).select(
+        "page_id", "host", "page_no", "category", (F.col("_at") + 1).alias("ord"), "item"
     )
 
 

@@ -60,8 +60,22 @@ def page_numbers(page_table: DataFrame) -> DataFrame:
     )
 
 
-def site_pages(page_table: DataFrame) -> DataFrame:
+def with_page_no(
+    rows: DataFrame, page_table: DataFrame, numbers: DataFrame | None = None
+) -> DataFrame:
+    """``rows`` with the ``page_no`` of their ``page_id``.
+
+    ``numbers`` is the result of ``page_numbers`` where it is at hand; several operators over the
+    same pages then rank them once.
+    """
+    if numbers is None:
+        numbers = page_numbers(page_table)
+    return rows.join(numbers.select("page_id", "page_no"), "page_id")
+
+
+def site_pages(page_table: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """``host, page_no, page_id, html``."""
-    return page_table.select("page_id", "html").join(page_numbers(page_table), "page_id").select(
+    rows = with_host(page_table).select("host", "page_id", "html")
+    return with_page_no(rows, page_table, numbers).select(
         "host", "page_no", "page_id", "html"
     )

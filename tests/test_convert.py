@@ -1,0 +1,101 @@
+from leafmill.operators.convert import assemble_document, empty_page_report, html_to_markdown, html_to_text, page_texts
+from leafmill.operators.profile import corpus_profile, doc_profile, page_profile, resource_catalog
+from leafmill.sources import tables
+
+
+def web(spark, htmls, url="http://s.example.com/x"):
+    return spark.createDataFrame(
+        [(i, url, h) for i, h in htmls.items()], "page_id bigint, url string, html string"
+    )
+
+
+def test_text(spark):
+    pages = web(
+        spark,
+        {
+            1: '<style>p{}</style><script>"</p>"</script><h1>T</h1><p>a &amp;lt; b<br>c</p><!-- x --><ul><li>i</li></ul>',
+            2: "open <script>to the end <p>",
+            3: "",
+        },
+    )
+    got = {r["page_id"]: r["text"] for r in html_to_text(pages).collect()}
+    assert got == {1: "  T\na &lt; b\nc\n i\n", 2: "open  ", 3: ""}
+
+
+def test_markdown(spark):
+    pages = web(
+        spark,
+        {1: '<title>no</title><h2>Two</h2><p>a <b>bold</b> <strong>s</strong> <a class=x href="/u">link</a><br>n</p><li>item</li>'},
+    )
+    assert html_to_markdown(pages).first()["markdown"] == (
+        "\n## Two\na **bold** **s** [link](/u)\nn\n\n- item"
+    )
+
+
+def test_assemble_in_parts(spark, many_partitions):
+    pages = web(spark, {i: f"<p>{i}</p>" for i in range(1, 12)})
+    rows = sorted(assemble_document(page_texts(pages), 4).collect(), key=lambda r: r["part"])
+    assert [(r["part"], r["n_pages"]) for r in rows] == [(1, 4), (2, 4), (3, 3)]
+    assert "\n\n".join(r["text"] for r in rows) == "\n\n".join(f"{i}\n" for i in range(1, 12))
+
+
+def test_empty_pages(spark):
+    pages = web(spark, {1: "<p> \n </p>", 2: "<p>x</p>", 3: "<script>x</script>"})
+    assert tuple(empty_page_report(pages).first()) == ("s.example.com", 2, 3)
+
+
+def test_words_follow_unicode_space(spark):
+    texts = ["", " ", "a", " a  b\n", "a b c　d\x1ce\x85f", "á é", "a​b", "x y﻿z"]
+    docs = spark.createDataFrame(
+        [(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string"
+    )
+    got = {r["doc_id"]: r for r in doc_profile(docs).collect()}
+    assert [got[i]["words"] for i in range(len(texts))] == [len(t.split()) for t in texts]
+    assert [got[i]["paragraphs"] for i in range(len(texts))] == [t.count("\n") + 1 for t in texts]
+    assert [got[i]["bytes"] for i in range(len(texts))] == [len(t.encode()) for t in texts]
+    total = corpus_profile(docs).filter("gid = 3").first()
+    assert (total["docs"], total["blank_docs"]) == (len(texts), 2)
+    assert total["words"] == sum(len(t.split()) for t in texts)
+
+
+def test_null_text_is_empty(spark):
+    docs = spark.createDataFrame([(1, None, "l", "s")], "doc_id bigint, text string, lang string, source string")
+    assert tuple(doc_profile(docs).first()) == (1, 0, 1, 0, 0.0)
+    assert [tuple(r) for r in tables.paginate(docs).collect()] == [(1, 1, "")]
+    assert corpus_profile(docs).filter("gid = 0").first()["blank_docs"] == 1
+
+
+def test_paginate(spark):
+    texts = {1: "a\nb\nc\nd\ne", 2: "a\n\nc", 3: "a\nb\n", 4: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    pages = {}
+    for r in tables.paginate(docs, 2).collect():
+        pages.setdefault(r["doc_id"], {})[r["page_no"]] = r["text"]
+    assert pages == {1: {1: "a\nb", 2: "c\nd", 3: "e"}, 2: {1: "a\n", 2: "c"}, 3: {1: "a\nb", 2: ""}, 4: {1: ""}}
+    totals = {r["doc_id"]: r["total"] for r in tables.page_totals_of(docs, 2).collect()}
+    assert totals == {d: len(p) for d, p in pages.items()}
+
+
+def test_page_profile(spark):
+    pages = web(spark, {1: "<TITLE> a&amp;b </TITLE><img><IMG src=x><object></object><!-- <img> --><script>'<img>'</script>", 2: "x"})
+    rows = {r["page_id"]: r for r in page_profile(pages).collect()}
+    one = rows[1].asDict()
+    assert (one["title"], one["has_javascript"], one["n_attachments"], one["n_images"], one["n_resources"]) == (
+        "a&b", True, 1, 2, 4,
+    )
+    assert rows[2]["title"] is None and not rows[2]["has_javascript"]
+
+
+def test_resource_catalog(spark, eager_salting):
+    pages = web(spark, {1: "<p><B><p>", 2: "<p><i>"})
+    got = {tuple(r) for r in resource_catalog(pages).collect()}
+    assert got == {("s.example.com", "p", 2, 3), ("s.example.com", "b", 1, 3), ("s.example.com", "i", 1, 3)}
+
+
+def test_site_pages(spark, many_partitions):
+    pages = web(spark, {i: f"h{i}" for i in (9, 3, 40)}).unionByName(web(spark, {5: "o"}, "http://o.example.com"))
+    got = {tuple(r) for r in tables.site_pages(pages).collect()}
+    assert got == {
+        ("s.example.com", 1, 3, "h3"), ("s.example.com", 2, 9, "h9"),
+        ("s.example.com", 3, 40, "h40"), ("o.example.com", 1, 5, "o"),
+    }

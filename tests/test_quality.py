@@ -1,0 +1,91 @@
+from collections import Counter
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from leafmill.functions.text import has_dominant_char
+from leafmill.operators.quality import (
+    blank_page_check,
+    repair_pages,
+    size_report,
+    size_totals,
+    structure_check,
+    structure_summary,
+)
+
+PAGES = {
+    1: "<html><body><p class=x>ok</p><br></body></html>",
+    2: "<html><body><p>open</body></html>",
+    3: "<html><body><p>cut</p><a hre",
+    4: '<html><body><script>"</p></html>"</script><pre>x</pre></body></html>',
+    5: "<html><body></b></html>",
+    6: "<html><body><p>x</p><!-- cut in a comment",
+    7: "<html><body><script>cut in a script",
+    8: "<html><body>",
+    9: "no markup",
+}
+
+
+def web(spark, htmls):
+    return spark.createDataFrame(
+        [(i, "http://s.example.com", h) for i, h in htmls.items()], "page_id bigint, url string, html string"
+    )
+
+
+def test_structure(spark):
+    checks = structure_check(web(spark, PAGES))
+    got = {r["page_id"]: (r["code"], r["issues"]) for r in checks.collect()}
+    assert got[1] == (0, "") and got[4] == (0, "") and got[9] == (0, "")
+    assert got[2] == (3, "p: 1 not closed")
+    assert got[3][0] == 2 and got[3][1].startswith("html: 1 not closed; body: 1 not closed")
+    assert got[5] == (2, "body: 1 not closed; b: 1 not opened")
+    summary = {r["code"]: r["pages"] for r in structure_summary(checks).collect()}
+    assert summary == dict(Counter(c for c, _ in got.values()))
+
+
+def test_repair(spark):
+    rows = {r["page_id"]: r for r in repair_pages(web(spark, PAGES)).collect()}
+    assert all(r["code_after"] != 2 for r in rows.values())
+    assert {p for p, r in rows.items() if r["repaired"]} == {3, 5, 6, 7, 8}
+    assert rows[3]["html"] == "<html><body><p>cut</p></body></html>"
+    assert rows[6]["html"].endswith("comment--></body></html>")
+    assert rows[7]["html"].endswith("script</script></body></html>")
+    assert {p for p, r in rows.items() if r["blank_after"]} >= {8}
+    assert not rows[9]["repaired"] and rows[9]["html"] == PAGES[9]
+    fixed = {p: r["html"] for p, r in rows.items()}
+    again = {r["page_id"]: r["code"] for r in structure_check(web(spark, fixed)).collect()}
+    assert again == {p: r["code_after"] for p, r in rows.items()}
+
+
+def share(text):
+    return max(Counter(text).values()) / len(text) if text else 1.0
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="ab \né😀", max_size=20), min_size=40, max_size=80))
+def test_blank_share(spark, texts):
+    df = spark.createDataFrame(
+        [(1, i, t) for i, t in enumerate(texts)], "doc_id bigint, page_no int, text string"
+    )
+    for r in blank_page_check(df, 0.5).collect():
+        want = share(texts[r["page_no"]])
+        assert r["share"] == want and r["blank"] == (want >= 0.5)
+    for limit in (0.3, 0.75, 0.9995):
+        rows = df.select("page_no", has_dominant_char(F.col("text"), limit).alias("x")).collect()
+        assert {r["page_no"]: r["x"] for r in rows} == {i: share(t) >= limit for i, t in enumerate(texts)}
+
+
+def test_blank_default(spark):
+    texts = ["", "x" * 50, "x" * 1999 + "y", "x" * 1998 + "yz", None]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id bigint, page_no int, text string")
+    got = {r["page_no"]: r["blank"] for r in blank_page_check(df).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True}
+
+
+def test_size_report(spark):
+    before = spark.createDataFrame([(1, "x" * 2048), (2, "")], "k bigint, t string")
+    after = spark.createDataFrame([(1, "é" * 512), (2, "")], "k bigint, t string")
+    report = size_report(before, after, "k", "t")
+    assert sorted(map(tuple, report.collect())) == [(1, 2.0, 1.0, 50.0), (2, 0.0, 0.0, 0.0)]
+    assert tuple(size_totals(report).first()) == (2.0, 1.0, 50.0)
