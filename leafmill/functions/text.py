@@ -13,12 +13,11 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same characters as a pattern. The few beyond Latin-1 sit behind one range test, so that an
-# ordinary character is refused after two comparisons.
-SPACE = (
-    r"[\t-\r\x1c-\x20\x85\xa0"
-    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]+"
-)
+# The same characters as patterns, all of them and those other than blank and newline. The few
+# beyond Latin-1 sit behind one range test, so an ordinary character is refused quickly.
+WIDE_SPACE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+SPACE = rf"[\t-\r\x1c-\x20\x85\xa0{WIDE_SPACE}]+"
+RARE_SPACE = rf"[\t\x0b-\r\x1c-\x1f\x85\xa0{WIDE_SPACE}]"
 
 
 # Characters of a text among which its frequent ones are looked for first.
@@ -41,8 +40,14 @@ def strip(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Runs of characters other than white space."""
-    return F.size(F.array_remove(F.split(text, SPACE), ""))
+    """Runs of characters other than white space.
+
+    Most text has only blanks and newlines, which a plain split handles without the pattern.
+    """
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(
+        text.rlike(RARE_SPACE), F.size(F.array_remove(F.split(text, SPACE), ""))
+    ).otherwise(F.size(F.array_remove(F.split(plain, " "), "")))
 
 
 def lines(text: Column) -> Column:
@@ -52,7 +57,8 @@ def lines(text: Column) -> Column:
 def line_count(text: Column) -> Column:
     """Lines of a text; an empty text is one empty line."""
     text = F.coalesce(text, F.lit(""))
-    return (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("int")
+    rest = F.replace(text, F.lit("\n"), F.lit(""))
+    return F.octet_length(text) - F.octet_length(rest) + 1
 
 
 def kilobytes(size: Column) -> Column:

@@ -76,8 +76,11 @@ def scan_metadata(page_table: DataFrame) -> DataFrame:
     )
 
 
-def strip_metadata(page_table: DataFrame) -> DataFrame:
-    """Pages without title, meta tags and language; scripts and comments are left alone."""
+def strip_metadata(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages without title, meta tags and language; scripts and comments are left alone.
+
+    ``keep`` names further columns to carry along, here and below.
+    """
     clean = F.regexp_replace(
         "html",
         rf"(?is)({h.SCRIPT}|{h.STYLE}|{h.COMMENT})"
@@ -87,8 +90,11 @@ def strip_metadata(page_table: DataFrame) -> DataFrame:
     clean = F.regexp_replace(
         clean, r"""(?is)(<html\b[^>]*?)\s+lang\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "$1"
     )
-    return page_table.select("page_id", "html", clean.alias("_clean")).select(
-        "page_id", (F.col("_clean") != F.col("html")).alias("changed"), F.col("_clean").alias("html")
+    return page_table.select("page_id", *keep, "html", clean.alias("_clean")).select(
+        "page_id",
+        *keep,
+        (F.col("_clean") != F.col("html")).alias("changed"),
+        F.col("_clean").alias("html"),
     )
 
 
@@ -212,7 +218,7 @@ def active_content_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def strip_active_content(page_table: DataFrame) -> DataFrame:
+def strip_active_content(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages without anything ``page_findings`` reports; links keep their text.
 
     A removed part leaves a blank, so that its neighbours cannot join into a new tag. Attributes
@@ -230,8 +236,9 @@ def strip_active_content(page_table: DataFrame) -> DataFrame:
             clean, rf"(?is)({tag}|(?!\A)\G)([^>]*?)\s{attribute}\s*=\s*{value}", "$1$2 "
         )
     active = h.markup_only(F.col("html")).rlike(ACTIVE)
-    return page_table.select("page_id", "html", active.alias("changed")).select(
+    return page_table.select("page_id", *keep, "html", active.alias("changed")).select(
         "page_id",
+        *keep,
         "changed",
         F.when(F.col("changed"), clean).otherwise(F.col("html")).alias("html"),
     )

@@ -100,18 +100,20 @@ def _closed(html: Column, balance: Column, cut_in: Column) -> Column:
     return F.concat(whole_tags, end_of_block, *missing)
 
 
-def repair_pages(page_table: DataFrame) -> DataFrame:
+def repair_pages(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Close pages that were cut off, check them again and report pages that show nothing.
 
     Pages without an issue are passed through. Everything is one narrow pass over the pages.
+    ``keep`` names further columns to carry along.
     """
     tags = (*ERROR_TAGS, *WARN_TAGS)
     checked = page_table.select(
-        "page_id", "html", h.tag_balance(F.col("html"), tags).alias("_before")
+        "page_id", *keep, "html", h.tag_balance(F.col("html"), tags).alias("_before")
     ).withColumn("code_before", _code(F.col("_before"), ERROR_TAGS))
     faulty = F.col("code_before") != CLEAN
     repaired = checked.withColumn("_cut_in", F.when(faulty, _cut_in(F.col("html")))).select(
         "page_id",
+        *keep,
         "code_before",
         "html",
         F.when(faulty, _closed(F.col("html"), F.col("_before"), F.col("_cut_in")))
@@ -123,6 +125,7 @@ def repair_pages(page_table: DataFrame) -> DataFrame:
     )
     return again.withColumn("_text", h.visible_text(F.col("_after"))).select(
         "page_id",
+        *keep,
         "code_before",
         F.when(F.col("repaired"), _code(F.col("_again"), ERROR_TAGS))
         .otherwise(F.col("code_before"))
