@@ -64,16 +64,46 @@ def visible_text(html: Column) -> Column:
     return unescape(text)
 
 
+def _paired(text: Column, name: str, opening: str, by: str) -> Column:
+    """Replace an element together with its end tag.
+
+    Only the part up to the last end tag is searched: behind it every opening tag would look
+    through the rest of the page in vain, and pages with many unclosed tags are common.
+    """
+
+    def replaced(whole: Column, head: Column) -> Column:
+        tail = F.substring(whole, F.length(head) + 1, F.length(whole))
+        return F.concat(
+            F.regexp_replace(head, rf"(?is){opening}(.*?)</{name}\s*>", by), tail
+        )
+
+    return let(
+        text,
+        lambda whole: let(
+            F.regexp_extract(whole, rf"(?is)^.*</{name}\s*>", 0),
+            lambda head: F.when(head == "", whole).otherwise(replaced(whole, head)),
+        ),
+    )
+
+
 def markdown(html: Column) -> Column:
     text = without_hidden(html)
     text = F.regexp_replace(text, TITLE, "")
-    for level in range(1, 7):
-        text = F.regexp_replace(
-            text, rf"(?is)<h{level}(?:\s[^>]*)?>(.*?)</h{level}\s*>", f"\n{'#' * level} $1\n"
-        )
-    text = F.regexp_replace(text, r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
+
+    def headings(body: Column, levels: tuple[int, ...]) -> Column:
+        for n in levels:
+            body = F.regexp_replace(body, rf"(?i)<h{n}(?:\s[^>]*)?>", f"\n{'#' * n} ")
+        return body
+
+    text = headings(text, (1, 2))
+    text = let(
+        text,
+        lambda t: F.when(t.rlike(r"(?i)<h[3-6][\s>]"), headings(t, (3, 4, 5, 6))).otherwise(t),
+    )
+    text = F.regexp_replace(text, r"(?i)</h[1-6]\s*>", "\n")
+    text = _paired(text, "a", r'<a\s[^>]*href="([^"]*)"[^>]*>', "[$2]($1)")
     for name in ("b", "strong"):
-        text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", "**$1**")
+        text = _paired(text, name, rf"<{name}(?:\s[^>]*)?>", "**$1**")
     text = F.regexp_replace(text, r"(?is)<li(?:\s[^>]*)?>", "\n- ")
     text = F.regexp_replace(text, r"(?is)<br[^>]*>|</p>|</div>", "\n")
     return unescape(F.regexp_replace(text, TAG, ""))
