@@ -16,7 +16,8 @@ LINE_END = r"(?is)<br[^>]*>|</p>|</h1>|</li>|</div>"
 TAG = r"(?s)<[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 ELEMENT_NAME = r"<([a-zA-Z][a-zA-Z0-9]*)"
-VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'<>]*)"""
+BEFORE_ATTRIBUTE = r"""[\s"'/]"""
 ENTITIES = (
     ("&copy;", "©"),
     ("&middot;", "·"),
@@ -46,14 +47,15 @@ def markup_only(html: Column) -> Column:
     """Page source without comments and without the content of scripts and styles.
 
     One pass, so that a comment mark inside a script or a script inside a comment is not misread.
-    The opening tags of scripts and styles stay.
+    The opening tags of scripts and styles stay. ``<!>`` takes the place of the rest: like the end
+    of what was there, it ends a tag that was left open.
     """
     return F.regexp_replace(
         html,
         r"(?is)(<script\b[^>]*>).*?(?:</script\s*>|\z)"
         r"|(<style\b[^>]*>).*?(?:</style\s*>|\z)"
         rf"|{COMMENT}",
-        "$1$2 ",
+        "$1$2<!>",
     )
 
 
@@ -125,6 +127,20 @@ def count_tags(html: Column, names: str) -> Column:
     return F.regexp_count(html, F.lit(rf"(?i)<(?:{names})\b")).cast("int")
 
 
+def without_attribute(html: Column, tag: str, attribute: str) -> Column:
+    """Remove an attribute from all such tags, however often a tag repeats it.
+
+    A match may also start where the last one ended, which stays inside the tag. The character
+    before the attribute is kept, so that its neighbours cannot join.
+    """
+    again = r"(?!\A)\G"
+    return F.regexp_replace(
+        html,
+        rf"(?is)({tag}|{again})([^>]*?(?:{BEFORE_ATTRIBUTE}|{again})){attribute}\s*=\s*{VALUE}",
+        "$1$2",
+    )
+
+
 def unquote(value: Column) -> Column:
     quoted = F.substring(value, 1, 1).isin('"', "'")
     return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
@@ -132,7 +148,7 @@ def unquote(value: Column) -> Column:
 
 def attribute_pattern(tag: str, attribute: str) -> str:
     """Matches an opening tag up to the value of one attribute, which is group 1."""
-    return rf"(?is)<(?:{tag})\s(?:[^>]*?\s)?{attribute}\s*=\s*{VALUE}"
+    return rf"(?is)<(?:{tag})[\s/](?:[^>]*?{BEFORE_ATTRIBUTE})?{attribute}\s*=\s*{VALUE}"
 
 
 def attribute_values(html: Column, tag: str, attribute: str) -> Column:
@@ -143,7 +159,7 @@ def attribute_values(html: Column, tag: str, attribute: str) -> Column:
 
 def attribute_value(tag_source: Column, attribute: str) -> Column:
     """Decoded value of one attribute in the source of a single tag; empty when absent."""
-    found = F.regexp_extract(tag_source, rf"(?is)\s{attribute}\s*=\s*{VALUE}", 1)
+    found = F.regexp_extract(tag_source, rf"(?is){BEFORE_ATTRIBUTE}{attribute}\s*=\s*{VALUE}", 1)
     return strip(unescape(unquote(found)))
 
 
@@ -158,9 +174,10 @@ def meta_content(html: Column, name: str) -> Column:
 def tag_balance(html: Column, names: tuple[str, ...]) -> Column:
     """``array<struct<tag, open>>``: opening minus closing tags, in the order of ``names``.
 
-    The tags of interest are pulled out in one pass over the page and counted afterwards.
+    The tags of interest are pulled out in one pass over the page and counted afterwards. A tag
+    that is cut off before the next one starts does not count.
     """
-    pattern = rf"(?i)<(/?(?:{'|'.join(names)}))(?:[\s/][^>]*)?>"
+    pattern = rf"(?i)<(/?(?:{'|'.join(names)}))(?:[\s/][^<>]*)?>"
     found = F.transform(
         F.regexp_extract_all(without_hidden(html), F.lit(pattern), F.lit(1)), F.lower
     )

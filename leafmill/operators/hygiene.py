@@ -40,13 +40,14 @@ TRIGGER_LABELS = {
 
 # What counts as active content. A tag ends at its first '>'.
 META_REFRESH = r"""<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HANDLER_TAG = r"(?is)<[a-z][^>]*\son[a-z]+\s*=[^>]*>?"
-HANDLER = r"(?is)\son([a-z]+)\s*="
+HANDLER_TAG = rf"(?is)<[a-z][^>]*{h.BEFORE_ATTRIBUTE}on[a-z]+\s*=[^>]*>?"
+HANDLER = rf"(?is){h.BEFORE_ATTRIBUTE}on([a-z]+)\s*="
 ROOT_TAG = r"(?i)^<(?:html|body)\b"
 EMBED_TAG = r"(?is)<(?:iframe|object|embed)\b[^>]*>?"
 ACTIVE = (
     rf"(?is)<(?:script|iframe|object|embed|form)\b|{META_REFRESH}"
-    rf"|<[a-z][^>]*\son[a-z]+\s*=|<a\s(?:[^>]*?\s)?href\s*="
+    rf"|<[a-z][^>]*{h.BEFORE_ATTRIBUTE}on[a-z]+\s*="
+    rf"|<a[\s/](?:[^>]*?{h.BEFORE_ATTRIBUTE})?href\s*="
 )
 
 
@@ -70,7 +71,7 @@ def scan_metadata(page_table: DataFrame) -> DataFrame:
         *[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()]
     )
     return (
-        page_table.select("page_id", h.without_hidden(F.col("html")).alias("_source"))
+        page_table.select("page_id", h.markup_only(F.col("html")).alias("_source"))
         .select("page_id", F.inline(F.filter(found, lambda f: f["value"] != "")))
         .withColumn("value", F.substring("value", 1, SHOWN_CHARACTERS))
     )
@@ -87,9 +88,7 @@ def strip_metadata(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
         r"|<title\b[^>]*>.*?</title\s*>|<meta\b[^>]*>",
         "$1",
     )
-    clean = F.regexp_replace(
-        clean, r"""(?is)(<html\b[^>]*?)\s+lang\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", "$1"
-    )
+    clean = h.without_attribute(clean, r"<html\b", "lang")
     return page_table.select("page_id", *keep, "html", clean.alias("_clean")).select(
         "page_id",
         *keep,
@@ -221,8 +220,7 @@ def active_content_summary(findings: DataFrame) -> DataFrame:
 def strip_active_content(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages without anything ``page_findings`` reports; links keep their text.
 
-    A removed part leaves a blank, so that its neighbours cannot join into a new tag. Attributes
-    are removed however often a tag repeats them: a match may also start where the last ended.
+    A removed part leaves a blank, so that its neighbours cannot join into a new tag.
     """
     clean = F.regexp_replace(
         "html",
@@ -230,11 +228,8 @@ def strip_active_content(page_table: DataFrame, keep: tuple[str, ...] = ()) -> D
         rf"|</?(?:iframe|object|embed|form)\b[^>]*(?:>|\z)|{META_REFRESH}",
         "$1 ",
     )
-    value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]*)"""
-    for tag, attribute in (("<[a-z]", "on[a-z]+"), (r"<a(?=\s)", "href")):
-        clean = F.regexp_replace(
-            clean, rf"(?is)({tag}|(?!\A)\G)([^>]*?)\s{attribute}\s*=\s*{value}", "$1$2 "
-        )
+    clean = h.without_attribute(clean, "<[a-z]", "on[a-z]+")
+    clean = h.without_attribute(clean, r"<a(?=[\s/])", "href")
     active = h.markup_only(F.col("html")).rlike(ACTIVE)
     return page_table.select("page_id", *keep, "html", active.alias("changed")).select(
         "page_id",

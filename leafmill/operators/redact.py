@@ -54,6 +54,6 @@ def redact_apply(doc_pages: DataFrame, terms: str | list[str]) -> DataFrame:
     """Pages with every matched character destroyed; pages without a match are untouched."""
     masked = mask_terms(F.col("text"), parse_terms(terms))
     return doc_pages.select("doc_id", "page_no", "text", masked.alias("_masked")).select(
-        "doc_id", "page_no", (F.col("_masked") != F.col("text")).alias("redacted"),
+        "doc_id", "page_no", F.coalesce(F.col("_masked") != F.col("text"), F.lit(False)).alias("redacted"),
         F.col("_masked").alias("text"),
     )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from leafmill.operators.hygiene import (
@@ -112,6 +114,29 @@ def test_metadata(spark):
     }
     rows = {r["page_id"]: r for r in strip_metadata(web(spark, META)).collect()}
     assert {p: r["changed"] for p, r in rows.items()} == {1: True, 2: False, 3: True}
-    assert rows[1]["html"] == "<html class=a><head></head>"
+    assert rows[1]["html"] == "<html class=a ><head></head>"
     assert rows[2]["html"] == META[2]
     assert scan_metadata(web(spark, {p: r["html"] for p, r in rows.items()})).count() == 0
+
+
+# Fragments that make broken, nested and cut-off markup when strung together.
+FRAGMENTS = [
+    "<script>", "</script>", "<a ", "<a", "<A\n", 'href="x"', "href=y", "onclick='y'", " onload=z", ">", "<",
+    "<!--", "-->", "<iframe", "<form", "form>", " ", "text", "<style>", "</style>", '"', "'", "=",
+    "<meta http-equiv=refresh>", "<body", "<p ", "</p>", "ipt>", "<scr", "href", "on", "<meta", "<title>",
+    "</title>", "<html lang=x", 'lang="e"', "<html", ' x="', "/",
+]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nothing_is_left_in_broken_markup(spark, seed):
+    rng = random.Random(seed)
+    htmls = {i: "".join(rng.choices(FRAGMENTS, k=rng.randrange(1, 14))) for i in range(8000)}
+    pages = web(spark, htmls)
+    clean = strip_active_content(pages, keep=("url",))
+    assert [r["page_id"] for r in page_findings(clean).collect()] == []
+    found = {r["page_id"] for r in page_findings(pages).select("page_id").distinct().collect()}
+    assert {r["page_id"] for r in clean.filter("changed").collect()} == found
+    same = clean.filter("not changed").collect()
+    assert all(r["html"] == htmls[r["page_id"]] for r in same)
+    assert scan_metadata(strip_metadata(pages, keep=("url",))).collect() == []
