@@ -17,6 +17,7 @@ WHITE_SPACE = (
 # beyond Latin-1 sit behind one range test, so an ordinary character is refused quickly.
 WIDE_SPACE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 SPACE = rf"[\t-\r\x1c-\x20\x85\xa0{WIDE_SPACE}]+"
+ONLY_SPACE = rf"\A[\t-\r\x1c-\x20\x85\xa0{WIDE_SPACE}]*+\z"
 RARE_SPACE = rf"[\t\x0b-\r\x1c-\x1f\x85\xa0{WIDE_SPACE}]"
 
 
@@ -39,6 +40,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but white space; decided at the first other character."""
+    return F.coalesce(text, F.lit("")).rlike(ONLY_SPACE)
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than white space.
 

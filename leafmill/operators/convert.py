@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import html as h
-from leafmill.functions.text import strip
+from leafmill.functions.text import is_blank
 from leafmill.sources.tables import with_host, with_page_no
 
 PAGES_PER_PART = 64
@@ -51,7 +51,7 @@ def empty_page_report(page_table: DataFrame) -> DataFrame:
     """Pages without any text per site: likely scans, whose text cannot be taken out."""
     return (
         with_host(page_table)
-        .select("host", (strip(h.visible_text(F.col("html"))) == "").alias("_empty"))
+        .select("host", is_blank(h.visible_text(F.col("html"))).alias("_empty"))
         .groupBy("host")
         .agg(F.count_if("_empty").alias("empty_pages"), F.count(F.lit(1)).alias("total_pages"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import html as h
-from leafmill.functions.text import kilobytes, line_count, strip, word_count
+from leafmill.functions.text import is_blank, kilobytes, line_count, word_count
 from leafmill.plans.scale import spread_join
 from leafmill.sources.tables import with_host
 
@@ -36,7 +36,7 @@ def corpus_profile(docs: DataFrame) -> DataFrame:
         F.coalesce(word_count(F.col("text")), F.lit(0)).alias("words"),
         line_count(F.col("text")).alias("paragraphs"),
         _size("text").alias("bytes"),
-        (strip(F.coalesce(F.col("text"), F.lit(""))) == "").cast("int").alias("blank"),
+        is_blank(F.col("text")).cast("int").alias("blank"),
     )
     leaves = per_doc.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("docs"),
