@@ -1,7 +1,7 @@
 """Locking and unlocking columns with AES-256.
 
 The key comes in a table of one row, ``key BINARY`` with 32 bytes and optionally ``owner_key``,
-never as a literal, so plans and logs do not show it. A locked table has its columns as BINARY
+never as a literal, so plans do not show it. A locked table has its columns as BINARY
 and a ``locked`` flag per row; with an owner key each row also keeps the user key wrapped for the
 owner in ``owner_slot``.
 """
