@@ -8,6 +8,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.session import fresh_path
@@ -25,7 +26,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     ``limit`` and the longest single text, whatever number of rows Spark puts into a batch."""
     if batch.num_rows == 0:
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     share = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)) // limit
     cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
