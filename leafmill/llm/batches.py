@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from itertools import repeat
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.session import fresh_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def fresh(name: str) -> str:
@@ -56,6 +57,15 @@ def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe when executors are lost."""
     path = fresh_path(df.sparkSession, name)
@@ -80,7 +90,7 @@ class WordIds:
     kept between calls, which bounds memory; the ids never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self._forget()
 

@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import pieces
+from leafmill.llm import chat, imatch, licenses, packing, pieces
+from leafmill.llm.batches import importable
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
+#: Rows that pass to Python at once: long texts then take a few MB, not hundreds.
+ARROW_ROWS = 1000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -21,8 +26,32 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_digests(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), WORD_MODEL, keep_ids=False)
+
+
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings themselves."""
+    said = "'</s>[INST] ok [/INST]'"
+    added = spark.sql(f"SELECT -7L conv_id, inline(array(struct(0L turn, 'user' role, {said} text), struct(1L turn, 'assistant' role, {said} text)))")
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digests(given.unionByName(added))
+
+
+def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edit_report(table(spark, folder, "documents"))
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_packing": op4_packing,
+    "op7_chat_format": op7_chat_format,
+    "op9_imatch": op9_imatch,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE: dict[str, str] = {}
