@@ -1,4 +1,4 @@
-"""Corpus pipeline over ``documents``: stages of the operators in ``leafmill.llm``."""
+"""Corpus pipeline over ``documents``: quality, language, near duplicates, packing."""
 
 from __future__ import annotations
 
@@ -6,10 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm import forest, language, packing, quality
 from leafmill.llm.batches import importable, written
+from leafmill.llm.queries import WORD_MODEL
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def only(docs: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose document is kept; a null doc_id cannot be judged, and stays."""
+    gone = judged.filter("NOT kept").select(judged[key].alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return only(docs, quality.classify(docs, labels), "doc_id")
+
+
+def documents_of_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return only(docs, language.identify(language.of_documents(docs)), "id")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return only(docs, forest.near_duplicates(docs), "doc_id")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, WORD_MODEL, keep_ids=False)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_documents),
+    ("language ID", documents_of_a_language),
+    ("MinHash near-dedup", one_of_each_group),
+    ("packing", packed),
+]
+
+#: No stage but by models, signatures and tokenizers: SQL cannot express it; see the tests.
 ORACLE_SQL = None
 
 

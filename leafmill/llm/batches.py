@@ -90,13 +90,13 @@ class WordIds:
     kept between calls, which bounds memory; the ids never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 300_000, kind: type = np.int32):
+        self.encode, self.limit, self.kind = encode, limit, kind
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.flat = np.zeros(1 << 16, dtype=self.kind)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.count = np.zeros(1 << 14, dtype=np.int32)
         self.used = self.known = 0
@@ -111,7 +111,7 @@ class WordIds:
         total, known = int(sizes.sum()), self.known + len(words)
         self.flat = self._room(self.flat, self.used + total)
         self.start, self.count = self._room(self.start, known), self._room(self.count, known)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.kind, total)
         self.start[self.known : known] = self.used + np.cumsum(sizes) - sizes
         self.count[self.known : known] = sizes
         self.used, self.known = self.used + total, known

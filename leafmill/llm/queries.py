@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, imatch, licenses, packing, pieces
+from leafmill.llm import chat, forest, imatch, language, licenses, maxent, packing, pieces, quality, vptree
 from leafmill.llm.batches import importable
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,10 +26,29 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_digests(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score(table(spark, folder, "documents"))
+
+
+def op3_vp_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 100, as the contract has it."""
+    vectors = table(spark, folder, "embeddings")
+    return vptree.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_MODEL, keep_ids=False)
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identify(language.of_documents(table(spark, folder, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op6_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are control strings themselves."""
     said = "'</s>[INST] ok [/INST]'"
@@ -38,6 +57,17 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversation_digests(given.unionByName(added))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def page_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of web pages, with markup, address and host; text models from the documents."""
+    training = language.of_documents(table(spark, folder, "documents")).select("text", "declared")
+    found = language.identify(language.of_pages(table(spark, folder, "pages")), training=training)
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.edit_report(table(spark, folder, "documents"))
 
@@ -48,10 +78,16 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_score": op2_lm_score,
+    "op3_vp_search": op3_vp_search,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
+    "op6_lsh_forest": op6_lsh_forest,
     "op7_chat_format": op7_chat_format,
+    "op8_quality": op8_quality,
     "op9_imatch": op9_imatch,
     "op10_licenses": op10_licenses,
+    "page_language": page_language,
 }
 
 ORACLE: dict[str, str] = {}
