@@ -1,23 +1,41 @@
-"""HTML columns made of regular expressions; no parser, one pass per rule."""
+"""HTML columns made of regular expressions.
+
+A page is cut into its markup by one pattern, and everything else looks at one piece of markup at
+a time. The pattern never has to try again: whatever it begins it also ends, at the latest with the
+page, and what it has passed it does not give back. So the work stays linear on any input.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import let, strip
 
-# Fixed values. Unclosed blocks run to the end of the page, as browsers read them.
-SCRIPT = r"<script\b[^>]*>.*?(?:</script\s*>|\z)"
-STYLE = r"<style\b[^>]*>.*?(?:</style\s*>|\z)"
+# Pieces of markup as browsers read them. A quote hides '>' only where a value begins;
+# an unclosed piece runs to the end of the page; scripts, styles and titles hold no markup.
+ATTRIBUTE_NAME = r"[^\s/>][^\s/>=]*+"
+QUOTED = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)"""
+INSIDE = rf"(?:[\s/]++|{ATTRIBUTE_NAME}(?:\s*+=\s*+{QUOTED}?+)?+)*+"
 COMMENT = r"<!--.*?(?:-->|\z)"
-HIDDEN = rf"(?is){SCRIPT}|{STYLE}|{COMMENT}"
-LINE_END = r"(?is)<br[^>]*>|</p>|</h1>|</li>|</div>"
-TAG = r"(?s)<[^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-ELEMENT_NAME = r"<([a-zA-Z][a-zA-Z0-9]*)"
-VALUE = r"""("[^"]*"|'[^']*'|[^\s"'<>]*)"""
-BEFORE_ATTRIBUTE = r"""[\s"'/]"""
+TAG = rf"</?[a-z][^\s/>]*+{INSIDE}(?:>|\z)"
+OTHER = r"<[!?/][^>]*+(?:>|\z)"
+
+
+def _block(name: str) -> str:
+    return rf"<{name}(?=[\s/>]|\z){INSIDE}(?:>.*?(?:</{name}\s*+>|\z)|\z)"
+
+
+MARKUP = "(?is)" + "|".join([COMMENT, _block("script"), _block("style"), _block("title"), TAG, OTHER])
+NAME = r"(?is)^<(?:!--|/?[a-z][^\s/>]*+)"
+VALUE = r"""("[^"]*+"?|'[^']*+'?|[^\s>]*+)"""
+# group 1 is empty for an attribute without a value
+ATTRIBUTE = rf"(?s)({ATTRIBUTE_NAME})\s*+=\s*+{VALUE}|{ATTRIBUTE_NAME}"
+TAG_HEAD = r"^</?[a-zA-Z][^\s/>]*+"
+LINE_ENDS = ("<br", "</p", "</h1", "</li", "</div")
+HIDDEN = ("<!--", "<script", "<style")
 ENTITIES = (
     ("&copy;", "©"),
     ("&middot;", "·"),
@@ -31,6 +49,8 @@ ENTITIES = (
 )
 
 
+
+
 def unescape(text: Column) -> Column:
     """Resolve entities; the ampersand last, so that its result is not read again."""
     for entity, plain in ENTITIES:
@@ -38,160 +58,174 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def without_hidden(html: Column) -> Column:
-    """Page source without scripts, styles and comments, whose content is not markup."""
-    return F.regexp_replace(html, HIDDEN, " ")
+def markup(html: Column) -> Column:
+    """Every piece of markup in page order; scripts, styles, titles and comments are one piece."""
+    return F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0))
 
 
-def markup_only(html: Column) -> Column:
-    """Page source without comments and without the content of scripts and styles.
+def name_of(piece: Column) -> Column:
+    """``<p``, ``</p`` or ``<!--`` in lower case; empty for anything else."""
+    return F.lower(F.regexp_extract(piece, NAME, 0))
 
-    One pass, so that a comment mark inside a script or a script inside a comment is not misread.
-    The opening tags of scripts and styles stay. ``<!>`` takes the place of the rest: like the end
-    of what was there, it ends a tag that was left open.
-    """
-    return F.regexp_replace(
-        html,
-        r"(?is)(<script\b[^>]*>).*?(?:</script\s*>|\z)"
-        r"|(<style\b[^>]*>).*?(?:</style\s*>|\z)"
-        rf"|{COMMENT}",
-        "$1$2<!>",
+
+def with_markup(html: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """The page with every piece of markup replaced by ``change(piece, name)``."""
+    changed = F.transform(markup(html), lambda p: let(name_of(p), lambda n: change(p, n)))
+    return F.array_join(
+        F.zip_with(F.split(html, MARKUP), changed, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), ""
     )
 
 
+def title_text(piece: Column) -> Column:
+    """What a title piece encloses."""
+    return F.regexp_replace(piece, rf"(?is)^<title{INSIDE}>?|</title\s*+>$", "")
+
+
 def visible_text(html: Column) -> Column:
-    text = without_hidden(html)
-    text = F.regexp_replace(text, LINE_END, "\n")
-    text = F.regexp_replace(text, TAG, "")
-    return unescape(text)
+    def shown(piece: Column, name: Column) -> Column:
+        return (
+            F.when(name.isin(*HIDDEN), F.lit(" "))
+            .when(name.isin(*LINE_ENDS), F.lit("\n"))
+            .when(name == "<title", title_text(piece))
+            .otherwise(F.lit(""))
+        )
+
+    return unescape(with_markup(html, shown))
 
 
-def _paired(text: Column, name: str, opening: str, by: str) -> Column:
-    """Replace an element together with its end tag.
+def _paired(text: Column, end: str, opening: str, by: str) -> Column:
+    """Replace what stands between an opening and its end mark.
 
-    Only the part up to the last end tag is searched: behind it every opening tag would look
-    through the rest of the page in vain, and pages with many unclosed tags are common.
+    Only the part up to the last end mark is searched: behind it every opening would look
+    through the rest of the page in vain.
     """
 
     def replaced(whole: Column, head: Column) -> Column:
         tail = F.substring(whole, F.length(head) + 1, F.length(whole))
-        return F.concat(
-            F.regexp_replace(head, rf"(?is){opening}(.*?)</{name}\s*>", by), tail
-        )
+        return F.concat(F.regexp_replace(head, rf"(?s){opening}(.*?){end}", by), tail)
 
     return let(
         text,
         lambda whole: let(
-            F.regexp_extract(whole, rf"(?is)^.*</{name}\s*>", 0),
+            F.regexp_extract(whole, rf"(?s)^.*{end}", 0),
             lambda head: F.when(head == "", whole).otherwise(replaced(whole, head)),
         ),
     )
 
 
-def markdown(html: Column) -> Column:
-    text = without_hidden(html)
-    text = F.regexp_replace(text, TITLE, "")
+#: Marks that stand for links, bold and strong while a page is turned into Markdown.
+LINK, LINK_TEXT, LINK_END, BOLD, BOLD_END, STRONG, STRONG_END = map(chr, range(1, 8))
+MARKS = LINK + LINK_TEXT + LINK_END + BOLD + BOLD_END + STRONG + STRONG_END
 
-    def headings(body: Column, levels: tuple[int, ...]) -> Column:
-        for n in levels:
-            body = F.regexp_replace(body, rf"(?i)<h{n}(?:\s[^>]*)?>", f"\n{'#' * n} ")
-        return body
 
-    text = headings(text, (1, 2))
-    text = let(
-        text,
-        lambda t: F.when(t.rlike(r"(?i)<h[3-6][\s>]"), headings(t, (3, 4, 5, 6))).otherwise(t),
-    )
-    text = F.regexp_replace(text, r"(?i)</h[1-6]\s*>", "\n")
-    text = _paired(text, "a", r'<a\s[^>]*href="([^"]*)"[^>]*>', "[$2]($1)")
-    for name in ("b", "strong"):
-        text = _paired(text, name, rf"<{name}(?:\s[^>]*)?>", "**$1**")
-    text = F.regexp_replace(text, r"(?is)<li(?:\s[^>]*)?>", "\n- ")
-    text = F.regexp_replace(text, r"(?is)<br[^>]*>|</p>|</div>", "\n")
-    return unescape(F.regexp_replace(text, TAG, ""))
+def markdown(html: Column) -> Column:
+    def shown(piece: Column, name: Column) -> Column:
+        return (
+            F.when(name.isin(*HIDDEN), F.lit(" "))
+            .when(name.rlike("^<h[1-6]$"), F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.substring(name, 3, 1).cast("int")), F.lit(" ")))
+            .when(name.rlike("^</h[1-6]$") | name.isin("<br", "</p", "</div"), F.lit("\n"))
+            .when(name == "<li", F.lit("\n- "))
+            .when(name == "<a", F.concat(F.lit(LINK), raw_attribute(piece, "href"), F.lit(LINK_TEXT)))
+            .when(name == "</a", F.lit(LINK_END))
+            .when(name == "<b", F.lit(BOLD))
+            .when(name == "</b", F.lit(BOLD_END))
+            .when(name == "<strong", F.lit(STRONG))
+            .when(name == "</strong", F.lit(STRONG_END))
+            .otherwise(F.lit(""))
+        )
+
+    text = with_markup(F.translate(html, MARKS, ""), shown)
+    text = _paired(text, LINK_END, f"{LINK}([^{LINK_TEXT}]*){LINK_TEXT}", "[$2]($1)")
+    text = _paired(text, BOLD_END, BOLD, "**$1**")
+    text = _paired(text, STRONG_END, STRONG, "**$1**")
+    return unescape(F.translate(text, MARKS, ""))
 
 
-def title(html: Column) -> Column:
-    """Decoded title, NULL when absent or empty."""
-    return F.nullif(strip(unescape(F.regexp_extract(html, TITLE, 1))), F.lit(""))
+def title(pieces: Column) -> Column:
+    """Decoded title, NULL when absent, empty or never closed."""
+    closed = F.filter(pieces, lambda p: p.rlike(r"(?is)^<title\b.*</title\s*+>$"))
+    return F.nullif(strip(unescape(title_text(F.get(closed, F.lit(0))))), F.lit(""))
 
 
-def element_names(html: Column) -> Column:
+def element_names(pieces: Column) -> Column:
     """Distinct lower-case element names in order of first use."""
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(html, F.lit(ELEMENT_NAME), F.lit(1)), F.lower)
-    )
+    names = F.transform(pieces, lambda p: F.lower(F.regexp_extract(p, r"(?i)^<([a-z][a-z0-9]*)", 1)))
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 
-def count_tags(html: Column, names: str) -> Column:
-    return F.regexp_count(html, F.lit(rf"(?i)<(?:{names})\b")).cast("int")
+def tags(pieces: Column, *names: str) -> Column:
+    """Opening tags of the named elements."""
+    return F.filter(pieces, lambda p: name_of(p).isin(*(f"<{n}" for n in names)))
 
 
-def without_attribute(html: Column, tag: str, attribute: str) -> Column:
-    """Remove an attribute from all such tags, however often a tag repeats it.
+def unquote(value: Column) -> Column:
+    return F.regexp_replace(value, r"""(?s)^"([^"]*+)"?$|^'([^']*+)'?$""", "$1$2")
 
-    A match may also start where the last one ended, which stays inside the tag. The character
-    before the attribute is kept, so that its neighbours cannot join.
-    """
-    again = r"(?!\A)\G"
-    return F.regexp_replace(
-        html,
-        rf"(?is)({tag}|{again})([^>]*?(?:{BEFORE_ATTRIBUTE}|{again})){attribute}\s*=\s*{VALUE}",
-        "$1$2",
-    )
 
+def opening(piece: Column) -> Column:
+    """The opening tag itself of a piece that also holds what it encloses."""
+    return F.regexp_extract(piece, rf"(?is)^<[a-z][^\s/>]*+{INSIDE}>?", 0)
 
-def unquote(value: Column) -> Column:
-    quoted = F.substring(value, 1, 1).isin('"', "'")
-    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+def raw_attribute(tag: Column, attribute: str) -> Column:
+    """Value of an attribute as written, without quotes; NULL when absent or never given one."""
+    def found(rest: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+        at = F.array_position(names, F.lit(attribute)).cast("int")
+        values = F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(2))
+        return F.when(at > 0, unquote(F.get(values, at - 1)))
+
+    return let(F.regexp_replace(opening(tag), TAG_HEAD, ""), found)
 
 
-def attribute_pattern(tag: str, attribute: str) -> str:
-    """Matches an opening tag up to the value of one attribute, which is group 1."""
-    return rf"(?is)<(?:{tag})[\s/](?:[^>]*?{BEFORE_ATTRIBUTE})?{attribute}\s*=\s*{VALUE}"
+def attribute_value(tag: Column, attribute: str) -> Column:
+    """Decoded value of one attribute of a tag; NULL when absent."""
+    return strip(unescape(raw_attribute(tag, attribute)))
 
 
-def attribute_values(html: Column, tag: str, attribute: str) -> Column:
+def attribute_values(pieces: Column, names: tuple[str, ...], attribute: str) -> Column:
     """Decoded values of one attribute on every such tag, in page order, empty ones included."""
-    found = F.regexp_extract_all(html, F.lit(attribute_pattern(tag, attribute)), F.lit(1))
-    return F.transform(found, lambda v: strip(unescape(unquote(v))))
+    values = F.transform(tags(pieces, *names), lambda t: attribute_value(t, attribute))
+    return F.filter(values, lambda v: v.isNotNull())
 
 
-def attribute_value(tag_source: Column, attribute: str) -> Column:
-    """Decoded value of one attribute in the source of a single tag; empty when absent."""
-    found = F.regexp_extract(tag_source, rf"(?is){BEFORE_ATTRIBUTE}{attribute}\s*=\s*{VALUE}", 1)
-    return strip(unescape(unquote(found)))
+def attribute_names(tag: Column) -> Column:
+    """Lower-case names of the attributes that have a value, in order; empty for the others."""
+    rest = F.regexp_replace(opening(tag), TAG_HEAD, "")
+    return F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
 
 
-def meta_content(html: Column, name: str) -> Column:
-    """Content of ``<meta name=...>`` whatever the order of its attributes."""
-    tag = F.regexp_extract(
-        html, rf"""(?is)<meta\b[^>]*\sname\s*=\s*["']?{name}["'\s/>][^>]*>?""", 0
+def without_attributes(tag: Column, attributes: str) -> Column:
+    """A tag without the attributes whose name matches; every other one is passed over whole."""
+    gone = rf"(?:{attributes})\s*+="
+    return F.regexp_replace(
+        tag, rf"(?is)({TAG_HEAD}|(?!{gone}){ATTRIBUTE_NAME}(?:\s*+=\s*+{VALUE})?+)|{gone}\s*+{VALUE}", "$1"
     )
-    return attribute_value(tag, "content")
 
 
-def tag_balance(html: Column, names: tuple[str, ...]) -> Column:
+def meta_content(pieces: Column, name: str) -> Column:
+    """Content of the first ``<meta name=...>``; NULL when absent."""
+    own = F.filter(tags(pieces, "meta"), lambda t: F.lower(attribute_value(t, "name")) == name)
+    return attribute_value(F.get(own, F.lit(0)), "content")
+
+
+def tag_balance(pieces: Column, names: tuple[str, ...]) -> Column:
     """``array<struct<tag, open>>``: opening minus closing tags, in the order of ``names``.
 
-    The tags of interest are pulled out in one pass over the page and counted afterwards. A tag
-    that is cut off before the next one starts does not count.
+    A tag that the page is cut off in does not count.
     """
-    pattern = rf"(?i)<(/?(?:{'|'.join(names)}))(?:[\s/][^<>]*)?>"
-    found = F.transform(
-        F.regexp_extract_all(without_hidden(html), F.lit(pattern), F.lit(1)), F.lower
-    )
+    found = F.transform(F.filter(pieces, lambda p: p.endswith(">")), name_of)
 
-    def count(tags: Column, wanted: str) -> Column:
-        return F.size(F.filter(tags, lambda t: t == wanted))
+    def count(all_names: Column, wanted: str) -> Column:
+        return F.size(F.filter(all_names, lambda t: t == wanted))
 
     return let(
         found,
-        lambda tags: F.array(
+        lambda all_names: F.array(
             *[
                 F.struct(
                     F.lit(name).alias("tag"),
-                    (count(tags, name) - count(tags, f"/{name}")).alias("open"),
+                    (count(all_names, f"<{name}") - count(all_names, f"</{name}")).alias("open"),
                 )
                 for name in names
             ]

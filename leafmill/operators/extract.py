@@ -7,17 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.html import attribute_values, without_hidden
+from leafmill.functions.html import attribute_values, markup
 from leafmill.functions.text import let, lines
 from leafmill.functions.urls import link_kind, resolve
 from leafmill.sources.tables import LINES_PER_PAGE, with_host, with_page_no
 
-LINK_KINDS = ("external",)
+LINK_KINDS = ("external", "mail")
+LINK_TAGS = ("a",)
 
 
-def _references(page_table: DataFrame, tag: str, attribute: str) -> DataFrame:
+def _references(page_table: DataFrame, names: tuple[str, ...], attribute: str) -> DataFrame:
     """``page_id, host, url, ord, href``: non-empty attribute values in page order."""
-    values = attribute_values(without_hidden(F.col("html")), tag, attribute)
+    values = attribute_values(markup(F.col("html")), names, attribute)
     return (
         with_host(page_table)
         .select("page_id", "host", "url", F.posexplode(values).alias("_at", "href"))
@@ -30,7 +31,7 @@ def page_links(page_table: DataFrame, kinds: tuple[str, ...] = LINK_KINDS) -> Da
     """Every link with its absolute target and kind, duplicates kept; no page numbers yet."""
     url, href = F.col("url"), F.col("href")
     return (
-        _references(page_table, "a", "href")
+        _references(page_table, LINK_TAGS, "href")
         .withColumn("kind", link_kind(url, href))
         .filter(F.col("kind").isin(*kinds))
         .select("page_id", "host", "ord", "href", resolve(url, href).alias("uri"), "kind")
@@ -69,7 +70,7 @@ def extract_assets(
     The first sight on a page is found inside the row; over pages it is a minimum, which is
     combined before the shuffle however often an asset occurs.
     """
-    values = attribute_values(without_hidden(F.col("html")), tag, attribute)
+    values = attribute_values(markup(F.col("html")), (tag,), attribute)
     uris = F.transform(values, lambda v: F.when(v != "", resolve(F.col("url"), v)))
     first_on_page = let(
         uris,

@@ -2,78 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import html as h
-from leafmill.functions.text import strip
+from leafmill.functions.text import let
 from leafmill.functions.urls import SCHEME
 from leafmill.sources.tables import with_host, with_page_no
 
-SHOWN_CHARACTERS = 80
 SHOWN_FINDINGS = 10
 SALTS = 64
 
-# Readable labels of event triggers; an event without a label keeps its name.
-TRIGGER_LABELS = {
-    "load": "Open",
-    "unload": "Close / Calculate",
-    "beforeunload": "Will Close",
-    "beforeprint": "Will Print",
-    "afterprint": "Did Print",
-    "mouseenter": "Enter",
-    "mouseover": "Enter",
-    "mouseleave": "Exit",
-    "mouseout": "Exit",
-    "mousedown": "Mouse Down",
-    "mouseup": "Mouse Up",
-    "focus": "Focus",
-    "blur": "Blur",
-    "pageshow": "Page Visible",
-    "pagehide": "Page Invisible",
-    "keydown": "Keystroke",
-    "keypress": "Keystroke",
-    "keyup": "Keystroke",
-    "input": "Format",
-    "change": "Validate",
-}
-
-# What counts as active content. A tag ends at its first '>'.
-META_REFRESH = r"""<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HANDLER_TAG = rf"(?is)<[a-z][^>]*{h.BEFORE_ATTRIBUTE}on[a-z]+\s*=[^>]*>?"
-HANDLER = rf"(?is){h.BEFORE_ATTRIBUTE}on([a-z]+)\s*="
-ROOT_TAG = r"(?i)^<(?:html|body)\b"
-EMBED_TAG = r"(?is)<(?:iframe|object|embed)\b[^>]*>?"
-ACTIVE = (
-    rf"(?is)<(?:script|iframe|object|embed|form)\b|{META_REFRESH}"
-    rf"|<[a-z][^>]*{h.BEFORE_ATTRIBUTE}on[a-z]+\s*="
-    rf"|<a[\s/](?:[^>]*?{h.BEFORE_ATTRIBUTE})?href\s*="
-)
+# What counts as active content.
+EVENT = r"on[a-z]+"
+ROOTS = ("<html", "<body")
+EMBEDDING = ("iframe", "frame", "object", "embed", "applet")
+LINKING = ("a", "area", "base")
+TARGETS = r"xlink:href|formaction"
+GONE = tuple(f"{mark}{name}" for name in (*EMBEDDING, "form") for mark in ("<", "</"))
 
 
 def scan_metadata(page_table: DataFrame) -> DataFrame:
-    """Present metadata fields of each page, values cut for display: ``page_id, field, value``."""
-    source = F.col("_source")
+    """Present metadata fields of each page: ``page_id, field, value``."""
+    pieces = F.col("_pieces")
+    charsets = F.filter(
+        F.transform(h.tags(pieces, "meta"), lambda t: h.attribute_value(t, "charset")),
+        lambda v: v.isNotNull(),
+    )
     fields = {
-        "Title": F.coalesce(h.title(source), F.lit("")),
-        "Charset": h.attribute_value(
-            F.regexp_extract(source, r"(?is)<meta\b[^>]*\scharset\s*=[^>]*>?", 0), "charset"
-        ),
-        "Language": h.attribute_value(
-            F.regexp_extract(source, r"(?is)<html\b[^>]*>?", 0), "lang"
-        ),
-        "Description": h.meta_content(source, "description"),
-        "Author": h.meta_content(source, "author"),
-        "Keywords": h.meta_content(source, "keywords"),
-        "Generator": h.meta_content(source, "generator"),
+        "Title": h.title(pieces),
+        "Charset": F.get(charsets, F.lit(0)),
+        "Language": h.attribute_value(F.get(h.tags(pieces, "html"), F.lit(0)), "lang"),
+        "Description": h.meta_content(pieces, "description"),
+        "Author": h.meta_content(pieces, "author"),
+        "Keywords": h.meta_content(pieces, "keywords"),
+        "Generator": h.meta_content(pieces, "generator"),
     }
     found = F.array(
         *[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()]
     )
-    return (
-        page_table.select("page_id", h.markup_only(F.col("html")).alias("_source"))
-        .select("page_id", F.inline(F.filter(found, lambda f: f["value"] != "")))
-        .withColumn("value", F.substring("value", 1, SHOWN_CHARACTERS))
+    return page_table.select("page_id", h.markup(F.col("html")).alias("_pieces")).select(
+        "page_id", F.inline(F.filter(found, lambda f: f["value"] != ""))
     )
 
 
@@ -82,13 +53,15 @@ def strip_metadata(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
 
     ``keep`` names further columns to carry along, here and below.
     """
-    clean = F.regexp_replace(
-        "html",
-        rf"(?is)({h.SCRIPT}|{h.STYLE}|{h.COMMENT})"
-        r"|<title\b[^>]*>.*?</title\s*>|<meta\b[^>]*>",
-        "$1",
-    )
-    clean = h.without_attribute(clean, r"<html\b", "lang")
+
+    def cleaned(piece: Column, name: Column) -> Column:
+        return (
+            F.when(name.isin("<meta", "<title"), F.lit(""))
+            .when(name == "<html", h.without_attributes(piece, "lang"))
+            .otherwise(piece)
+        )
+
+    clean = h.with_markup(F.col("html"), cleaned)
     return page_table.select("page_id", *keep, "html", clean.alias("_clean")).select(
         "page_id",
         *keep,
@@ -97,16 +70,12 @@ def strip_metadata(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     )
 
 
-def _label(event: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in TRIGGER_LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(labels, event), event)
-
-
-def _handlers(tags: Column) -> Column:
-    events = F.flatten(
-        F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(HANDLER), F.lit(1)))
+def _events(tags: Column) -> Column:
+    """Names of the events that the tags handle, without ``on``."""
+    names = F.flatten(F.transform(tags, h.attribute_names))
+    return F.transform(
+        F.filter(names, lambda n: n.rlike(f"^{EVENT}$")), lambda n: F.substring(n, F.lit(3), F.length(n))
     )
-    return F.transform(events, lambda e: _label(F.lower(e)))
 
 
 def _or(text: Column, fallback: str) -> Column:
@@ -122,47 +91,57 @@ def _link_action(href: Column) -> Column:
     )
 
 
+def _reader(attribute: str) -> Callable[[Column], Column]:
+    """Reads one attribute of tags that hold its name; most do not, and are not looked into."""
+    return lambda tag: F.when(F.contains(F.lower(tag), F.lit(attribute)), h.attribute_value(tag, attribute))
+
+
 def page_findings(page_table: DataFrame) -> DataFrame:
     """Findings gathered per page and category: ``page_id, host, category, items``.
 
     Narrow. The categories are fixed; empty ones give no row.
     """
-    source, handlers = F.col("_source"), F.col("_handlers")
+    pieces = F.col("_pieces")
+    opened = F.filter(pieces, lambda p: p.rlike("^<[a-zA-Z]"))
 
-    def tags(pattern: str) -> Column:
-        return F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
+    def is_root(piece: Column) -> Column:
+        return h.name_of(piece).isin(*ROOTS)
 
     refresh = F.transform(
-        tags(f"(?is){META_REFRESH}"),
+        F.filter(
+            h.tags(pieces, "meta"),
+            lambda t: F.lower(h.attribute_value(t, "http-equiv")) == "refresh",
+        ),
         lambda t: F.when(F.lower(t).contains("url"), F.lit("URI")).otherwise(
             F.lit("Destination (non-action)")
         ),
     )
-    scripts = F.transform(
-        tags(r"(?is)<script\b[^>]*>?"), lambda t: _or(h.attribute_value(t, "src"), "inline")
-    )
+
+    def value(tag: Column, attribute: str) -> Column:
+        return F.coalesce(h.attribute_value(tag, attribute), F.lit(""))
+
+    scripts = F.transform(h.tags(pieces, "script"), lambda t: _or(value(t, "src"), "inline"))
     embedded = F.transform(
-        tags(EMBED_TAG),
-        lambda t: _or(
-            F.concat(h.attribute_value(t, "src"), h.attribute_value(t, "data")), "unnamed"
-        ),
+        h.tags(pieces, *EMBEDDING), lambda t: _or(F.concat(value(t, "src"), value(t, "data")), "unnamed")
     )
+    targets = [h.attribute_values(pieces, LINKING, "href")]
+    for attribute in TARGETS.split("|"):
+        targets.append(F.filter(F.transform(opened, _reader(attribute)), lambda v: v.isNotNull()))
     categories = {
         "open_action": refresh,
-        "doc_aa": _handlers(F.filter(handlers, lambda t: t.rlike(ROOT_TAG))),
+        "doc_aa": _events(F.filter(opened, is_root)),
         "javascript": scripts,
         "embedded_files": embedded,
-        "page_actions": _handlers(F.filter(handlers, lambda t: ~t.rlike(ROOT_TAG))),
-        "annot_actions": F.transform(h.attribute_values(source, "a", "href"), _link_action),
-        "xfa": F.transform(tags(r"(?i)<form\b"), lambda t: F.lit("form")),
+        "page_actions": _events(F.filter(opened, lambda t: ~is_root(t))),
+        "annot_actions": F.transform(F.concat(*targets), _link_action),
+        "xfa": F.transform(h.tags(pieces, "form"), lambda t: F.lit("form")),
     }
     found = F.array(
         *[F.struct(F.lit(k).alias("category"), v.alias("items")) for k, v in categories.items()]
     )
     return (
         with_host(page_table)
-        .select("page_id", "host", h.markup_only(F.col("html")).alias("_source"))
-        .select("page_id", "host", "_source", tags(HANDLER_TAG).alias("_handlers"))
+        .select("page_id", "host", h.markup(F.col("html")).alias("_pieces"))
         .select("page_id", "host", F.inline(F.filter(found, lambda f: F.size(f["items"]) > 0)))
     )
 
@@ -217,20 +196,52 @@ def active_content_summary(findings: DataFrame) -> DataFrame:
     )
 
 
+def _quiet(piece: Column) -> Column:
+    """A piece whose opening tag handles no event and carries no target; the rest of it stays."""
+
+    def changed(tag: Column) -> Column:
+        rest = F.substring(piece, F.length(tag) + 1, F.length(piece))
+        return F.concat(h.without_attributes(tag, rf"{EVENT}|{TARGETS}"), rest)
+
+    return F.when(piece.rlike("(?is)^<[a-z].*?(?:on|xlink|formaction)"), let(h.opening(piece), changed)).otherwise(piece)
+
+
+def _is_active(pieces: Column) -> Column:
+    """Whether any piece of a page is what ``page_findings`` reports."""
+
+    def active(piece: Column) -> Column:
+        name = h.name_of(piece)
+        names = h.attribute_names(piece)
+        return (
+            name.isin("<script", "<form", *(f"<{n}" for n in EMBEDDING))
+            | ((name == "<meta") & F.coalesce(F.lower(h.attribute_value(piece, "http-equiv")) == "refresh", F.lit(False)))
+            | (name.isin(*(f"<{n}" for n in LINKING)) & F.array_contains(names, "href"))
+            | (piece.rlike("^<[a-zA-Z]") & F.exists(names, lambda n: n.rlike(f"^(?:{EVENT}|{TARGETS})$")))
+        )
+
+    return F.exists(pieces, active)
+
+
 def strip_active_content(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages without anything ``page_findings`` reports; links keep their text.
 
     A removed part leaves a blank, so that its neighbours cannot join into a new tag.
     """
-    clean = F.regexp_replace(
-        "html",
-        rf"(?is)({h.STYLE}|{h.COMMENT})|{h.SCRIPT}"
-        rf"|</?(?:iframe|object|embed|form)\b[^>]*(?:>|\z)|{META_REFRESH}",
-        "$1 ",
-    )
-    clean = h.without_attribute(clean, "<[a-z]", "on[a-z]+")
-    clean = h.without_attribute(clean, r"<a(?=[\s/])", "href")
-    active = h.markup_only(F.col("html")).rlike(ACTIVE)
+
+    def cleaned(piece: Column, name: Column) -> Column:
+        refresh = (name == "<meta") & F.coalesce(
+            F.lower(h.attribute_value(piece, "http-equiv")) == "refresh", F.lit(False)
+        )
+        links = name.isin(*(f"<{n}" for n in LINKING))
+        return (
+            F.when(name.isin("<!--", "<style"), F.concat(_quiet(piece), F.lit(" ")))
+            .when((name == "<script") | name.isin(*GONE) | refresh, F.lit(" "))
+            .when(links, h.without_attributes(piece, rf"{EVENT}|{TARGETS}|href"))
+            .otherwise(_quiet(piece))
+        )
+
+    clean = h.with_markup(F.col("html"), cleaned)
+    active = _is_active(h.markup(F.col("html")))
     return page_table.select("page_id", *keep, "html", active.alias("changed")).select(
         "page_id",
         *keep,

@@ -53,17 +53,15 @@ def corpus_profile(docs: DataFrame) -> DataFrame:
 
 def page_profile(page_table: DataFrame) -> DataFrame:
     """Active parts, images, elements, title and size of each web page."""
-    return (
-        page_table.select("page_id", "html", h.markup_only(F.col("html")).alias("_clean"))
-        .select(
-            "page_id",
-            h.title(F.col("_clean")).alias("title"),
-            F.col("_clean").rlike(r"(?i)<script\b").alias("has_javascript"),
-            h.count_tags(F.col("_clean"), "iframe|object|embed").alias("n_attachments"),
-            h.count_tags(F.col("_clean"), "img").alias("n_images"),
-            F.size(h.element_names(F.col("_clean"))).alias("n_resources"),
-            F.octet_length("html").alias("bytes"),
-        )
+    pieces = F.col("_pieces")
+    return page_table.select("page_id", "html", h.markup(F.col("html")).alias("_pieces")).select(
+        "page_id",
+        h.title(pieces).alias("title"),
+        (F.size(h.tags(pieces, "script")) > 0).alias("has_javascript"),
+        F.size(h.tags(pieces, "iframe", "object", "embed")).alias("n_attachments"),
+        F.size(h.tags(pieces, "img")).alias("n_images"),
+        F.size(h.element_names(pieces)).alias("n_resources"),
+        F.octet_length("html").alias("bytes"),
     )
 
 
@@ -75,7 +73,7 @@ def resource_catalog(page_table: DataFrame) -> DataFrame:
     serves the totals as well: the totals read ``n_pages`` to need the same columns.
     """
     used = with_host(page_table).select(
-        "host", F.explode(h.element_names(h.markup_only(F.col("html")))).alias("resource")
+        "host", F.explode(h.element_names(h.markup(F.col("html")))).alias("resource")
     )
     names = used.groupBy("host", "resource").agg(F.count(F.lit(1)).alias("n_pages"))
     totals = names.groupBy("host").agg(F.count_if(F.col("n_pages") > 0).alias("n_resources"))

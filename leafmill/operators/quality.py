@@ -51,7 +51,7 @@ def structure_check(
     warn_tags: tuple[str, ...] = WARN_TAGS,
 ) -> DataFrame:
     """Result code and issues of each page; an error outranks a warning."""
-    balance = h.tag_balance(F.col("html"), (*error_tags, *warn_tags))
+    balance = h.tag_balance(h.markup(F.col("html")), (*error_tags, *warn_tags))
     return page_table.select("page_id", balance.alias("_balance")).select(
         "page_id",
         _code(F.col("_balance"), error_tags).alias("code"),
@@ -72,26 +72,30 @@ def blank_page_check(doc_pages: DataFrame, threshold: float = BLANK_SHARE) -> Da
     )
 
 
-def _cut_in(html: Column) -> Column:
-    """Opening of the script, style or comment in which the page ends; empty when in none."""
-    rest = F.regexp_replace(
-        html,
-        r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->",
-        "",
+def _last(pieces: Column) -> Column:
+    """The piece of markup in which the page is cut off; NULL when in none."""
+    last = F.try_element_at(pieces, F.lit(-1))
+    whole = (
+        F.when(last.startswith("<!--"), last.endswith("-->"))
+        .when(last.rlike(r"(?i)^<script(?=[\s/>])"), last.rlike(r"(?is)</script\s*+>$"))
+        .when(last.rlike(r"(?i)^<style(?=[\s/>])"), last.rlike(r"(?is)</style\s*+>$"))
+        .otherwise(last.endswith(">"))
     )
-    return F.lower(F.regexp_extract(rest, r"(?i)(<!--|<script\b|<style\b)", 1))
+    return F.when((F.size(pieces) > 0) & ~whole, last)
 
 
-def _closed(html: Column, balance: Column, cut_in: Column) -> Column:
+def _closed(html: Column, balance: Column, last: Column) -> Column:
     """Append what a cut-off page lacks at its end; nothing else is made up."""
+    name = F.coalesce(h.name_of(last), F.lit(""))
     end_of_block = (
-        F.when(cut_in == "<!--", F.lit("-->"))
-        .when(cut_in == "<script", F.lit("</script>"))
-        .when(cut_in == "<style", F.lit("</style>"))
+        F.when(name == "<!--", F.lit("-->"))
+        .when(name == "<script", F.lit("</script>"))
+        .when(name == "<style", F.lit("</style>"))
         .otherwise(F.lit(""))
     )
     whole_tags = F.when(
-        cut_in == "", F.regexp_replace(html, r"<[a-zA-Z/!][^<>]*+\z", "")
+        last.isNotNull() & ~name.isin(*h.HIDDEN),
+        F.substring(html, F.lit(1), F.length(html) - F.length(last)),
     ).otherwise(html)
     missing = [
         F.repeat(F.lit(f"</{tag}>"), F.greatest(_open(balance, tag), F.lit(0)))
@@ -107,21 +111,26 @@ def repair_pages(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     ``keep`` names further columns to carry along.
     """
     tags = (*ERROR_TAGS, *WARN_TAGS)
-    checked = page_table.select(
-        "page_id", *keep, "html", h.tag_balance(F.col("html"), tags).alias("_before")
+    found = page_table.select("page_id", *keep, "html", h.markup(F.col("html")).alias("_pieces"))
+    checked = found.select(
+        "page_id",
+        *keep,
+        "html",
+        h.tag_balance(F.col("_pieces"), tags).alias("_before"),
+        _last(F.col("_pieces")).alias("_last"),
     ).withColumn("code_before", _code(F.col("_before"), ERROR_TAGS))
     faulty = F.col("code_before") != CLEAN
-    repaired = checked.withColumn("_cut_in", F.when(faulty, _cut_in(F.col("html")))).select(
+    repaired = checked.select(
         "page_id",
         *keep,
         "code_before",
         "html",
-        F.when(faulty, _closed(F.col("html"), F.col("_before"), F.col("_cut_in")))
+        F.when(faulty, _closed(F.col("html"), F.col("_before"), F.col("_last")))
         .otherwise(F.col("html"))
         .alias("_after"),
     ).withColumn("repaired", F.col("_after") != F.col("html"))
     again = repaired.withColumn(
-        "_again", F.when(F.col("repaired"), h.tag_balance(F.col("_after"), tags))
+        "_again", F.when(F.col("repaired"), h.tag_balance(h.markup(F.col("_after")), tags))
     )
     return again.withColumn("_text", h.visible_text(F.col("_after"))).select(
         "page_id",
