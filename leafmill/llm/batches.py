@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,44 +86,51 @@ def shared_bytes(spark: SparkSession, path: str) -> Callable[[], bytes]:
 class WordIds:
     """Ids of words, each distinct word encoded once as long as it is kept.
 
-    ``encode`` gets a list of words and returns a list of id lists. At most ``limit`` words are
-    kept between calls, which bounds memory; the ids never depend on what is kept.
+    ``encode`` gets a list of words and returns a list of id lists. Beyond ``limit`` words between
+    calls the less used half is forgotten, which bounds memory; ids never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 300_000, kind: type = np.int32):
+    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], limit: int = 400_000, kind: type = np.int32):
         self.encode, self.limit, self.kind = encode, limit, kind
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=self.kind)
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.count = np.zeros(1 << 14, dtype=np.int32)
-        self.used = self.known = 0
+        self.number: dict = {}
+        self.flat = np.zeros(0, dtype=kind)
+        self.start, self.count, self.hits = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.used = 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, len(a) * 3 // 2, 1 << 14) - len(a), a.dtype)])
 
-    def _learn(self, words: list[str]) -> None:
+    def _forget(self) -> None:
+        known = len(self.number)
+        best = np.sort(np.argpartition(self.hits[:known], known // 2)[known // 2 :])
+        words = list(self.number)
+        self.number = {words[i]: n for n, i in enumerate(best.tolist())}
+        counts = self.count[best]
+        self.flat = self.flat[runs(self.start[best], counts)]
+        self.start, self.count, self.hits = np.cumsum(counts) - counts, counts, self.hits[best] // 2
+        self.used = len(self.flat)
+
+    def _learn(self, words: list) -> None:
         found = self.encode(words)
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        total, known = int(sizes.sum()), self.known + len(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total, known = int(sizes.sum()), len(self.number)
+        old = known - len(words)
         self.flat = self._room(self.flat, self.used + total)
-        self.start, self.count = self._room(self.start, known), self._room(self.count, known)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.kind, total)
-        self.start[self.known : known] = self.used + np.cumsum(sizes) - sizes
-        self.count[self.known : known] = sizes
-        self.used, self.known = self.used + total, known
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.start, self.count, self.hits = (self._room(a, known) for a in (self.start, self.count, self.hits))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.kind, total)
+        self.start[old:known] = self.used + np.cumsum(sizes) - sizes
+        self.count[old:known] = sizes
+        self.hits[old:known] = 0
+        self.used += total
+
+    def of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and the number of ids of each word."""
-        if self.known > self.limit:
+        if len(self.number) > self.limit:
             self._forget()
         number, new = self.number, []
         at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        for i in missing.tolist():
+        for i in np.flatnonzero(at < 0).tolist():
             w = words[i]
             n = number.get(w)
             if n is None:
@@ -132,5 +139,9 @@ class WordIds:
             at[i] = n
         if new:
             self._learn(new)
+        if len(at) * 8 > len(number):
+            self.hits[: len(number)] += np.bincount(at, minlength=len(number))
+        else:
+            np.add.at(self.hits, at, 1)
         counts = self.count[at]
         return self.flat[runs(self.start[at], counts)], counts

@@ -136,14 +136,26 @@ class Codec:
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else r"(?s).+").findall
         # with a mark before every word, words are known without their first mark
         self.marked = apart and self.prefix and not self.squeeze
-        self.known = WordIds(lambda words: self.cutter.encode([MARK + w for w in words] if self.marked else words, num_threads=1))
+        # where no piece holds a line feed, nothing merges across one
+        self.lines = self.marked and not any(b"\n" in p[PIECE_TEXT] for p in pieces)
+        self.known = WordIds(lambda words: self.cutter.encode(list(map(self._whole, words)), num_threads=1))
+
+    def _whole(self, word: str) -> str:
+        return word if not self.marked or self.lines and word[:1] == "\n" else MARK + word
 
     def words(self, text: str, normal: str) -> list[str]:
         """Stretches of a normalised text that no merge crosses."""
         if self.marked and not self.map and MARK not in text and "  " not in text and text[:1] not in ("", " "):
-            return text.split(" ")
+            if not self.lines:
+                return text.split(" ")
+            if " \n" not in text:
+                return text.replace("\n", " \n").split(" ")
         found = self.cut(normal)
-        return [w[1:] for w in found] if self.marked else found
+        if not self.marked:
+            return found
+        if not self.lines:
+            return [w[1:] for w in found]
+        return [x for w in found for x in (("", w[1:]) if w[1:2] == "\n" else (w[1:],))]
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its bytes and its end the source byte it stems from."""
@@ -223,7 +235,7 @@ class Codec:
         at = 0
         for word, n in zip(words, per_word, strict=True):
             if (ids[at : at + n] == self.unknown).any():
-                spans = self.cutter.encode(MARK + word if self.marked else word, out_type="immutable_proto").pieces
+                spans = self.cutter.encode(self._whole(word), out_type="immutable_proto").pieces
                 width[at : at + n] = [len(p.surface.encode()) for p in spans]
             at += n
 
