@@ -36,31 +36,62 @@ SIZE = 2048
 QUANTUM = 128
 END_ID = 1
 MAX_QUEUES = 64
+KEPT_WORDS = 600_000
+# Marks that the tokenizer keeps together and apart from letters and digits.
+POINTS = b".,!?;:*%$#&"
 WEIGHT_UNITS = 1 << 20
 
 
 class TextIds:
     """Ids of whole texts by a tokenizer whose pre-tokenizer drops white space.
 
-    No token crosses white space, so that the words between blanks are encoded once each.
+    No token crosses white space, so that the words between blanks are encoded once each. The
+    tokenizer must not tell capitals A-Z from small letters.
     """
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(definition.decode())
-        if [x.ids for x in tokenizer.encode_batch(["a b", "a \n\tb"], add_special_tokens=False)] != [
+        if [x.ids for x in tokenizer.encode_batch(["a b", "A \n\tb"], add_special_tokens=False)] != [
             [i for w in "ab" for i in tokenizer.encode(w, add_special_tokens=False).ids]
         ] * 2:
             raise ValueError("the tokenizer must drop white space between words")
-        self.words = WordIds(
-            lambda words: [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        )
+        self.library = lambda words: [
+            x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        ]
+        self.ends: dict[bytes, list[int]] = {}
+        self.words = WordIds(self._encode, limit=KEPT_WORDS)
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of new words; after a letter or digit, a run of ``POINTS`` is a token run of its
+        own, so that a word is often known already without it."""
+        known, new, at = self.words, [], []
+        found: list = [None] * len(words)
+        for i, w in enumerate(words):
+            stem = w.rstrip(POINTS)
+            if len(stem) < len(w) and stem[-1:].isalnum():
+                n = known.number.get(stem, len(known.count))
+                if n < len(known.count) and known.count[n]:
+                    end = w[len(stem) :]
+                    if end not in self.ends:
+                        self.ends[end] = self.library([end])[0]
+                    a = known.start[n]
+                    found[i] = [*known.flat[a : a + known.count[n]].tolist(), *self.ends[end]]
+                    continue
+            new.append(w)
+            at.append(i)
+        for i, ids in zip(at, self.library(new), strict=True):
+            found[i] = ids
+        if len(self.ends) > 10_000:
+            self.ends.clear()
+        return found
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words: list[bytes] = []
         sizes = []
         for text in texts:
-            found = text.split()
+            # letters lose their case anyway, but names of special tokens must not gain one
+            found = (text if b"<|" in text else text.lower()).split()
             words += found
             sizes.append(len(found))
         ids, per_word = self.words.of(words)
