@@ -36,8 +36,11 @@ from leafmill.llm.links import components
 WORDS = 5
 THRESHOLD = 75  # of 100
 TREES, LEAST, DEEPEST = 32, 4, 12
-AHEAD = 4  # neighbours looked at in each order
-PIVOT_DEPTHS = (4, 6, 9, 12)
+AHEAD = 3  # neighbours looked at in each order
+PIVOT_DEPTHS = (4, 8)
+#: Of the minima that a tree sorts by beyond ``LEAST``, how many must be equal at least: two sets of
+#: similarity 0.75 have fewer with a chance of 0.004, and then still other trees.
+EQUAL = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.default_rng(20)
 FACTORS = _seeds.integers(1, 2**63, TREES * LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +124,11 @@ class Neighbours:
 
     def __init__(self) -> None:
         self.tail: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        self.pivot: dict[int, tuple[int, int]] = {}
+        self.pivot: dict[int, tuple[int, int, np.ndarray]] = {}
+
+    @staticmethod
+    def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x[:, LEAST + 1 :] == y[:, LEAST + 1 :]).sum(axis=1)
 
     def of(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs ``(smaller id, larger id)`` that end in the given rows; keys begin with the tree."""
@@ -135,7 +142,7 @@ class Neighbours:
                 near = (keys[d:, : LEAST + 1] == keys[:-d, : LEAST + 1]).all(axis=1)
                 near[: max(0, old - d)] = False
                 at = np.flatnonzero(near)
-                found.append((ids[at], ids[at + d], sizes[at], sizes[at + d]))
+                found.append((ids[at], ids[at + d], sizes[at], sizes[at + d], self._equal(keys[at], keys[at + d])))
         index = np.arange(len(ids))
         for depth in PIVOT_DEPTHS:
             new = np.ones(len(ids), bool)
@@ -143,15 +150,17 @@ class Neighbours:
             if old:
                 new[:old] = False
             first = np.maximum.accumulate(np.where(new, index, -1))
-            pid, psize = self.pivot.get(depth, (-1, 0))
-            pivots = np.where(first >= 0, ids[first], pid)[old:]
-            weights = np.where(first >= 0, sizes[first], psize)[old:]
+            pid, psize, pkey = self.pivot.get(depth, (-1, 0, keys[0]))
+            held = (first >= 0)[old:]
+            first = first[old:]
+            pivots, weights = np.where(held, ids[first], pid), np.where(held, sizes[first], psize)
+            heads = np.where(held[:, None], keys[first], pkey)
             other = pivots != ids[old:]
-            found.append((pivots[other], ids[old:][other], weights[other], sizes[old:][other]))
-            self.pivot[depth] = int(pivots[-1]), int(weights[-1])
+            found.append((pivots[other], ids[old:][other], weights[other], sizes[old:][other], self._equal(heads[other], keys[old:][other])))
+            self.pivot[depth] = int(pivots[-1]), int(weights[-1]), heads[-1]
         self.tail = keys[-AHEAD:], ids[-AHEAD:], sizes[-AHEAD:]
-        a, b, m, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        alike = 100 * np.minimum(m, n) >= THRESHOLD * np.maximum(m, n)
+        a, b, m, n, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+        alike = (100 * np.minimum(m, n) >= THRESHOLD * np.maximum(m, n)) & (equal >= EQUAL)
         return np.minimum(a, b)[alike], np.maximum(a, b)[alike]
 
 
@@ -179,11 +188,14 @@ def candidates(heads: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose full sets are similar enough."""
+    """Those of ``pairs`` (``a, b``) whose full sets are similar enough.
+
+    Sets are sorted to their pairs by the same plan at every size.
+    """
     joined = (
         pairs.select("a", "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     )
     both = F.size(F.array_intersect("x", "y"))
     return joined.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), both.alias("both")).filter(
@@ -202,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     pairs = written(candidates(heads), "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(shingle_sets(texts), "sets")
 
     # the partner most trees name, of each document
