@@ -12,7 +12,7 @@ the subsets in which either text has terms. A text without terms in the band use
 
 Defined results: null is the empty text, whose fingerprint is that of no terms; two such texts are
 alike (1). Equal texts have equal fingerprints. Repeated rows stay; the order of equal doc_ids is
-by text. Other columns are ignored. An empty table gives no rows.
+by compressed text. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +23,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.batches import bytes_of, text_slices, texts_of, written
+from leafmill.llm.batches import bytes_of, text_slices
 
 #: Band of ln(N / df): no words of every second text, no words of fewer than one text in 1,000.
 LOWER, UPPER = math.log(2), math.log(1000)
 #: Rates at which subsets keep terms, and the number of subsets of each rate.
 RATES, SUBSETS = (1 / 2, 1 / 8, 1 / 32, 1 / 128), 8
 NONE = "-"
+#: Distinct terms a task adds up before it sends them on.
+KEPT_TERMS = 800_000
 
 
 def terms_of(text: bytes) -> set[bytes]:
@@ -53,7 +57,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
                 for data in bytes_of(part, text):
                     for term in terms_of(data):
                         held[term] = held.get(term, 0) + 1
-                if len(held) > 400_000:
+                if len(held) > KEPT_TERMS:
                     yield out()
                     held.clear()
         yield out()
@@ -94,7 +98,7 @@ class Fingerprints:
         for term in kept:
             for k in members[term] if members is not None else self._member(term):
                 groups[k].append(term)
-        return ".".join(hashlib.blake2b(b"\n".join(g), digest_size=6).hexdigest() if g else NONE for g in groups)
+        return ".".join(hashlib.blake2b(b"\n".join(g), digest_size=4).hexdigest() if g else NONE for g in groups)
 
 
 def likeness(a: str, b: str) -> float:
@@ -126,74 +130,86 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-ROW = "doc_id {id}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and how like they and the next text are.
 
-    Texts are placed by ranges of ``doc_id`` once. Each task pairs neighbours as it reads; only
-    the first and last text of every partition go on, to be paired across partitions.
+    Texts, compressed, are placed by ranges of ``doc_id`` once. Each task pairs neighbours as it
+    reads; only the first and last text of every partition are paired across partitions.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(lexicon(docs))
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    names = [f.split()[0] for f in ROW.split(", ")]
 
-    def report(made: Fingerprints, a: tuple, b: tuple, marks: tuple[str, str]) -> list:
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(pack, bytes_of(part, "text")), pa.binary())], names=["doc_id", "data"])
+
+    # a fixed number of partitions: both readers below see the same ones
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("doc_id", "text").mapInArrow(compress, f"doc_id {kind}, data binary")
+    ranged = packed.repartitionByRange(parts, "doc_id", "data").sortWithinPartitions("doc_id", "data")
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Rows of a batch with their texts unpacked one by one."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            yield key, unpack(data).decode("utf-8", "surrogatepass")
+
+    def report(made: Fingerprints, a: tuple, b: tuple, marks: tuple[str, str]) -> tuple:
         edited = edited_text(a[1], b[1])
-        data = edited.encode()
+        data = edited.encode("utf-8", "surrogatepass")
         mark = made.of(data)
-        return [a[0], len(a[1]), hashlib.sha256(data).hexdigest(), marks[0], mark, likeness(marks[0], mark), likeness(*marks)]
+        return a[0], len(a[1]), hashlib.sha256(data).hexdigest(), marks[0], mark, likeness(marks[0], mark), likeness(*marks)
 
-    def columns(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), REPORT, strict=True)], schema=REPORT)
 
-    id_type = pa.int64()
-    inner = pa.schema([("doc_id", id_type), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    outer = pa.schema([*inner, ("part", pa.int32()), ("first_text", pa.string()), ("last_id", id_type), ("last_text", pa.string())])
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, last, mark = Fingerprints(shared.value), None, ""
+        for batch in batches:
+            rows = []
+            for item in read(batch):
+                new = made.of(item[1].encode("utf-8", "surrogatepass"))
+                if last is not None:
+                    rows.append(report(made, last, item, (mark, new)))
+                last, mark = item, new
+            if rows:
+                yield table(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Fingerprints(shared.value)
-        first = last = mark = part_no = None
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                rows = []
-                part_no = part.column("part")[0].as_py()
-                for item in zip(part.column("doc_id").to_pylist(), texts_of(part, "text"), strict=True):
-                    new = made.of(item[1].encode())
-                    if last is None:
-                        first = item
-                    else:
-                        rows.append([*report(made, last, item, (mark, new)), part_no, None, None, None])
-                    last, mark = item, new
-                if rows:
-                    yield columns(rows, outer)
-        if last is not None:
-            yield columns([[None] * 7 + [part_no, first[1], last[0], last[1]]], outer)
-
-    done = written(ranged.mapInArrow(run, ROW.format(id=kind) + f", part int, first_text string, last_id {kind}, last_text string"), "neighbours")
-    # two texts per partition: pair the last of each with the first of the next, the last with the first of all
-    ends = done.filter(F.col("first_text").isNotNull())
-    order = [r.part for r in ends.select("part").orderBy("part").toLocalIterator()]
-    following = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    if not order:
-        return done.select(*names)
-    step = F.create_map(*(F.lit(x) for pair in following.items() for x in pair))
-    pairs = ends.select("last_id", "last_text", step[F.col("part")].alias("next")).join(
-        ends.select(F.col("part").alias("next"), "first_text"), "next"
-    )
+            if batch.num_rows:
+                first = batch.slice(0, 1) if first is None else first
+                last = batch.slice(batch.num_rows - 1, 1)
+        if first is not None:
+            at = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([at]), first.column("data"), last.column("doc_id"), last.column("data")], names=["part", "first", "doc_id", "data"])
+
+    # a row per partition: the last text of each with the first of the next, or the first of all
+    borders = ranged.mapInArrow(ends, f"part bigint, first binary, doc_id {kind}, data binary")
+    order = Window.orderBy("part")
+    following = F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    pairs = borders.select("doc_id", "data", following.alias("following"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Fingerprints(shared.value)
+        made, unpack = Fingerprints(shared.value), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for key, a, b in zip(batch.column("last_id").to_pylist(), texts_of(batch, "last_text"), texts_of(batch, "first_text"), strict=True):
-                rows.append(report(made, (key, a), (None, b), (made.of(a.encode()), made.of(b.encode()))))
+            for item, data in zip(read(batch), batch.column("following").to_pylist(), strict=True):
+                raw = unpack(data)
+                marks = made.of(item[1].encode("utf-8", "surrogatepass")), made.of(raw)
+                rows.append(report(made, item, (None, raw.decode("utf-8", "surrogatepass")), marks))
             if rows:
-                yield columns(rows, inner)
+                yield table(rows)
+
+    fields = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return ranged.mapInArrow(inner, fields).unionByName(pairs.mapInArrow(across, fields))
+
 
-    rest = pairs.select("last_id", "last_text", "first_text").mapInArrow(across, ROW.format(id=kind))
-    return done.filter(F.col("first_text").isNull()).select(*names).unionByName(rest)
+REPORT = pa.schema([
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+])
