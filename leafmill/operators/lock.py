@@ -26,14 +26,19 @@ def _checked(key: Column) -> Column:
     )
 
 
+def _scalar(keys: DataFrame, name: str) -> Column:
+    """The only value of ``name``; also a table without rows is refused, when a row is read."""
+    missing = F.raise_error(F.lit("the key table has no row")).cast("binary")
+    return F.coalesce(keys.select(_checked(F.col(name)).alias(name)).scalar(), missing)
+
+
 def _user_key(keys: DataFrame, restricted: bool) -> Column:
-    key = _checked(F.col("key"))
+    key = _scalar(keys, "key")
     if restricted:
-        key = F.when(
-            F.col("key") == F.col("owner_key"),
-            F.raise_error(F.lit("user and owner key must differ")).cast("binary"),
-        ).otherwise(key)
-    return keys.select(key.alias("key")).scalar()
+        same = F.raise_error(F.lit("user and owner key must differ")).cast("binary")
+        differ = keys.select(F.when(F.col("key") == F.col("owner_key"), same).otherwise(F.col("key")).alias("key"))
+        key = F.coalesce(differ.scalar(), key)
+    return key
 
 
 def protect_columns(df: DataFrame, cols: list[str], keys: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def protect_columns(df: DataFrame, cols: list[str], keys: DataFrame) -> DataFram
         for c in cols
     }
     if restricted:
-        owner = keys.select(_checked(F.col("owner_key")).alias("owner_key")).scalar()
+        owner = _scalar(keys, "owner_key")
         kept = F.col("owner_slot") if "owner_slot" in df.columns else F.lit(None).cast("binary")
         changed["owner_slot"] = F.when(locked, kept).otherwise(
             F.aes_encrypt(key, owner, F.lit("GCM"))
@@ -74,7 +79,7 @@ def unprotect_columns(df: DataFrame, cols: list[str], keys: DataFrame) -> DataFr
         fits = fits & (F.col(c).isNull() | F.col(f"_open_{c}").isNotNull())
     status = (
         F.when(~F.col("locked"), F.lit("open"))
-        .when(fits, F.lit("unlocked"))
+        .when(key.isNotNull() & fits, F.lit("unlocked"))  # a try would hide a refused key
         .otherwise(F.lit("wrong key"))
     )
     result = opened.withColumn("status", status).withColumns(

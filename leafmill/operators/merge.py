@@ -37,6 +37,25 @@ def merge_documents(
     )
 
 
+def merge_report(doc_pages: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``out_id, inputs, missing, status`` of every output that ``manifest`` names.
+
+    An input without pages is ``missing``; the status is ``ok``, ``missing`` where inputs lack, or
+    ``single`` where fewer than two inputs are left and so nothing is made.
+    """
+    there = doc_pages.select("doc_id").distinct().withColumn("_there", F.lit(1))
+    inputs = manifest.select("out_id", "doc_id").distinct().join(there, "doc_id", "left")
+    counted = inputs.groupBy("out_id").agg(
+        F.count(F.lit(1)).alias("inputs"), F.count_if(F.col("_there").isNull()).alias("missing")
+    )
+    status = (
+        F.when(F.col("inputs") - F.col("missing") < 2, F.lit("single"))
+        .when(F.col("missing") > 0, F.lit("missing"))
+        .otherwise(F.lit("ok"))
+    )
+    return counted.withColumn("status", status)
+
+
 def number_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """1-based rank of ``order`` in ``group``; used to derive manifests."""
     return running_totals(df, group, [order]).withColumn(

@@ -117,7 +117,10 @@ def running_totals(
         F.sum("_rows").over(Window.partitionBy(group)).alias("_group_size"),
     )
 
-    joined = local.join(offsets, ["_part", group]).withColumn(
+    # a NULL group is a group like any other
+    found = offsets.withColumnsRenamed({"_part": "_of_part", group: "_of_group"})
+    same = (F.col("_part") == F.col("_of_part")) & F.col(group).eqNullSafe(F.col("_of_group"))
+    joined = local.join(found, same).drop("_of_part", "_of_group").withColumn(
         "_position", F.col("_position") + F.col("_rows_before")
     )
     if value:

@@ -79,3 +79,10 @@ def test_plan_does_not_show_the_key(spark):
     text = shown.getvalue() + df._jdf.queryExecution().toString()
     for key in (USER, OWNER):
         assert key.decode() not in text and key.hex() not in text.lower()
+
+
+def test_a_key_table_without_rows_is_refused(spark):
+    none = spark.createDataFrame([], "key binary")
+    for job in (protect_columns(docs(spark), ["text"], none), unprotect_columns(docs(spark).withColumn("text", F.col("text").cast("binary")).withColumn("locked", F.lit(True)), ["text"], none)):
+        with pytest.raises(Exception, match="key table has no row"):
+            job.collect()

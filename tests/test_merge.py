@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from leafmill.operators.merge import merge_documents, number_within, split_on_breaks
+from leafmill.operators.merge import merge_documents, merge_report, number_within, split_on_breaks
 
 
 def test_merge(spark, small_blocks, eager_salting, many_partitions):
@@ -68,3 +68,10 @@ def test_merge_keeps_all_pages(spark, small):
     pages = tables.paginate(docs)
     manifest = docs.select(F.col("source").alias("out_id"), F.col("doc_id").alias("seq"), "doc_id")
     assert merge_documents(pages, manifest).count() == pages.count()
+
+
+def test_report_names_what_is_missing(spark):
+    pages = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "doc_id long, page_no int, text string")
+    manifest = spark.createDataFrame([("x", 1, 1), ("x", 2, 2), ("y", 1, 1), ("y", 2, 7), ("z", 1, 1), ("z", 2, 2), ("z", 3, 9)], "out_id string, seq int, doc_id long")
+    rows = {r.out_id: (r.inputs, r.missing, r.status) for r in merge_report(pages, manifest).collect()}
+    assert rows == {"x": (2, 0, "ok"), "y": (2, 1, "single"), "z": (3, 1, "missing")}

@@ -57,3 +57,9 @@ def test_spread_join_with_known_counts(spark, eager_salting):
     got = sorted(map(tuple, spread_join(df, few, ["g"], ["k"], rows="n").select("g", "k", "n").collect()))
     want = sorted(map(tuple, df.join(few, "g").select("g", "k", "n").collect()))
     assert got == want
+
+
+def test_a_missing_group_is_a_group(spark, many_partitions):
+    df = spark.createDataFrame([(None, i, 2) for i in range(9)] + [("a", 1, 5)], "g string, k int, v int")
+    rows = {(r.g, r.k): (r._position, r._group_size, r._before) for r in running_totals(df, "g", ["k"], "v").collect()}
+    assert rows == {**{(None, i): (i + 1, 9, 2 * i) for i in range(9)}, ("a", 1): (1, 1, 0)}
