@@ -13,6 +13,12 @@ Two sets of similarity 0.75 share no prefix in any tree with a chance of (1 - 0.
 only pairs that are not yet in one component are looked at.
 
 Sorted orders are cut by ranges, so that a crowded region spreads over tasks like any other rows.
+Runs of the shortest prefix that are longer than the neighbours looked at, or that a cut may have
+divided, are settled afterwards: as long as such a run has members of several components, every
+member outside its largest one is compared with all members of others by their whole signatures,
+and its best partners, more in every round, are confirmed. This ends when no pair of different
+components with ``FLOOR`` equal minima is left untried, so that no member of a run is left out.
+Blocks of at most about ``BLOCK`` members meet in a task.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; fewer than
 five words are one shingle; repeated rows of a doc_id share its result; a null doc_id takes part
@@ -27,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.batches import WordIds, bytes_of, lists, text_slices, written
 from leafmill.llm.links import components
+from leafmill.plans.scale import spread_join
 
 WORDS = 5
 THRESHOLD = 75  # of 100
@@ -41,6 +48,10 @@ PIVOT_DEPTHS = (4, 8)
 #: Of the minima that a tree sorts by beyond ``LEAST``, how many must be equal at least: two sets of
 #: similarity 0.75 have fewer with a chance of 0.004, and then still other trees.
 EQUAL = 3
+#: Least equal minima of whole signatures of a crowded run: two sets of similarity 0.75 have 96 of
+#: 128 on average and fewer than 70 with a chance of about 1 in ten million.
+FLOOR = 70
+BLOCK = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.default_rng(20)
 FACTORS = _seeds.integers(1, 2**63, TREES * LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,8 +175,45 @@ class Neighbours:
         return np.minimum(a, b)[alike], np.maximum(a, b)[alike]
 
 
+class Crowds:
+    """Members of the runs of one sorted order that ``Neighbours`` may not compare in full."""
+
+    def __init__(self) -> None:
+        self.open: np.ndarray | None = None  # prefix of the run being given out
+        self.held: tuple[np.ndarray, np.ndarray] | None = None  # last run, as long as it is short
+
+    def of(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefixes and ids; a task's first run counts, as it may have begun in the task before."""
+        keys = keys[:, : LEAST + 1]
+        if self.open is None:
+            self.open = keys[0]
+        if self.held is not None:
+            keys, ids = (np.concatenate(x) for x in zip(self.held, (keys, ids), strict=True))
+        new = np.ones(len(ids), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        run = np.cumsum(new) - 1
+        crowded = np.bincount(run) > AHEAD + 1
+        crowded[0] |= (keys[0] == self.open).all()
+        last = np.flatnonzero(new)[-1]
+        self.held = None
+        if crowded[-1]:
+            self.open = keys[-1]
+        else:
+            self.held = keys[last:], ids[last:]
+        out = crowded[run]
+        return keys[out], ids[out]
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The last run, which may go on in the task after."""
+        return self.held if self.held is not None else (np.zeros((0, LEAST + 1), np.uint16), np.zeros(0, np.int64))
+
+
 def candidates(heads: DataFrame) -> DataFrame:
-    """``a, b, votes``: pairs of representatives near each other in some tree, and in how many."""
+    """``a, b, votes, run``: pairs of representatives near each other in some tree, and in how many.
+
+    Rows with a ``run``, which is a tree and a prefix, name its members ``a`` instead: those of
+    crowded and cut runs.
+    """
     trees = heads.select("rep", "n_shingles", F.concat("signature", F.substring("signature", 1, 2 * DEEPEST)).alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     keyed = trees.select(
         "rep",
@@ -175,16 +223,27 @@ def candidates(heads: DataFrame) -> DataFrame:
     ordered = keyed.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Neighbours()
+        order, crowds = Neighbours(), Crowds()
+
+        def members(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            data, width = keys.astype(">u2").tobytes(), 2 * (LEAST + 1)
+            names = pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())
+            none = pa.nulls(len(ids), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none, none, names], names=["a", "b", "votes", "run"])
+
         for batch in batches:
             if batch.num_rows:
                 keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(batch.num_rows, DEEPEST + 1)
                 ids, sizes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "n"))
-                a, b = order.of(keys.astype(np.uint16), ids, sizes)
+                keys = keys.astype(np.uint16)
+                a, b = order.of(keys, ids, sizes)
                 pairs, votes = np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(votes)], names=["a", "b", "votes"])
+                none = pa.nulls(len(votes), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(votes), none], names=["a", "b", "votes", "run"])
+                yield members(*crowds.of(keys, ids))
+        yield members(*crowds.rest())
 
-    return ordered.mapInArrow(run, "a bigint, b bigint, votes bigint").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    return ordered.mapInArrow(run, "a bigint, b bigint, votes bigint, run binary").groupBy("a", "b", "run").agg(F.sum("votes").alias("votes"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,6 +262,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _partners(most: int):
+    """For each member outside the largest component of its run: the ``most`` best of a block."""
+
+    def best(block: pa.Table) -> pa.Table:
+        rep, root, size = (block.column(c).to_numpy() for c in ("rep", "root", "n_shingles"))
+        marks = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint16).reshape(len(rep), len(FACTORS))
+        asks = block.column("asks").to_numpy()
+        others = np.flatnonzero(~asks)
+        found: list[tuple[np.ndarray, ...]] = []
+        for i in np.flatnonzero(asks).tolist():
+            small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+            at = others[(root[others] != root[i]) & (100 * small >= THRESHOLD * large)]
+            equal = (marks[at] == marks[i]).sum(axis=1)
+            at, equal = at[equal >= FLOOR], equal[equal >= FLOOR]
+            top = np.lexsort((rep[at], -equal))[:most]
+            found.append((np.full(len(top), rep[i]), rep[at[top]], equal[top], np.full(len(top), len(at) > most)))
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        return pa.table([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["rep", "other", "equal", "more"])
+
+    return best
+
+
+def offers(members: DataFrame, heads: DataFrame, place: DataFrame, most: int) -> DataFrame | None:
+    """``a, b, further``: the ``most`` best partners in other components of every member that is
+    not in the largest component of one of its runs; ``further`` marks those that have still more."""
+    found = members.join(place.select(F.col("node").alias("rep"), "root"), "rep", "left").select("run", "rep", F.coalesce("root", "rep").alias("root"))
+    found = written(found, "members")
+    top = F.max(F.struct("n", "root"))
+    runs = found.groupBy("run", "root").agg(F.count("*").alias("n")).groupBy("run").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), top.alias("top"))
+    runs = written(runs.filter("parts > 1").select(
+        "run", F.col("top.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("asking")
+    ), "runs")
+    if runs.isEmpty():
+        return None
+    marked = spread_join(found, runs, ["run"], ["rep"]).join(heads.select("rep", "n_shingles", "signature"), "rep")
+    at = F.xxhash64("rep")
+    kept = ["run", "rep", "root", "n_shingles", "signature"]
+    asked = marked.select(*kept, F.pmod(at, "blocks").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.lit(False).alias("asks"))
+    asking = marked.filter("root <> main").select(
+        *kept, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.pmod(at, "asking").alias("i"), F.lit(True).alias("asks")
+    )
+    met = asked.unionByName(asking).groupBy("run", "i", "j").applyInArrow(_partners(most), "rep bigint, other bigint, equal bigint, more boolean")
+    once = met.groupBy("rep", "other").agg(F.first("equal").alias("equal"), F.max("more").alias("more"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("equal"), "other")))
+    return ranked.filter(F.col("rank") <= most + 1).select(
+        F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"), "rank", (F.col("more") | (F.col("rank") > most)).alias("further")
+    )
+
+
+def settled(members: DataFrame, heads: DataFrame, sets: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``links`` and of all links between ``members`` (``run, rep``) of one run.
+
+    Pairs of ``tried`` need no second look: they are linked already or not similar.
+    """
+    place, most = written(components(links), "places"), 1
+    while True:
+        found = offers(members, heads, place, most)
+        if found is None:
+            return place
+        found = written(found, "offers")
+        new = written(found.filter(F.col("rank") <= most).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "chosen")
+        if not new.isEmpty():
+            tried = tried.unionByName(new)
+            links = links.unionByName(written(confirmed(new, sets), "links"))
+            place = written(components(links), "places")
+        if found.filter("further").isEmpty():
+            return place
+        most *= 4
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     marked = written(signatures(docs), "signatures")
@@ -212,8 +341,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "heads",
     )
-    pairs = written(candidates(heads), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    near = written(candidates(heads), "pairs")
+    pairs = near.filter("run IS NULL").select("a", "b", "votes")
+    members = near.filter("run IS NOT NULL").select("run", F.col("a").alias("rep"))
+    ends = near.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(shingle_sets(texts), "sets")
 
@@ -231,7 +362,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("a", "b")
         .join(best, ["a", "b"], "left_anti")
     )
-    linked = components(strong.unionByName(confirmed(rest, sets)))
+    links = strong.unionByName(written(confirmed(rest, sets), "weak"))
+    linked = settled(members, heads, sets, pairs.select("a", "b"), links)
     reached = heads.join(linked, heads["rep"] == linked["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(reached, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")

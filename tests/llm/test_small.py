@@ -69,6 +69,19 @@ def test_forest_on_the_small_table_repeats_and_nothing(spark):
     assert forest.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
+def test_forest_keeps_a_star_together(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(500, " ".join(base))]
+    for i in (x for x in range(1001) if x != 500):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(200), 5)):
+            words[at] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    got = forest.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == 1001 and {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 400)] + [(5, 1000 + i) for i in range(300)] + [(9, 3), (9, 3)]
