@@ -10,6 +10,9 @@ from leafmill.llm import forest, language, packing, quality
 from leafmill.llm.batches import importable, written
 from leafmill.llm.queries import WORD_MODEL
 
+#: Languages of the corpus; documents in others, and text that is no language, go.
+WANTED = ["de", "en", "es", "fr"]
+
 
 def only(docs: DataFrame, judged: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose document is kept; a null doc_id cannot be judged, and stays."""
@@ -23,7 +26,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def documents_of_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return only(docs, language.identify(language.of_documents(docs)), "id")
+    return only(docs, language.identify(language.of_documents(docs), WANTED), "id")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ most. Confusions and priors are grouped sums of the texts' own posteriors; a tex
 the priors of its host.
 
 Text models are trained on all texts with a declared language, for the ``LANGUAGES`` most frequent
-declarations. A text is kept if its language has a posterior of ``SURE`` or more and is wanted.
+declarations. A further class competes with the same evidence, ``OTHER``: an even mixture, trigram
+by trigram, of all these texts together and of uniform bytes, which fits texts in no modelled
+language and texts that are no language better than any one language does. A text is kept if its
+language has a posterior of ``SURE`` or more and is wanted; ``OTHER`` is never wanted.
 
 Defined results: null and empty texts, and texts under three bytes, have no text evidence and go by
 the rest; null or unknown declarations, suffixes and hosts are no evidence; repeated rows count and
@@ -33,6 +36,7 @@ LANGUAGES = 64
 SLOTS = 1 << 15
 EFFECTIVE = 150
 SURE = 0.5
+OTHER = "und"  # undetermined: none of the modelled languages
 HOST_STRENGTH, SUFFIX_STRENGTH = 20.0, 200.0
 DECLARED = r"(?is)<html\b[^<>]{0,400}?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
 
@@ -47,7 +51,7 @@ def slots(text: bytes) -> np.ndarray:
 
 
 def train(texts: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log likelihood of every slot under each language: ``SLOTS`` x languages.
+    """Log likelihood of every slot under each language and ``OTHER``: ``SLOTS`` x (languages + 1).
 
     ``texts`` has ``text`` and ``declared``; each task sends its sums once.
     """
@@ -74,7 +78,9 @@ def train(texts: DataFrame, languages: list[str]) -> np.ndarray:
     counts = np.full((SLOTS, len(languages)), 0.5)
     for r in rows.toLocalIterator():
         counts[r.slot, r.language] += r.n
-    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    together = counts.sum(axis=1)
+    other = (together / together.sum() + 1 / SLOTS) / 2
+    return np.log(np.column_stack([counts / counts.sum(axis=0), other])).astype(np.float32)
 
 
 def evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
@@ -115,13 +121,14 @@ def _plus(a: Column, b: Column) -> Column:
 def identify(rows: DataFrame, wanted: list[str] | None = None, sure: float = SURE, training: DataFrame | None = None) -> DataFrame:
     """``id, declared, language, posterior, kept`` of ``rows`` with ``id, text, declared, host, suffix``.
 
+    ``wanted`` names the languages to keep, by default every modelled one.
     Text models come from ``training`` (``text, declared``), by default from ``rows``.
     """
     training = rows if training is None else training
-    common = training.filter("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
+    common = training.filter(F.col("declared") != OTHER).groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
     languages = sorted(r.declared for r in common)
-    n = len(languages)
-    if not n:
+    n = len(languages) + 1
+    if not languages:
         return rows.select("id", "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
     scored = written(evidence(rows.select("id", "declared", "host", "suffix", "text"), train(training, languages)), "text-evidence")
     known = written(scored.withColumn("share", _softmax(F.col("fit"))), "text-shares")
@@ -155,9 +162,9 @@ def identify(rows: DataFrame, wanted: list[str] | None = None, sure: float = SUR
     for part in ("fit", "declared_log", "suffix_log"):
         scores = _plus(scores, F.coalesce(F.col(part), zeros))
     fused = placed.select("id", "declared", scores.alias("scores")).select("id", "declared", _softmax(F.col("scores")).alias("posterior"))
-    names = F.array(*map(F.lit, languages))
+    names = F.array(*map(F.lit, [*languages, OTHER]))
     best = fused.select("id", "declared", F.array_max("posterior").alias("p"), F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("language"))
-    accepted = F.col("language").isin(wanted) if wanted is not None else F.lit(True)
+    accepted = F.col("language").isin([x for x in (languages if wanted is None else wanted) if x != OTHER])
     return best.select("id", "declared", "language", F.col("p").alias("posterior"), (accepted & (F.col("p") >= sure)).alias("kept"))
 
 

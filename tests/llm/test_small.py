@@ -209,6 +209,24 @@ def test_language_against_wrong_and_missing_evidence(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_foreign_and_non_language_texts_go(spark):
+    rng = random.Random(3)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bad = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. " * 5,
+        "Det var en gang en konge som hadde tre sønner og ingen av dem visste hva de skulle gjøre med riket. " * 5,
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 5,
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(600)), "#$%& @@ 12 " * 30,
+    ]
+    wrong = spark.createDataFrame([(-1 - i, t, None, None, len(t)) for i, t in enumerate(bad)], DOC)
+    both = given.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(wrong)
+    rows = language.identify(language.of_documents(both), ["de", "en", "es", "fr"]).collect()
+    clean = [r.kept for r in rows if r.id >= 0]
+    assert [(r.id, r.language) for r in rows if r.id < 0 and r.kept] == [] and sum(clean) >= 0.95 * len(clean)
+    some = language.identify(language.of_documents(given), ["de"]).filter("kept").select("language").distinct().collect()
+    assert [r.language for r in some] == ["de"]
+
+
 # language model
 
 
