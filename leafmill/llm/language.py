@@ -7,8 +7,9 @@ Trigrams of a text depend on each other, so that its likelihood counts as ``EFFE
 most. Confusions and priors are grouped sums of the texts' own posteriors; a text is left out of
 the priors of its host.
 
-Text models are trained on all texts with a declared language, for the ``LANGUAGES`` most frequent
-declarations. A further class competes with the same evidence, ``OTHER``: an even mixture, trigram
+Text models are trained on all texts with a declared language: one each for the ``LANGUAGES`` most
+frequent declarations, which bounds the model, and one for all rarer declarations together, whose
+texts are ``OTHER`` and not kept, instead of going to one of the modelled languages. A further class competes with the same evidence, ``OTHER``: an even mixture, trigram
 by trigram, of all these texts together and of uniform bytes, which fits texts in no modelled
 language and texts that are no language better than any one language does. A text is kept if its
 language has a posterior of ``SURE`` or more and is wanted; ``OTHER`` is never wanted.
@@ -51,31 +52,32 @@ def slots(text: bytes) -> np.ndarray:
 
 
 def train(texts: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log likelihood of every slot under each language and ``OTHER``: ``SLOTS`` x (languages + 1).
+    """Log likelihood of every slot under each language, all rarer ones and ``OTHER``: ``SLOTS`` x
+    (languages + 2).
 
     ``texts`` has ``text`` and ``declared``; each task sends its sums once.
     """
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(number), SLOTS), np.int64)
+        sums = np.zeros((len(number) + 1, SLOTS), np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 for text, declared in zip(bytes_of(part, "text"), part.column("declared").to_pylist(), strict=True):
-                    if declared in number:
-                        at = slots(text)
+                    if declared is not None and declared != OTHER:
+                        at, own = slots(text), sums[number.get(declared, len(number))]
                         if len(at) > 4096:
-                            sums[number[declared]] += np.bincount(at, minlength=SLOTS)
+                            own += np.bincount(at, minlength=SLOTS)
                         else:
-                            np.add.at(sums[number[declared]], at, 1)
+                            np.add.at(own, at, 1)
         language, slot = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(language.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[language, slot])], names=["language", "slot", "n"]
         )
 
-    # bounded by SLOTS x LANGUAGES
+    # bounded by SLOTS x (LANGUAGES + 1)
     rows = texts.select("text", "declared").mapInArrow(run, "language int, slot int, n bigint").groupBy("language", "slot").agg(F.sum("n").alias("n"))
-    counts = np.full((SLOTS, len(languages)), 0.5)
+    counts = np.full((SLOTS, len(languages) + 1), 0.5)
     for r in rows.toLocalIterator():
         counts[r.slot, r.language] += r.n
     together = counts.sum(axis=1)
@@ -127,7 +129,7 @@ def identify(rows: DataFrame, wanted: list[str] | None = None, sure: float = SUR
     training = rows if training is None else training
     common = training.filter(F.col("declared") != OTHER).groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
     languages = sorted(r.declared for r in common)
-    n = len(languages) + 1
+    n = len(languages) + 2
     if not languages:
         return rows.select("id", "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
     scored = written(evidence(rows.select("id", "declared", "host", "suffix", "text"), train(training, languages)), "text-evidence")
@@ -162,7 +164,7 @@ def identify(rows: DataFrame, wanted: list[str] | None = None, sure: float = SUR
     for part in ("fit", "declared_log", "suffix_log"):
         scores = _plus(scores, F.coalesce(F.col(part), zeros))
     fused = placed.select("id", "declared", scores.alias("scores")).select("id", "declared", _softmax(F.col("scores")).alias("posterior"))
-    names = F.array(*map(F.lit, [*languages, OTHER]))
+    names = F.array(*map(F.lit, [*languages, OTHER, OTHER]))
     best = fused.select("id", "declared", F.array_max("posterior").alias("p"), F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("language"))
     accepted = F.col("language").isin([x for x in (languages if wanted is None else wanted) if x != OTHER])
     return best.select("id", "declared", "language", F.col("p").alias("posterior"), (accepted & (F.col("p") >= sure)).alias("kept"))
