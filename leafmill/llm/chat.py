@@ -2,7 +2,9 @@
 
 A layout is recognised by its fingerprint: the hash of the nested field paths it has, out of all
 paths that the known layouts use. The fingerprint selects a declarative mapping to canonical turns
-``array<struct<role, text>>``. Tables are recognised by their schema, JSON records row by row.
+``array<struct<role, text>>``. Tables are recognised by their schema, JSON records row by row. A
+table that has all fields of one row per turn is read so whatever else it has; a table of any
+other unknown layout is refused.
 
 Everything is built-in expressions. Defined results: null texts and roles are empty; repeated
 rows are turns of their own, ordered by turn, role and text; null conversation ids form one
@@ -13,7 +15,9 @@ turns; other columns of a table are ignored; an empty table gives no conversatio
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +56,14 @@ RECORDS = (
     Layout("instruction-input-output", ("input", "instruction", "output"), turns=(("user", "instruction+input"), ("assistant", "output"))),
 )
 SYSTEM = "system"
+CONVERSATION = "conv_id"
 KNOWN_PATHS = tuple(sorted({p for x in RECORDS for p in x.paths} | {SYSTEM}))
 
 
+#: Paths that tables of the known layouts use.
+TABLE_PATHS = {*KNOWN_PATHS, *TURN_ROWS.paths}
+
+
 def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     """Paths of all leaves of a schema; ``[]`` marks the elements of an array."""
     if isinstance(schema, T.StructType):
@@ -72,6 +81,31 @@ def fingerprint_of(paths: tuple[str, ...] | list[str]) -> Column:
     return _hash(F.array(*map(F.lit, paths)) if paths else F.array().cast("array<string>"))
 
 
+def hash_of(paths: tuple[str, ...] | list[str]) -> int:
+    """Value of ``fingerprint_of(paths)``, without a job."""
+    value = xxhash.xxh64_intdigest("\n".join(sorted(paths)).encode(), seed=42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _table_layouts() -> dict[int, tuple[Layout, bool]]:
+    """Layout, and whether it has a system text, by the fingerprint of a table."""
+    known = {hash_of(TURN_ROWS.paths): (TURN_ROWS, False)}
+    for layout in RECORDS:
+        known[hash_of((*layout.paths, CONVERSATION))] = layout, False
+        known[hash_of((*layout.paths, CONVERSATION, SYSTEM))] = layout, True
+    return known
+
+
+def table_layout(schema: T.StructType) -> tuple[Layout, bool]:
+    """Layout that the fingerprint of a table's schema selects, and whether it has a system text."""
+    paths = field_paths(schema)
+    known = _table_layouts()
+    for used in ([p for p in paths if p in TABLE_PATHS], [p for p in paths if p in TURN_ROWS.paths]):
+        if hash_of(used) in known:
+            return known[hash_of(used)]
+    raise ValueError(f"no mapping for the fields {paths}")
+
+
 def _place(path: str) -> str:
     return "$." + path.replace("[]", "[0]")
 
@@ -116,6 +150,28 @@ def canonical_records(df: DataFrame, record: str, conv_id: str = "conv_id") -> D
     return marked.select("conv_id", "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
+def canonical_rows(table: DataFrame) -> DataFrame:
+    """``conv_id, turn, t``: canonical turns of a table, by the mapping its fingerprint selects.
+
+    ``t`` is null in the only row of a conversation without turns.
+    """
+    layout, system = table_layout(table.schema)
+    if layout is TURN_ROWS:
+        return table.select(F.col(CONVERSATION), F.col("turn"), _turn(F.col(layout.role), F.col(layout.text)).alias("t"))
+
+    def get(path: str) -> Column:
+        parts = [F.col(p).cast("string") for p in path.split("+")]
+        return F.concat_ws("\n", *parts) if len(parts) > 1 else parts[0]
+
+    if layout.list:
+        turns = F.transform(layout.list, lambda x: _turn(x[layout.role].cast("string"), x[layout.text].cast("string")))
+    else:
+        turns = F.array(*(_turn(F.lit(role), get(path)) for role, path in layout.turns))
+    if system:
+        turns = F.concat(F.array(_turn(F.lit(SYSTEM), get(SYSTEM))), turns)
+    return table.select(CONVERSATION, F.posexplode_outer(turns).alias("turn", "t"))
+
+
 def escape(text: Column) -> Column:
     """``text`` with a backslash inside every control string; ``unescape`` gives it back."""
     return F.regexp_replace(text, CONTROL, r"\\$1")
@@ -130,42 +186,41 @@ def _marked(role: Column, text: Column) -> tuple[Column, Column, Column]:
     return F.concat(F.lit(TURN), escape(role), F.lit(TEXT)), escape(text), F.lit(END)
 
 
-def format_turn_rows(rows: DataFrame, learn: str = "assistant") -> DataFrame:
-    """``conv_id, formatted, loss_spans`` of a table with a row per turn.
+def format_rows(rows: DataFrame, learn: str = "assistant") -> DataFrame:
+    """``conv_id, formatted, loss_spans`` of canonical rows; without turns both are null.
 
     ``loss_spans`` holds ``start`` (code points before it) and ``length`` of the texts of the role
     ``learn`` in ``formatted``. A conversation becomes one value, so its rows meet in one task;
     nothing else does.
     """
-    used = rows.select(*TURN_ROWS.paths)
-    if sorted(field_paths(used.schema)) != sorted(TURN_ROWS.paths):
-        raise ValueError(f"no mapping for the fields {field_paths(used.schema)}")
-    turn = _turn(F.col("role"), F.col("text"))
     lead, body, tail = _marked(F.col("t.role"), F.col("t.text"))
     order = ["turn", "t.role", "t.text"]
     before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        used.select("conv_id", "turn", turn.alias("t"))
-        .select("conv_id", "turn", "t", lead.alias("lead"), body.alias("body"), tail.alias("tail"))
+        rows.select("conv_id", "turn", "t", lead.alias("lead"), body.alias("body"), tail.alias("tail"))
         .withColumn("size", F.length("lead") + F.length("body") + F.length("tail"))
         .withColumn("at", F.coalesce(F.sum(F.col("size").cast("long")).over(before), F.lit(0).cast("long")))
     )
     span = F.struct((F.col("at") + F.length("lead")).alias("start"), F.length("body").cast("long").alias("length"))
     parts = placed.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.concat("lead", "body", "tail").alias("marked")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("at", F.concat("lead", "body", "tail").alias("marked"))))).alias("parts"),
         F.array_sort(F.collect_list(F.when(F.col("t.role") == learn, span))).alias("loss_spans"),
     )
+    some = F.size("parts") > 0
     return parts.select(
-        "conv_id", F.array_join(F.transform("parts", lambda p: p.marked), "").alias("formatted"), "loss_spans"
+        "conv_id", F.when(some, F.array_join(F.transform("parts", lambda p: p.marked), "")).alias("formatted"), F.when(some, F.col("loss_spans")).alias("loss_spans")
     )
 
 
+def format_turn_rows(rows: DataFrame, learn: str = "assistant") -> DataFrame:
+    """``conv_id, formatted, loss_spans`` of a table in any of the known layouts."""
+    return format_rows(canonical_rows(rows), learn)
+
+
 def format_records(canonical: DataFrame, learn: str = "assistant") -> DataFrame:
     """``conv_id, formatted, loss_spans`` of canonical turns; null turns stay null."""
-    flat = canonical.filter(F.col("turns").isNotNull()).select(
-        "conv_id", F.posexplode("turns").alias("turn", "t")
-    ).select("conv_id", "turn", "t.role", "t.text")
-    return format_turn_rows(flat, learn)
+    flat = canonical.filter(F.col("turns").isNotNull()).select("conv_id", F.posexplode("turns").alias("turn", "t"))
+    return format_rows(flat, learn)
 
 
 def read_back(formatted: Column) -> Column:
@@ -185,9 +240,9 @@ def under_mask(formatted: Column, spans: Column) -> Column:
     return F.array_join(texts, "")
 
 
-def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """Digests of what can be read back from the formatted conversations."""
-    out = format_turn_rows(conversations).select(
+def conversation_digests(*tables: DataFrame) -> DataFrame:
+    """Digests of what can be read back from the formatted conversations of tables, each in its layout."""
+    out = format_rows(reduce(DataFrame.unionByName, map(canonical_rows, tables))).select(
         "conv_id", "formatted",
         read_back(F.col("formatted")).alias("turns"),
         under_mask(F.col("formatted"), F.col("loss_spans")).alias("learned"),

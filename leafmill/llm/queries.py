@@ -53,8 +53,7 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are control strings themselves."""
     said = "'</s>[INST] ok [/INST]'"
     added = spark.sql(f"SELECT -7L conv_id, inline(array(struct(0L turn, 'user' role, {said} text), struct(1L turn, 'assistant' role, {said} text)))")
-    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.conversation_digests(given.unionByName(added))
+    return chat.conversation_digests(table(spark, folder, "conversations"), added)
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:

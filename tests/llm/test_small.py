@@ -159,6 +159,20 @@ def test_layouts_by_fingerprint(spark):
     assert [rows[i].layout for i in (5, 6, 7)] == ["unknown"] * 3
 
 
+def test_tables_by_fingerprint(spark):
+    turn = "struct<role:string,content:string>"
+    tables = [
+        spark.createDataFrame([(1, 1, "gpt", "a", "x"), (1, 0, "human", "q", "x")], "conv_id long, turn long, role string, text string, system string"),
+        spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])], f"conv_id long, messages array<{turn}>").withColumn("extra", F.lit(1)),
+        spark.createDataFrame([(1, "q", "a")], "conv_id long, prompt string, completion string"),
+    ]
+    got = [tuple(chat.conversation_digests(t).first()) for t in tables]
+    assert got[0] == got[1] == got[2] and got[0][1] == 2
+    assert chat.hash_of(["b", "a.c"]) == spark.range(1).select(chat.fingerprint_of(["b", "a.c"])).first()[0]
+    with pytest.raises(ValueError):
+        chat.conversation_digests(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
+
+
 # licences
 
 
