@@ -9,7 +9,7 @@ other unknown layout is refused.
 Everything is built-in expressions. Defined results: null texts and roles are empty; repeated
 rows are turns of their own, ordered by turn, role and text; null conversation ids form one
 conversation; records of an unknown layout keep their row, with layout ``unknown`` and null
-turns; other columns of a table are ignored; an empty table gives no conversation.
+turns, and formatted they give null texts, as do conversations without turns; other columns of a table are ignored; an empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -106,13 +106,18 @@ def table_layout(schema: T.StructType) -> tuple[Layout, bool]:
     raise ValueError(f"no mapping for the fields {paths}")
 
 
-def _place(path: str) -> str:
-    return "$." + path.replace("[]", "[0]")
+def _present(record: Column, path: str) -> Column:
+    """Whether a record has a field, in any element where the path leads through an array."""
+    if "[]." in path:
+        array, field = path.split("[].")
+        elements = F.try_variant_get(record, "$." + array, "array<variant>")
+        return F.exists(elements, lambda x: F.try_variant_get(x, "$." + field, "variant").isNotNull())
+    return F.try_variant_get(record, "$." + path, "variant").isNotNull()
 
 
 def record_fingerprint(record: Column) -> Column:
     """Fingerprint of a JSON record, as a variant: the hash of the known paths that it has."""
-    present = F.array(*(F.when(F.try_variant_get(record, _place(p), "variant").isNotNull(), F.lit(p)) for p in KNOWN_PATHS))
+    present = F.array(*(F.when(_present(record, p), F.lit(p)) for p in KNOWN_PATHS))
     return _hash(F.filter(present, lambda p: p.isNotNull()))
 
 
@@ -219,8 +224,7 @@ def format_turn_rows(rows: DataFrame, learn: str = "assistant") -> DataFrame:
 
 def format_records(canonical: DataFrame, learn: str = "assistant") -> DataFrame:
     """``conv_id, formatted, loss_spans`` of canonical turns; null turns stay null."""
-    flat = canonical.filter(F.col("turns").isNotNull()).select("conv_id", F.posexplode("turns").alias("turn", "t"))
-    return format_rows(flat, learn)
+    return format_rows(canonical.select("conv_id", F.posexplode_outer("turns").alias("turn", "t")), learn)
 
 
 def read_back(formatted: Column) -> Column:

@@ -173,6 +173,14 @@ def test_tables_by_fingerprint(spark):
         chat.conversation_digests(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
 
 
+def test_records_without_turns_stay(spark):
+    records = ['{"other":1}', '{"messages":[]}', None, '{"messages":[{"content":"q"},{"role":"assistant","content":"a"}]}']
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    got = {r.conv_id: r.formatted for r in chat.format_records(chat.canonical_records(df, "record")).collect()}
+    assert set(got) == {0, 1, 2, 3} and [got[i] for i in range(3)] == [None] * 3
+    assert got[3] == "<|turn|><|text|>q<|end|><|turn|>assistant<|text|>a<|end|>"
+
+
 # licences
 
 
