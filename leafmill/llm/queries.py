@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, forest, imatch, language, licenses, maxent, packing, pieces, quality, vptree
+from leafmill.llm import chat, forest, imatch, language, ledger, licenses, maxent, packing, pieces, quality, vptree
 from leafmill.llm.batches import importable
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,6 +75,10 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op11_stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.exact_duplicates(importable(spark), f"{folder}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -86,7 +90,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_imatch": op9_imatch,
     "op10_licenses": op10_licenses,
+    "op11_stream_dedup": op11_stream_dedup,
     "page_language": page_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_stream_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+        WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+}
