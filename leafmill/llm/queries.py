@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, forest, imatch, language, ledger, licenses, maxent, packing, pieces, quality, vptree
+from leafmill.llm import chat, forest, imatch, language, ledger, licenses, maxent, merkle, packing, pieces, quality, vptree
 from leafmill.llm.batches import importable
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -79,6 +79,10 @@ def op11_stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.exact_duplicates(importable(spark), f"{folder}/documents.parquet")
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verification(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_imatch": op9_imatch,
     "op10_licenses": op10_licenses,
     "op11_stream_dedup": op11_stream_dedup,
+    "op12_merkle": op12_merkle,
     "page_language": page_language,
 }
 
