@@ -22,7 +22,7 @@ their names; an empty table has no rows and no root.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -146,9 +146,9 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "source") -> Man
     )
     ranked = running_totals(once, "tree", ["doc_id", "leaf", "_row"])
     n = F.col("_group_size")
-    placed = written(
-        ranked.select("doc_id", "tree", "leaf", "folded", (F.col("_position") - 1).alias("at"), n.alias("n"), n.alias("leaves")), "placed"
-    )
+    placed = ranked.select("doc_id", "tree", "leaf", "folded", (F.col("_position") - 1).alias("at"), n.alias("n"), n.alias("leaves"))
+    # neighbours climb with mostly the same siblings: side by side, shuffles compress them
+    placed = written(placed.sortWithinPartitions("tree", "at"), "placed")
     levels, subroots = _grown(placed.withColumn("digest", F.col("leaf")), "level")
 
     # the upper tree, over the groups
@@ -189,15 +189,16 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "source") -> Man
     return Manifest(leaves, written(linked, "nodes"), roots.select("digest"))
 
 
-def climbed(tree: Manifest) -> DataFrame:
-    """``doc_id, leaf, subroot, root, proof, folded`` of every leaf: its siblings on the way up, and the
-    digest that ``folded`` gives with them."""
+def climbed(tree: Manifest, told: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``doc_id, leaf, subroot, root, proof, folded`` of every leaf: its siblings on the way up, or what
+    ``told`` makes of them, and the digest that ``folded`` gives with them."""
     spark = tree.nodes.sparkSession
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")  # rows of a table; the depth has its own limit
     try:
-        return written(spark.sql(CLIMB, leaves=tree.leaves, nodes=tree.nodes, digest=DIGEST), "proofs")
+        found = spark.sql(CLIMB, leaves=tree.leaves, nodes=tree.nodes, digest=DIGEST)
+        return written(found.withColumn("proof", told(F.col("proof"))) if told else found, "proofs")
     finally:
         spark.conf.set(limit, before)
 
@@ -212,11 +213,11 @@ def tampered_leaves(docs: DataFrame, every: int = 5) -> DataFrame:
 
 def verification(docs: DataFrame) -> DataFrame:
     """Digests and proof of every row, and whether what it holds after tampering still leads to the root."""
-    found = climbed(manifest(tampered_leaves(docs)))
+    found = climbed(manifest(tampered_leaves(docs)), lambda proof: F.sha2(hex_text(proof), 256))
     return found.select(
         "doc_id",
         *[hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
-        F.sha2(hex_text(F.col("proof")), 256).alias("proof_sha256"),
+        F.col("proof").alias("proof_sha256"),
         hex_text(F.col("folded")).alias("folded_root"),
         (F.col("folded") == F.col("root")).alias("verified"),
     )
