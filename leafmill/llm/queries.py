@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, forest, imatch, language, ledger, licenses, maxent, merkle, packing, pieces, quality, vptree
+from leafmill.llm import chat, forest, imatch, language, ledger, licenses, maxent, merkle, packing, pieces, quality, vptree, whitening
 from leafmill.llm.batches import importable
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +83,10 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verification(table(spark, folder, "documents"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_stream_dedup": op11_stream_dedup,
     "op12_merkle": op12_merkle,
+    "op13_whitening": op13_whitening,
     "page_language": page_language,
 }
 
