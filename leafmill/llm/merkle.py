@@ -6,11 +6,13 @@ give the root. The levels are kept as parent-linked node rows: what a node is ca
 children, its parent, and its place among the parent's children.
 
 Proofs come from one recursive query. Starting at a leaf's parent it climbs from node to node, appends
-the siblings it passes to the row's proof and folds the digest it carries with them, until there is no
-parent. Fold a digest of what a row holds now, and it ends at the root only if nothing was changed.
+the siblings it passes to the proof and folds every leaf's digest with them, until there is no parent.
+Fold a digest of what a row holds now, and it ends at the root only if nothing was changed. The leaves
+of one run have the same siblings from their parent on: they climb in one row, each folding its own
+digest, so that these siblings are carried once and not once per leaf.
 
-Nodes near the top are met by many rows, so each is stored once per share of ``SHARE`` consecutive
-leaves below it: a join key is never met by more rows than that, however large a group is. Positions
+Nodes near the top are met by many runs, so each is stored once per share of ``SHARE`` consecutive
+leaves below it: no join key is met by more runs than a share has, however large a group is. Positions
 come from range-partitioned running totals, and no level is gathered anywhere.
 
 Defined results: a null value is ``-`` in its leaf, so that it differs from an empty text; a null group
@@ -35,17 +37,19 @@ BITS = 4
 FAN = 1 << BITS
 DIGEST = 32  # bytes
 #: Leaves that meet the same copy of a node.
-SHARE = FAN**3
+SHARE = FAN**4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 CLIMB = """
-    WITH RECURSIVE climb (doc_id, leaf, share, node, place, folded, proof, subroot, root) AS (
-        SELECT doc_id, leaf, share, parent, place, folded, CAST('' AS BINARY), subroot, root FROM {leaves}
+    WITH RECURSIVE climb (leaves, share, node, place, proof, subroot, root) AS (
+        SELECT leaves, share, parent, place, CAST('' AS BINARY), subroot, root FROM {runs}
         UNION ALL
         SELECT
-            doc_id, leaf, share, parent, next_place,
-            unhex(sha2(lower(hex(concat(before, folded, after))), 256)),
-            concat(proof, before, after),
+            transform(leaves, x -> named_struct(
+                'doc_id', x.doc_id, 'leaf', x.leaf,
+                'folded', unhex(sha2(lower(hex(concat(before, x.folded, after))), 256))
+            )),
+            share, parent, next_place, concat(proof, before, after),
             coalesce(subroot, node_subroot), coalesce(root, node_root)
         FROM (
             SELECT
@@ -55,16 +59,17 @@ CLIMB = """
             FROM climb c JOIN {nodes} n ON c.node = n.node AND c.share = n.share
         )
     )
-    SELECT doc_id, leaf, subroot, root, proof, folded FROM climb WHERE node IS NULL
+    SELECT leaves, proof, subroot, root FROM climb WHERE node IS NULL
 """
 
 
 @dataclass
 class Manifest:
-    """``leaves`` (``doc_id, leaf, folded, share, parent, place, subroot, root``), ``nodes`` (``node,
-    share, children, parent, place, subroot, root``) and ``roots``, of one row (``digest``)."""
+    """``runs`` (``leaves, share, parent, place, subroot, root``) of up to ``FAN`` leaves (``doc_id, leaf,
+    folded``, the last folded with the others of its run), ``nodes`` (``level, node, share, children,
+    parent, place, subroot, root``) and ``roots``, of one row (``digest``)."""
 
-    leaves: DataFrame
+    runs: DataFrame
     nodes: DataFrame
     roots: DataFrame
 
@@ -96,23 +101,62 @@ def named(level: Column, at: Column, tree: Column) -> Column:
     return F.concat(level.cast("string"), F.lit("."), at.cast("string"), F.lit("."), tree)
 
 
+def joined(digests: Column) -> Column:
+    return F.aggregate(digests, F.lit(b""), lambda x, y: F.concat(x, y))
+
+
+def without(digests: Column, place: Column) -> tuple[Column, Column]:
+    """What stands before and after one of some joined digests."""
+    before = F.substring(digests, F.lit(1), place * DIGEST)
+    return before, F.substring(digests, (place + 1) * DIGEST + 1, F.length(digests))
+
+
+def _runs(placed: DataFrame) -> DataFrame:
+    """Runs of leaves (``doc_id, tree, leaf, folded, at, n``) as nodes, each with its leaves.
+
+    A lone leaf is a run whose digest is its own.
+    """
+    own = F.struct("at", "doc_id", "leaf", "folded")
+    runs = placed.groupBy("tree", F.shiftright("at", BITS).alias("at"), F.col("n").alias("leaves_below")).agg(
+        F.array_sort(F.collect_list(own)).alias("run")
+    )
+    runs = runs.withColumn("children", joined(F.transform("run", lambda x: x["leaf"])))
+    several = F.col("leaves_below") > 1
+
+    def folded(x: Column, place: Column) -> Column:
+        before, after = without(F.col("children"), place)
+        up = F.when(several, hashed(hex_text(F.concat(before, x["folded"], after)))).otherwise(x["folded"])
+        return F.struct(x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), up.alias("folded"))
+
+    return runs.select(
+        "tree",
+        "at",
+        F.ceil(F.col("leaves_below") / FAN).alias("n"),
+        "leaves_below",
+        "children",
+        F.when(several, hashed(hex_text(F.col("children")))).otherwise(F.col("children")).alias("digest"),
+        F.transform("run", folded).alias("leaves"),
+    )
+
+
 def _grown(base: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
-    """Levels above ``base`` (``tree, at, n, leaves, digest``), and the top of every tree.
+    """Levels above ``base`` (``tree, at, n, leaves_below, digest``), and the top of every tree.
 
-    ``n`` is the number of nodes of the tree in that level, ``leaves`` the one in the lowest.
+    ``n`` is the number of nodes of the tree in that level, ``leaves_below`` that of its leaves.
     """
-    levels, tops, below = [], base.filter("n = 1"), base
+    kept = ["tree", "leaves_below", "digest"]
+    levels, tops, below = [], base.filter("n = 1").select(*kept), base
     while not below.filter("n > 1").isEmpty():
         child = F.struct(F.col("at").alias("k"), F.col("digest"))
-        runs = below.filter("n > 1").groupBy("tree", F.shiftright("at", BITS).alias("at"), "n", "leaves").agg(
+        runs = below.filter("n > 1").groupBy("tree", F.shiftright("at", BITS).alias("at"), "n", "leaves_below").agg(
             F.array_sort(F.collect_list(child)).alias("run")
         )
-        joined = F.aggregate("run", F.lit(b""), lambda x, y: F.concat(x, y["digest"]))
-        above = runs.select("tree", "at", F.ceil(F.col("n") / FAN).alias("n"), "leaves", joined.alias("children"))
+        children = joined(F.transform("run", lambda x: x["digest"]))
+        above = runs.select("tree", "at", F.ceil(F.col("n") / FAN).alias("n"), "leaves_below", children.alias("children"))
         below = written(above.withColumn("digest", hashed(hex_text(F.col("children")))), name)
         levels.append(below)
-        tops = tops.select("tree", "leaves", "digest").unionByName(below.filter("n = 1").select("tree", "leaves", "digest"))
-    return levels, tops.select("tree", "leaves", "digest")
+        tops = tops.unionByName(below.filter("n = 1").select(*kept))
+    return levels, tops
 
 
 def _link(level: int) -> tuple[Column, Column]:
@@ -146,34 +190,34 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "source") -> Man
     )
     ranked = running_totals(once, "tree", ["doc_id", "leaf", "_row"])
     n = F.col("_group_size")
-    placed = ranked.select("doc_id", "tree", "leaf", "folded", (F.col("_position") - 1).alias("at"), n.alias("n"), n.alias("leaves"))
-    # neighbours climb with mostly the same siblings: side by side, shuffles compress them
-    placed = written(placed.sortWithinPartitions("tree", "at"), "placed")
-    levels, subroots = _grown(placed.withColumn("digest", F.col("leaf")), "level")
+    placed = ranked.select("doc_id", "tree", "leaf", "folded", (F.col("_position") - 1).alias("at"), n.alias("n"))
+    runs = written(_runs(placed), "runs")
+    levels, subroots = _grown(runs, "level")
 
     # the upper tree, over the groups
     numbered = running_totals(subroots.withColumn("_all", F.lit(0)), "_all", ["tree"])
     groups = written(
-        numbered.select("tree", F.col("leaves").alias("rows"), "digest", (F.col("_position") - 1).alias("at"), n.alias("n")), "groups"
+        numbered.select("tree", F.col("leaves_below").alias("rows"), "digest", (F.col("_position") - 1).alias("at"), n.alias("n")), "groups"
     )
-    upper, roots = _grown(groups.select(F.lit("").alias("tree"), "at", "n", F.col("n").alias("leaves"), "digest"), "upper")
+    upper, roots = _grown(groups.select(F.lit("").alias("tree"), "at", "n", F.col("n").alias("leaves_below"), "digest"), "upper")
 
     share = lambda k: F.concat(k.cast("string"), F.lit("."), F.col("tree"))
-    kept = ["node", "share", "children", "parent", "place", "subroot", "root"]
-    leaves = _hung(placed.withColumn("digest", F.col("leaf")), groups, 0).withColumn(
-        "share", share(F.floor(F.col("at") / SHARE))
-    )
-    nodes = []
-    for level, part in enumerate(levels, 1):
-        first, last = F.shiftleft("at", BITS * level), F.least("leaves", F.shiftleft(F.col("at") + 1, BITS * level)) - 1
+    kept = ["level", "node", "share", "children", "parent", "place", "subroot", "root"]
+    nodes, climbing = [], None
+    for level, part in enumerate([runs, *levels], 1):
+        first = F.shiftleft("at", BITS * level)
+        last = F.least("leaves_below", F.shiftleft(F.col("at") + 1, BITS * level)) - 1
         copies = F.explode(F.sequence(F.floor(first / SHARE), F.floor(last / SHARE)))
-        hung = _hung(part, groups, level).withColumn("node", named(F.lit(level), F.col("at"), F.col("tree")))
+        hung = _hung(part, groups, level).withColumns({"level": F.lit(level), "node": named(F.lit(level), F.col("at"), F.col("tree"))})
+        if level == 1:
+            climbing = hung.withColumn("share", share(F.floor(first / SHARE))).select("leaves", "share", "parent", "place", "subroot", "root")
         nodes.append(hung.withColumn("k", copies).withColumn("share", share(F.col("k"))).select(*kept))
     shares = groups.select("tree", F.col("at").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SHARE))).alias("k"))
     for level, part in enumerate(upper, 1):
         up, place = _link(level)
         hung = part.select(
             "at",
+            F.lit(level).alias("level"),
             "children",
             named(F.lit(level), F.col("at"), F.lit("")).alias("node"),
             up.alias("parent"),
@@ -183,10 +227,10 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "source") -> Man
         )
         met = spread_join(shares.withColumn("at", F.shiftright("g", BITS * level)), hung, ["at"], ["tree", "k"])
         nodes.append(met.withColumn("share", share(F.col("k"))).select(*kept))
-    linked = placed.sparkSession.createDataFrame([], "node string, share string, children binary, parent string, place int, subroot binary, root binary")
-    for part in nodes:
+    linked = nodes[0]
+    for part in nodes[1:]:
         linked = linked.unionByName(part)
-    return Manifest(leaves, written(linked, "nodes"), roots.select("digest"))
+    return Manifest(climbing, written(linked, "nodes"), roots.select("digest"))
 
 
 def climbed(tree: Manifest, told: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -197,8 +241,15 @@ def climbed(tree: Manifest, told: Callable[[Column], Column] | None = None) -> D
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")  # rows of a table; the depth has its own limit
     try:
-        found = spark.sql(CLIMB, leaves=tree.leaves, nodes=tree.nodes, digest=DIGEST)
-        return written(found.withColumn("proof", told(F.col("proof"))) if told else found, "proofs")
+        # runs start at their own node and meet only those above: names in the upper tree end so
+        above = tree.nodes.filter((F.col("level") > 1) | F.col("node").endswith("."))
+        met = spark.sql(CLIMB, runs=tree.runs, nodes=above, digest=DIGEST)
+        each = met.withColumn("own", joined(F.transform("leaves", lambda x: x["leaf"]))).select(
+            F.posexplode("leaves").alias("at", "x"), "own", "proof", "subroot", "root"
+        )
+        proof = F.concat(*without(F.col("own"), F.col("at")), "proof")
+        found = each.select("x.doc_id", "x.leaf", "subroot", "root", (told(proof) if told else proof).alias("proof"), "x.folded")
+        return written(found, "proofs")
     finally:
         spark.conf.set(limit, before)
 

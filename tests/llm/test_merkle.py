@@ -107,9 +107,12 @@ def test_nodes_are_linked_and_bounded(spark, monkeypatch):
             node = parent[node] if node is not None else None
         assert node is None
     assert len({(r.node, r.share) for r in nodes}) == len(nodes)
-    assert tree.leaves.join(tree.nodes, (tree.leaves["parent"] == tree.nodes["node"]) & (tree.leaves["share"] == tree.nodes["share"])).count() == 600
-    most = tree.leaves.groupBy("share").count().agg({"count": "max"}).first()[0]
-    assert most <= 32
+    upward = tree.runs.filter("parent IS NOT NULL")
+    at = (tree.runs["parent"] == tree.nodes["node"]) & (tree.runs["share"] == tree.nodes["share"])
+    assert tree.runs.join(tree.nodes, at).count() == upward.count() > 40
+    assert tree.runs.selectExpr("sum(size(leaves))").first()[0] == 600
+    most = tree.runs.groupBy("share").count().agg({"count": "max"}).first()[0]
+    assert most <= 2  # runs of 16 in a share of 32
     proofs = {r.doc_id: sha(r.proof.hex()) for r in merkle.climbed(tree).collect()}
     assert proofs == {r[0]: r[4] for r in plain(rows)}
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1"
