@@ -73,6 +73,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Written tables that are removed when their last reader has run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.parquet(path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Removes tables this has written; others are left alone."""
+        for table in tables:
+            if id(table) in self.paths:
+                _, path = self.paths.pop(id(table))
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_all(self, *but: DataFrame) -> None:
+        kept = {id(t) for t in but}
+        self.drop(*(t for i, (t, _) in list(self.paths.items()) if i not in kept))
+
+
 def shared_bytes(spark: SparkSession, path: str) -> Callable[[], bytes]:
     """Content of a vocabulary file, read once on the driver and shared with the tasks.
 

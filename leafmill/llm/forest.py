@@ -14,11 +14,14 @@ only pairs that are not yet in one component are looked at.
 
 Sorted orders are cut by ranges, so that a crowded region spreads over tasks like any other rows.
 Runs of the shortest prefix that are longer than the neighbours looked at, or that a cut may have
-divided, are settled afterwards: as long as such a run has members of several components, every
-member outside its largest one is compared with all members of others by their whole signatures,
-and its best partners, more in every round, are confirmed. This ends when no pair of different
-components with ``FLOOR`` equal minima is left untried, so that no member of a run is left out.
-Blocks of at most about ``BLOCK`` members meet in a task.
+divided, are settled afterwards, exactly and in one pass. As far as such a run has members of several
+components, those outside its largest one ask, and all its members answer. Two sets of similarity
+``t`` share one of the first ``n - ceil(t * n) + 1`` of their ``n`` shingles, in any order that is the
+same for all sets. So only members that share a shingle among their rarest ones meet, which members of
+a crowd that differ in many places do not, however much they have in common; places in that order and
+sizes bound the rest they can share, and only pairs that may reach ``t`` are confirmed. Pairs of
+different components alone are made, each task once. The order goes by counts in a table of
+``1 << COUNT_BITS`` slots: collisions there change what it costs, not what is found.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; fewer than
 five words are one shingle; repeated rows of a doc_id share its result; a null doc_id takes part
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.batches import WordIds, bytes_of, lists, text_slices, written
+from leafmill.llm.batches import Scratch, WordIds, bytes_of, lists, text_slices, written
 from leafmill.llm.links import components
 from leafmill.plans.scale import spread_join
 
@@ -48,10 +51,11 @@ PIVOT_DEPTHS = (4, 8)
 #: Of the minima that a tree sorts by beyond ``LEAST``, how many must be equal at least: two sets of
 #: similarity 0.75 have fewer with a chance of 0.004, and then still other trees.
 EQUAL = 3
-#: Least equal minima of whole signatures of a crowded run: two sets of similarity 0.75 have 96 of
-#: 128 on average and fewer than 70 with a chance of about 1 in ten million.
-FLOOR = 70
-BLOCK = 512
+#: Slots in which shingles of crowded runs are counted, which bounds what the driver gets and sends.
+COUNT_BITS = 20
+#: Members that ask, or answer, in one task for one shingle; more are cut into blocks.
+BLOCK = 4096
+HEAVY_SHINGLES = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.default_rng(20)
 FACTORS = _seeds.integers(1, 2**63, TREES * LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,97 +266,156 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def _partners(most: int):
-    """For each member outside the largest component of its run: the ``most`` best of a block."""
+def open_members(members: DataFrame, place: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rep, root, asks`` of the members of runs (``run, rep``) that are not yet one component.
 
-    def best(block: pa.Table) -> pa.Table:
-        rep, root, size = (block.column(c).to_numpy() for c in ("rep", "root", "n_shingles"))
-        marks = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint16).reshape(len(rep), len(FACTORS))
-        asks = block.column("asks").to_numpy()
-        others = np.flatnonzero(~asks)
-        found: list[tuple[np.ndarray, ...]] = []
-        for i in np.flatnonzero(asks).tolist():
-            small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-            at = others[(root[others] != root[i]) & (100 * small >= THRESHOLD * large)]
-            equal = (marks[at] == marks[i]).sum(axis=1)
-            at, equal = at[equal >= FLOOR], equal[equal >= FLOOR]
-            top = np.lexsort((rep[at], -equal))[:most]
-            found.append((np.full(len(top), rep[i]), rep[at[top]], equal[top], np.full(len(top), len(at) > most)))
-        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        return pa.table([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["rep", "other", "equal", "more"])
-
-    return best
+    Members outside the largest component of one of their runs ask.
+    """
+    found = members.join(place.select(F.col("node").alias("rep"), "root"), "rep", "left").select("run", "rep", F.coalesce("root", "rep").alias("root"))
+    found = scratch.written(found, "members")
+    parts = found.groupBy("run", "root").agg(F.count("*").alias("n")).groupBy("run").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    runs = scratch.written(parts.filter("parts > 1").select("run", "n", F.col("top.root").alias("main")), "runs")
+    met = spread_join(found, runs, ["run"], ["rep"], rows="n")
+    return met.groupBy("rep").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("asks"))
 
 
-def offers(members: DataFrame, heads: DataFrame, place: DataFrame, most: int) -> DataFrame | None:
-    """``a, b, further``: the ``most`` best partners in other components of every member that is
-    not in the largest component of one of its runs; ``further`` marks those that have still more."""
-    found = members.join(place.select(F.col("node").alias("rep"), "root"), "rep", "left").select("run", "rep", F.coalesce("root", "rep").alias("root"))
-    found = written(found, "members")
-    top = F.max(F.struct("n", "root"))
-    runs = found.groupBy("run", "root").agg(F.count("*").alias("n")).groupBy("run").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), top.alias("top"))
-    runs = written(runs.filter("parts > 1").select(
-        "run", F.col("top.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("asking")
-    ), "runs")
-    if runs.isEmpty():
-        return None
-    marked = spread_join(found, runs, ["run"], ["rep"]).join(heads.select("rep", "n_shingles", "signature"), "rep")
-    at = F.xxhash64("rep")
-    kept = ["run", "rep", "root", "n_shingles", "signature"]
-    asked = marked.select(*kept, F.pmod(at, "blocks").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.lit(False).alias("asks"))
-    asking = marked.filter("root <> main").select(
-        *kept, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.pmod(at, "asking").alias("i"), F.lit(True).alias("asks")
-    )
-    met = asked.unionByName(asking).groupBy("run", "i", "j").applyInArrow(_partners(most), "rep bigint, other bigint, equal bigint, more boolean")
-    once = met.groupBy("rep", "other").agg(F.first("equal").alias("equal"), F.max("more").alias("more"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("equal"), "other")))
-    return ranked.filter(F.col("rank") <= most + 1).select(
-        F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"), "rank", (F.col("more") | (F.col("rank") > most)).alias("further")
-    )
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot occur in ``sets``."""
+    slots = F.transform("shingles", lambda s: F.shiftrightunsigned(s, 64 - COUNT_BITS).cast("int"))
+    found = sets.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(1 << COUNT_BITS, np.int32)
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    return counts
 
 
-def settled(members: DataFrame, heads: DataFrame, sets: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of ``links`` and of all links between ``members`` (``run, rep``) of one run.
+def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``shingle, rep, root, asks, n, at``: of the ``n`` shingles of each of ``sets`` the rarest, so many
+    that two similar sets share one, and their places; those that surely occur once are left out."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
 
-    Pairs of ``tried`` need no second look: they are linked already or not similar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                own = row.column("shingles").flatten().to_numpy(zero_copy_only=False)
+                n = len(own)
+                seen = table[own.view(np.uint64) >> np.uint64(64 - COUNT_BITS)]
+                first = np.lexsort((own, seen))[: n - -(-n * THRESHOLD // 100) + 1]
+                place = np.flatnonzero(seen[first] > 1)
+                if len(place):
+                    each = np.zeros(len(place), np.int64)
+                    rest = [row.column(c).take(pa.array(each)) for c in ("rep", "root", "asks")]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[first[place]]), *rest, pa.array(np.full(len(place), n, np.int32)), pa.array(place.astype(np.int32))], names=names
+                    )
+
+    names = ["shingle", "rep", "root", "asks", "n", "at"]
+    return sets.select("rep", "root", "asks", "shingles").mapInArrow(run, "shingle bigint, rep bigint, root bigint, asks boolean, n int, at int")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (``rarest``) with ``answers`` and the block ``i, j`` of their shingle.
+
+    The shingles of the most rows, at most ``HEAVY_SHINGLES``, are cut into blocks of askers ``i`` and
+    of answers ``j``; every asker meets every answer in one block.
     """
-    place, most = written(components(links), "places"), 1
-    while True:
-        found = offers(members, heads, place, most)
-        if found is None:
-            return place
-        found = written(found, "offers")
-        new = written(found.filter(F.col("rank") <= most).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "chosen")
-        if not new.isEmpty():
-            tried = tried.unionByName(new)
-            links = links.unionByName(written(confirmed(new, sets), "links"))
-            place = written(components(links), "places")
-        if found.filter("further").isEmpty():
-            return place
-        most *= 4
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.count_if("asks").alias("askers"))
+    large = sizes.filter((F.col("size") > BLOCK) & (F.col("askers") > 0)).orderBy(F.desc("size")).limit(HEAVY_SHINGLES)
+    count = lambda c: F.ceil(F.col(c) / BLOCK)
+    marked = rows.join(F.broadcast(large.select("shingle", count("askers").alias("asking"), count("size").alias("blocks"))), "shingle", "left")
+    zero = F.lit(0).cast("long")
+    plain = marked.filter("blocks IS NULL").select(*rows.columns, F.lit(True).alias("answers"), zero.alias("i"), zero.alias("j"))
+    heavy, own = marked.filter("blocks IS NOT NULL"), F.xxhash64("rep")
+    upto = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+    kept = [c for c in rows.columns if c != "asks"]
+    asking = heavy.filter("asks").select(*kept, F.lit(True).alias("asks"), F.lit(False).alias("answers"), F.pmod(own, "asking").alias("i"), upto("blocks").alias("j"))
+    answering = heavy.select(*kept, F.lit(False).alias("asks"), F.lit(True).alias("answers"), upto("asking").alias("i"), F.pmod(own, "blocks").alias("j"))
+    return plain.unionByName(asking).unionByName(answering)
+
+
+def _possible(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Pairs of one shingle's rows that may be similar: different components, one of them asks, and
+    what follows the shingle in both is long enough."""
+    found = []
+    answers = np.flatnonzero(rows["answers"])
+    n, at, root, rep = (rows[c][answers] for c in ("n", "at", "root", "rep"))
+    for part in np.array_split(np.flatnonzero(rows["asks"]), -(-int(rows["asks"].sum()) * len(answers) // 1_000_000) or 1):
+        m, p = rows["n"][part, None], rows["at"][part, None]
+        may = (rows["root"][part, None] != root) & (np.minimum(m, n) * 100 >= THRESHOLD * np.maximum(m, n))
+        may &= (np.minimum(m - p, n - at)) * (100 + THRESHOLD) >= THRESHOLD * (m + n)
+        x, y = np.nonzero(may)
+        found.append(np.stack([rows["rep"][part[x]], rep[y]], axis=1))
+    return np.concatenate(found)
+
+
+def rare_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``rows`` (``dealt``) that meet in a shingle and may be similar."""
+    keys = ["shingle", "i", "j"]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: dict[str, np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
+            found = [np.zeros((0, 2), np.int64)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y - x > 1 and rows["asks"][x:y].any():
+                    found.append(_possible({c: v[x:y] for c, v in rows.items()}))
+            once = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if batch.num_rows:
+                new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+                held = new if held is None else {c: np.concatenate([held[c], v]) for c, v in new.items()}
+                differs = np.zeros(len(held["rep"]), bool)
+                for c in keys:
+                    differs[1:] |= held[c][1:] != held[c][:-1]
+                starts = np.flatnonzero(differs)
+                if len(starts):
+                    yield pairs(held, np.concatenate([[0], starts]))
+                    held = {c: v[starts[-1] :] for c, v in held.items()}
+        if held is not None:
+            yield pairs(held, np.array([0, len(held["rep"])]))
+
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def settled(members: DataFrame, sets: DataFrame, tried: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``links`` and all other links between ``members`` (``run, rep``) of one run that join two of the
+    components of ``links``. Pairs of ``tried`` need no second look."""
+    place = components(links)
+    open_ = scratch.written(open_members(members, place, scratch), "open")
+    if open_.isEmpty():
+        return links
+    crowd = scratch.written(sets.withColumnRenamed("doc_id", "rep").join(open_.hint("merge"), "rep"), "open-sets")
+    rows = scratch.written(rarest(crowd, shingle_counts(crowd)), "rarest")
+    new = scratch.written(rare_pairs(dealt(rows)).join(tried, ["a", "b"], "left_anti"), "chosen")
+    return links.unionByName(scratch.written(confirmed(new, sets), "more-links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
+    scratch = Scratch(docs.sparkSession)
     marked = written(signatures(docs), "signatures")
-    heads = written(
+    heads = scratch.written(
         marked.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
         ),
         "heads",
     )
-    near = written(candidates(heads), "pairs")
+    near = scratch.written(candidates(heads), "pairs")
     pairs = near.filter("run IS NULL").select("a", "b", "votes")
     members = near.filter("run IS NOT NULL").select("run", F.col("a").alias("rep"))
     ends = near.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(shingle_sets(texts), "sets")
+    sets = scratch.written(shingle_sets(texts), "sets")
 
     # the partner most trees name, of each document
     named = pairs.select("a", "b", "votes").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
     best = named.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    strong = written(confirmed(best, sets), "strong")
+    best = scratch.written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    strong = scratch.written(confirmed(best, sets), "strong")
     place = components(strong)
     rest = (
         pairs.select("a", "b")
@@ -362,9 +425,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("a", "b")
         .join(best, ["a", "b"], "left_anti")
     )
-    links = strong.unionByName(written(confirmed(rest, sets), "weak"))
-    linked = settled(members, heads, sets, pairs.select("a", "b"), links)
+    links = strong.unionByName(scratch.written(confirmed(rest, sets), "weak"))
+    linked = components(settled(members, sets, pairs.select("a", "b"), links, scratch))
     reached = heads.join(linked, heads["rep"] == linked["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(reached, "set_key", "left").select(
+    found = written(reached, "reached")
+    scratch.drop_all()
+    return marked.join(found, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
