@@ -11,9 +11,16 @@ others share its part. What earlier partitions hold of a queue is added from one
 All tokens are packed, each once; only the last sequence may be short. With the default weights,
 each source's share of all tokens, every window keeps the proportions to within a quantum a queue.
 
+Every source has its own queue. The ``MAX_QUEUES - 1`` largest are scheduled by their totals alone, as
+above. The others, of which there may be millions, wait in one more queue, whose weight is the sum of
+theirs and whose order comes from a second schedule of the same kind: their quanta are sorted by due
+time in ranges and given their places by running totals, so that a window has a source's share of it
+however small the source is. Weights of all sources are kept to, and a weight for a source that is not
+there, or that is not above zero, is refused.
+
 Defined results: a null text is empty and gives its end id alone; a null source is the empty
-source; repeated rows are packed as often as they occur; an empty table gives no pieces. Sources
-beyond the ``MAX_QUEUES - 1`` largest wait in one common queue; nothing is dropped.
+source; repeated rows are packed as often as they occur; texts of any length are packed whole; other
+columns are ignored, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -25,18 +32,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafmill.llm.batches import WordIds, bytes_of, lists, runs, shared_bytes, text_slices, written
-from leafmill.plans.scale import running_totals
+from leafmill.plans.scale import running_totals, spread_join
 
 SIZE = 2048
 QUANTUM = 128
 END_ID = 1
 MAX_QUEUES = 64
 KEPT_WORDS = 600_000
+#: Rows of the table of queue sizes up to which it is broadcast; beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Words that are encoded in one go, and what stands between them.
+JOINED, MARK = 64, b"|"
 # Marks that the tokenizer keeps together and apart from letters and digits.
 POINTS = b".,!?;:*%$#&"
 WEIGHT_UNITS = 1 << 20
@@ -56,12 +67,28 @@ class TextIds:
             [i for w in "ab" for i in tokenizer.encode(w, add_special_tokens=False).ids]
         ] * 2:
             raise ValueError("the tokenizer must drop white space between words")
-        self.library = lambda words: [
-            x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ]
+        self.tokenizer = tokenizer
+        mark = tokenizer.encode(f"a {MARK.decode()} b", add_special_tokens=False).ids
+        self.mark = mark[1] if len(mark) == 3 else -1
         self.ends: dict[bytes, list[int]] = {}
         self.words = WordIds(self._encode, limit=KEPT_WORDS)
 
+    def library(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word by the tokenizer, many words in one text with marks between them."""
+        if self.mark < 0 or any(MARK in w for w in words):
+            return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        between = b" " + MARK + b" "
+        lots = [between.join(words[i : i + JOINED]).decode() for i in range(0, len(words), JOINED)]
+        found: list[list[int]] = []
+        for lot in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False):
+            ids, start = lot.ids, 0
+            ids.append(self.mark)
+            while start < len(ids):
+                end = ids.index(self.mark, start)
+                found.append(ids[start:end])
+                start = end + 1
+        return found
+
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of new words; after a letter or digit, a run of ``POINTS`` is a token run of its
         own, so that a word is often known already without it."""
@@ -107,9 +134,10 @@ def _text_ids(model: Callable[[], bytes], kept: dict = {}) -> TextIds:  # noqa:
 
 
 def token_queues(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, source, part, before, ids``: all texts as ids, written to the shared folder once.
+    """``doc_id, source, part, before, n, ids``: all texts as ids, written to the shared folder once.
 
-    ``before`` counts the tokens of the same source earlier in the same partition ``part``.
+    ``ids`` are little-endian unsigned 32-bit. ``before`` counts the tokens of the same source earlier
+    in the same partition ``part``.
     """
     model = shared_bytes(docs.sparkSession, tokenizer_path)
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
@@ -120,20 +148,22 @@ def token_queues(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 ids, counts = encode(bytes_of(piece, "text"))
-                ids = np.insert(ids, np.cumsum(counts), end_id)
+                data = np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes()
                 counts = counts + 1
                 sources, before = piece.column("source"), []
                 for source, n in zip(sources.to_pylist(), counts.tolist(), strict=True):
                     at = passed.get(source, 0)
                     before.append(at)
                     passed[source] = at + n
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 4
+                kept = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), sources, pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64()), lists(ids, counts, pa.int32())],
-                    names=["doc_id", "source", "part", "before", "ids"],
+                    [piece.column("doc_id"), sources, pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), kept],
+                    names=["doc_id", "source", "part", "before", "n", "ids"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    queued = rows.mapInArrow(run, f"doc_id {kind}, source string, part int, before bigint, ids array<int>")
+    queued = rows.mapInArrow(run, f"doc_id {kind}, source string, part int, before bigint, n bigint, ids binary")
     return written(queued, "token-queues")
 
 
@@ -183,6 +213,26 @@ def _pieces(schedule: Schedule, size: int, queue: np.ndarray, begin: np.ndarray,
     return row[heads], (a - begin[row])[heads], np.add.reduceat(n, heads) if len(heads) else n, at[heads]
 
 
+def _mixed(rows: DataFrame, weights: DataFrame, quantum: int) -> DataFrame:
+    """``rows`` (``source, part, before, begin, n``) with their ``runs`` (``start, n, begin``) in one queue
+    that holds all their sources, mixed by ``weights`` (``source, weight``).
+
+    ``begin`` is a place in the source's own queue before, and in the common one after. Where many
+    sources weigh alike, their quanta would fall due at once: each has a phase of its own instead.
+    """
+    slot, q = F.col("slot"), F.lit(quantum).cast("long")
+    cut = rows.withColumn("slot", F.explode(F.sequence(F.floor(F.col("begin") / q), F.floor((F.col("begin") + F.col("n") - 1) / q))))
+    first, last = F.greatest("begin", slot * q), F.least(F.col("begin") + F.col("n"), (slot + 1) * q)
+    phase = (F.pmod(F.xxhash64("source"), F.lit(WEIGHT_UNITS)) + 0.5) / WEIGHT_UNITS
+    quanta = spread_join(cut, weights, ["source"], ["slot"]).select(
+        "source", "part", "before", F.lit(0).alias("_all"), ((slot + phase) / F.col("weight")).alias("due"), "slot",
+        (first - F.col("begin")).alias("start"), (last - first).alias("size"), first.alias("first"),
+    )
+    placed = running_totals(quanta, "_all", ["due", "source", "slot", "first"], "size")
+    one = F.struct("start", F.col("size").alias("n"), F.col("_before").alias("begin"))
+    return placed.groupBy("source", "part", "before").agg(F.array_sort(F.collect_list(one)).alias("runs"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, quantum: int = QUANTUM,
          weights: dict[str, float] | None = None, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Pieces of sequences: ``doc_id, source, start, length, doc_tokens, sequence_id, offset,
@@ -193,30 +243,48 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, quantum: int =
     """
     if not 0 < quantum <= size:
         raise ValueError("a quantum has at least one token and at most a window")
+    given = weights or {}
+    if not all(w > 0 for w in given.values()):
+        raise ValueError("a weight is above zero")
+    spark = docs.sparkSession
     queued = token_queues(docs, tokenizer_path, end_id)
-    sizes = queued.groupBy("part", "source").agg(F.sum(F.size("ids").cast("long")).alias("n"))
-    sizes = written(sizes, "queue-sizes")
-    largest = sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
+    sizes = written(queued.groupBy("part", "source").agg(F.sum("n").alias("n")), "queue-sizes")
+    totals = sizes.groupBy("source").agg(F.sum("n").alias("n"))
+    if given:
+        absent = given.keys() - {r.source for r in totals.filter(F.col("source").isin(*given)).select("source").collect()}
+        if absent:
+            raise ValueError(f"weights for sources that are not there: {', '.join(sorted(absent))}")
+    all_tokens, sources = (x or 0 for x in totals.agg(F.sum("n"), F.count("*")).first())
+    largest = totals.orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
     own = {r.source: at for at, r in enumerate(largest)}
-
-    def queue_of(source: Column) -> Column:
-        if not own:
-            return F.lit(0)
+    counts = [r.n for r in largest]
+    targets = [given.get(r.source, r.n / max(all_tokens, 1)) for r in largest]
+
+    bases = running_totals(sizes, "source", ["part"], "n").select("part", "source", F.col("_before").alias("base"))
+    if sizes.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
+    begun = queued.join(bases, ["part", "source"]).withColumn("begin", F.col("base") + F.col("before"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), "n", "begin"))
+    placed = begun.withColumn("runs", whole)
+    if own:
         known = F.create_map(*(F.lit(x) for pair in own.items() for x in pair))
-        return F.coalesce(known[source], F.lit(len(own)))
-
-    sizes = sizes.withColumn("queue", queue_of(F.col("source")))
-    all_tokens = sizes.agg(F.sum("n")).first()[0] or 0
-    totals = [r.n for r in largest]
-    totals.append(all_tokens - sum(totals))
-    given = weights or {}
-    targets = [given.get(r.source, r.n / max(all_tokens, 1)) for r in largest] + [totals[-1] / max(all_tokens, 1)]
-    schedule = Schedule(totals, targets, quantum)
-
-    bases = running_totals(sizes, "queue", ["part", "source"], "n").select("part", "source", "queue", F.col("_before").alias("base"))
-    placed = queued.join(bases, ["part", "source"]).select(
-        "doc_id", "source", "ids", "queue", (F.col("base") + F.col("before")).alias("begin")
-    )
+        placed = placed.withColumn("queue", F.coalesce(known[F.col("source")], F.lit(len(own))))
+    else:
+        placed = placed.withColumn("queue", F.lit(0))
+    if sources > len(own):
+        few = placed.filter(F.col("queue") == len(own))
+        named = spark.createDataFrame([(k, float(w)) for k, w in given.items()], "source string, given double") if given else None
+        natural = F.col("n") / all_tokens
+        tail = totals.filter(~F.col("source").isin(*own))
+        tail = tail.join(F.broadcast(named), "source", "left").withColumn("weight", F.coalesce("given", natural)) if given else tail.withColumn("weight", natural)
+        tail = written(tail.select("source", "n", "weight"), "small-queues")
+        rest = tail.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+        counts.append(rest.n)
+        targets.append(rest.weight)
+        mixed = _mixed(few.select("source", "part", "before", "begin", "n"), tail.select("source", "weight"), quantum)
+        placed = placed.filter(F.col("queue") < len(own)).unionByName(few.drop("runs").join(mixed, ["source", "part", "before"]).select(*placed.columns))
+    schedule = Schedule(counts or [0], targets or [1.0], quantum)
+    placed = placed.select("doc_id", "source", "n", "ids", "queue", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, source string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
 
@@ -224,20 +292,21 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, quantum: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                column = part.column("ids")
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                count = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                origin = np.cumsum(count) - count
-                queue, begin = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "begin"))
-                row, start, length, place = _pieces(schedule, size, queue, begin, count)
-                data = memoryview(flat.tobytes())
-                low = (origin[row] + start) * 4
-                high = low + length * 4
-                crc = [zlib.crc32(data[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                new = [start, length, count[row], place // size, place % size, np.array(crc, np.int64)]
-                out = [part.column("doc_id").take(pa.array(row)), part.column("source").take(pa.array(row)), *map(pa.array, new)]
+                column = part.column("runs")
+                each = np.repeat(np.arange(part.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+                held = column.flatten()
+                inside, many, begin = (held.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "begin"))
+                queue = part.column("queue").to_numpy(zero_copy_only=False).astype(np.int64)
+                count = part.column("n").to_numpy(zero_copy_only=False)
+                span, start, length, place = _pieces(schedule, size, queue[each], begin, many)
+                row, start = each[span], start + inside[span]
+                ids = [memoryview(x) for x in part.column("ids").to_pylist()]
+                cut = [ids[r][4 * a : 4 * (a + n)] for r, a, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+                new = [start, length, count[row], place // size, place % size, np.array([*map(zlib.crc32, cut)], np.int64)]
+                taken = pa.array(row)
+                out = [part.column("doc_id").take(taken), part.column("source").take(taken), *map(pa.array, new)]
                 if keep_ids:
-                    out.append(lists(flat[runs(origin[row] + start, length)].astype(np.int32), length, pa.int32()))
+                    out.append(lists(np.frombuffer(b"".join(cut), "<u4").astype(np.int32), length, pa.int32()))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"][: len(out)])
 
     return placed.mapInArrow(run, fields + (", ids array<int>" if keep_ids else ""))

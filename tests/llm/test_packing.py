@@ -113,5 +113,50 @@ def test_given_weights_decide_the_mixture(spark):
         assert abs(share - 150) <= 10
 
 
+def test_words_with_marks_and_many_at_once():
+    own, library = TextIds(open(WORD_MODEL, "rb").read()), Tokenizer.from_file(WORD_MODEL)
+    for words in ([f"w{i}" for i in range(200)], ["a|b", "|", "||", "c"], ["́x", "​", "ok", "x" * 3000]):
+        got = own.library([w.encode() for w in words])
+        assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    ids, counts = own([" ".join(f"v{i} | z|{i}" for i in range(300)).encode()])
+    assert ids.tolist() == library.encode(" ".join(f"v{i} | z|{i}" for i in range(300)), add_special_tokens=False).ids
+
+
+def test_every_source_keeps_its_share(spark):
+    """Over 500 sources, far beyond the queues of their own; the smallest one has the largest weight."""
+    rows = [(i, "word " * 39, f"s{i % 520:03d}") for i in range(2600)] + [(9000 + i, "tail " * 39, "small") for i in range(4)]
+    docs = spark.createDataFrame(rows, FIELDS).repartition(6)
+    pieces = packing.pack(docs, WORD_MODEL, size=1040, quantum=2, weights={"small": 0.05, "s000": 0.01})
+    check(pieces, docs.collect(), 1040)
+    held = defaultdict(lambda: defaultdict(int))
+    for r in pieces.collect():
+        held[r.sequence_id][r.source] += r.length
+    # sources without a weight have that of their tokens
+    one = 200 / (2604 * 40)
+    whole = 0.05 + 0.01 + 519 * one
+    for k in range(3):  # the 160 tokens of the small source last for three windows at its weight
+        assert abs(held[k]["small"] - 0.05 / whole * 1040) <= 4
+        assert abs(held[k]["s000"] - 0.01 / whole * 1040) <= 4
+    assert sum(held[k]["small"] for k in range(5)) == 160
+    for k in range(3):
+        for source in ("s001", "s300", "s519"):
+            assert abs(held[k][source] - one / whole * 1040) <= 4
+    assert len(held[0]) > 350
+
+
+def test_weights_that_cannot_be_kept_to_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], FIELDS)
+    for weights in ({"absent": 1.0}, {"x": 0.0}, {"x": -1.0}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, WORD_MODEL, weights=weights)
+
+
+def test_long_text_clashing_columns_and_joins_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    rows = [(1, "long " * 200_000, "x"), (2, None, None), (3, "a b", "y"), (None, "c", "y")]
+    docs = spark.createDataFrame(rows, FIELDS).selectExpr("*", "'q' queue", "1 part", "2 n", "3 ids", "4 runs", "5 start")
+    check(packing.pack(docs, WORD_MODEL, keep_ids=False), docs.collect(), packing.SIZE)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], FIELDS), WORD_MODEL).count() == 0
