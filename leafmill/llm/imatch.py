@@ -12,7 +12,8 @@ the subsets in which either text has terms. A text without terms in the band use
 
 Defined results: null is the empty text, whose fingerprint is that of no terms; two such texts are
 alike (1). Equal texts have equal fingerprints. Repeated rows stay; the order of equal doc_ids is
-by compressed text. Other columns are ignored. An empty table gives no rows.
+by a hash of the text. Texts of any length are read whole. Other columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.batches import bytes_of, text_slices
+from leafmill.llm.batches import bytes_of, text_slices, written
 
 #: Band of ln(N / df): no words of every second text, no words of fewer than one text in 1,000.
 LOWER, UPPER = math.log(2), math.log(1000)
@@ -37,6 +38,8 @@ RATES, SUBSETS = (1 / 2, 1 / 8, 1 / 32, 1 / 128), 8
 NONE = "-"
 #: Distinct terms a task adds up before it sends them on.
 KEPT_TERMS = 800_000
+#: Bytes of text in a partition of neighbouring documents, unless the session asks for more partitions.
+PART_BYTES = 64 << 20
 
 
 def terms_of(text: bytes) -> set[bytes]:
@@ -133,8 +136,9 @@ def edited_text(text: str, following: str) -> str:
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and how like they and the next text are.
 
-    Texts, compressed, are placed by ranges of ``doc_id`` once. Each task pairs neighbours as it
-    reads; only the first and last text of every partition are paired across partitions.
+    Texts, compressed, are placed once by ranges of ``doc_id`` and a hash of the text, so that Spark's
+    sampling of these keys carries no text to the driver. Each task pairs neighbours as it reads; only
+    the first and last text of every partition are paired across partitions.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -144,12 +148,17 @@ def edit_report(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(pack, bytes_of(part, "text")), pa.binary())], names=["doc_id", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("mark"), pa.array(map(pack, bytes_of(part, "text")), pa.binary())],
+                    names=["doc_id", "mark", "data"],
+                )
 
     # a fixed number of partitions: both readers below see the same ones
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("doc_id", "text").mapInArrow(compress, f"doc_id {kind}, data binary")
-    ranged = packed.repartitionByRange(parts, "doc_id", "data").sortWithinPartitions("doc_id", "data")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    packed = marked.mapInArrow(compress, f"doc_id {kind}, mark bigint, data binary")
+    ranged = packed.repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "data")
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
         """Rows of a batch with their texts unpacked one by one."""
@@ -188,11 +197,13 @@ def edit_report(docs: DataFrame) -> DataFrame:
             at = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([at]), first.column("data"), last.column("doc_id"), last.column("data")], names=["part", "first", "doc_id", "data"])
 
-    # a row per partition: the last text of each with the first of the next, or the first of all
-    borders = ranged.mapInArrow(ends, f"part bigint, first binary, doc_id {kind}, data binary")
+    # a row per partition: its first and last text, and, by the numbers alone, which one is next
+    borders = written(ranged.mapInArrow(ends, f"part bigint, first binary, doc_id {kind}, data binary"), "borders")
     order = Window.orderBy("part")
-    following = F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    pairs = borders.select("doc_id", "data", following.alias("following"))
+    after = F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    nexts = borders.select("part").select("part", after.alias("next"))
+    firsts = borders.select(F.col("part").alias("next"), F.col("first").alias("following"))
+    pairs = borders.select("part", "doc_id", "data").join(nexts, "part").join(firsts, "next").select("doc_id", "data", "following")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, unpack = Fingerprints(shared.value), zstandard.ZstdDecompressor().decompress

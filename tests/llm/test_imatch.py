@@ -64,3 +64,31 @@ def test_lexicon_is_bounded_by_the_band(spark):
     assert 0 < len(terms) <= mean * 20
     mark = imatch.fingerprints(docs.limit(5), terms=terms).collect()
     assert len(mark) == 5 and all(len(r.fingerprint.split(".")) == len(imatch.RATES) * imatch.SUBSETS for r in mark)
+
+
+def test_ranges_are_chosen_without_texts(spark):
+    """Sampling for the ranges projects the sort keys, which hold no text."""
+    docs = spark.createDataFrame([(i, f"text {i}", "x", 1, b"y") for i in range(20)], "doc_id long, text string, mark string, part long, data binary")
+    plan = imatch.edit_report(docs)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "rangepartitioning" in line]
+    assert keys and not any("data" in k.split("rangepartitioning(")[1].split(")")[0] for k in keys)
+    assert found(docs.select("doc_id", "text")) == found(docs) == plain([(i, f"text {i}") for i in range(20)])
+
+
+def test_neighbours_across_many_partitions(spark):
+    rows = [(i * 3, " ".join(f"w{(i * k) % 17}" for k in range(9))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert found(docs.repartition(4)) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_fingerprints_by_hand():
+    """Sorted in-band terms, hashed per subset; a change outside the band changes nothing."""
+    made = imatch.Fingerprints([b"apple", b"pear", b"plum"])
+    assert made.of(b"Apple the PEAR") == made.of(b"pear of apple pear") != made.of(b"apple plum")
+    groups = [[t for t in (b"apple", b"pear") if k in made.places[t]] for k in range(imatch.SUBSETS * len(imatch.RATES))]
+    want = [hashlib.blake2b(b"\n".join(g), digest_size=4).hexdigest() if g else imatch.NONE for g in groups]
+    assert made.of(b"pear apple") == ".".join(want)
