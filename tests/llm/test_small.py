@@ -250,7 +250,8 @@ def test_foreign_and_non_language_texts_go(spark):
 
 
 def test_rare_declarations_are_a_class_of_their_own(spark, monkeypatch):
-    monkeypatch.setattr(language, "LANGUAGES", 2)
+    monkeypatch.setattr(language, "LEAST", 15)
+    monkeypatch.setattr(language, "HELD", 1)
     words = {"en": "the cat and the dog of this house ", "de": "der hund und die katze von diesem haus ", "fi": "kissa ja koira tässä talossa ovat "}
     rows = [(i, words[x] * 20, x, x, None) for x, n in (("en", 30), ("de", 20), ("fi", 10)) for i in range(n)]
     df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
