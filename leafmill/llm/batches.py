@@ -151,8 +151,8 @@ class WordIds:
         self.hits[old:known] = 0
         self.used += total
 
-    def of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order, and the number of ids of each word."""
+    def numbers(self, words: list) -> np.ndarray:
+        """Numbers of words, new ones learnt; valid until the next call."""
         if len(self.number) > self.limit:
             self._forget()
         number, new = self.number, []
@@ -166,9 +166,23 @@ class WordIds:
             at[i] = n
         if new:
             self._learn(new)
-        if len(at) * 8 > len(number):
-            self.hits[: len(number)] += np.bincount(at, minlength=len(number))
+        return at
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all numbered words in order, and the number of ids of each."""
+        if len(at) * 8 > len(self.number):
+            self.hits[: len(self.number)] += np.bincount(at, minlength=len(self.number))
         else:
             np.add.at(self.hits, at, 1)
         counts = self.count[at]
         return self.flat[runs(self.start[at], counts)], counts
+
+    def of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and the number of ids of each word."""
+        return self.ids(self.numbers(words))
+
+    def of_array(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``of``, for many words of which most repeat; they are known as bytes."""
+        coded = words.dictionary_encode()
+        each = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())
+        return self.ids(each[coded.indices.to_numpy(zero_copy_only=False)])

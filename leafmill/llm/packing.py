@@ -31,12 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmill.llm.batches import WordIds, bytes_of, lists, runs, shared_bytes, text_slices, written
+from leafmill.llm.batches import WordIds, lists, runs, shared_bytes, text_slices, written
 from leafmill.plans.scale import running_totals, spread_join
 
 SIZE = 2048
@@ -48,8 +49,10 @@ KEPT_WORDS = 600_000
 BROADCAST_ROWS = 100_000
 #: Words that are encoded in one go, and what stands between them.
 JOINED, MARK = 64, b"|"
-# Marks that the tokenizer keeps together and apart from letters and digits.
-POINTS = b".,!?;:*%$#&"
+# Marks at the end of a word, which the tokenizer keeps together and apart from letters
+# and digits, as it does with a blank between.
+POINTS = r"([a-z0-9])([.,!?;:*%$#&]+)(\s|$)"
+SLICE_BYTES = 4 << 20
 WEIGHT_UNITS = 1 << 20
 
 
@@ -70,8 +73,7 @@ class TextIds:
         self.tokenizer = tokenizer
         mark = tokenizer.encode(f"a {MARK.decode()} b", add_special_tokens=False).ids
         self.mark = mark[1] if len(mark) == 3 else -1
-        self.ends: dict[bytes, list[int]] = {}
-        self.words = WordIds(self._encode, limit=KEPT_WORDS)
+        self.words = WordIds(self.library, limit=KEPT_WORDS)
 
     def library(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word by the tokenizer, many words in one text with marks between them."""
@@ -89,40 +91,16 @@ class TextIds:
                 start = end + 1
         return found
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of new words; after a letter or digit, a run of ``POINTS`` is a token run of its
-        own, so that a word is often known already without it."""
-        known, new, at = self.words, [], []
-        found: list = [None] * len(words)
-        for i, w in enumerate(words):
-            stem = w.rstrip(POINTS)
-            if len(stem) < len(w) and stem[-1:].isalnum():
-                n = known.number.get(stem, len(known.count))
-                if n < len(known.count) and known.count[n]:
-                    end = w[len(stem) :]
-                    if end not in self.ends:
-                        self.ends[end] = self.library([end])[0]
-                    a = known.start[n]
-                    found[i] = [*known.flat[a : a + known.count[n]].tolist(), *self.ends[end]]
-                    continue
-            new.append(w)
-            at.append(i)
-        for i, ids in zip(at, self.library(new), strict=True):
-            found[i] = ids
-        if len(self.ends) > 10_000:
-            self.ends.clear()
-        return found
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words: list[bytes] = []
-        sizes = []
-        for text in texts:
-            # letters lose their case anyway, but names of special tokens must not gain one
-            found = (text if b"<|" in text else text.lower()).split()
-            words += found
-            sizes.append(len(found))
-        ids, per_word = self.words.of(words)
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "")
+        # letters lose their case anyway, but names of special tokens must not gain one
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        # the word before the marks is often known already
+        found = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, POINTS, r"\1 \2\3"))
+        ids, per_word = self.words.of_array(found.flatten())
         ends = np.concatenate([[0], np.cumsum(per_word)])
+        sizes = found.value_lengths().to_numpy(zero_copy_only=False)
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])])
 
 
@@ -146,8 +124,8 @@ def token_queues(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
         encode, part = _text_ids(model), TaskContext.get().partitionId()
         passed: dict[str, int] = {}
         for batch in batches:
-            for piece in text_slices(batch, "text"):
-                ids, counts = encode(bytes_of(piece, "text"))
+            for piece in text_slices(batch, "text", SLICE_BYTES):
+                ids, counts = encode(piece.column("text"))
                 data = np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes()
                 counts = counts + 1
                 sources, before = piece.column("source"), []
