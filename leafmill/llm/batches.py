@@ -113,11 +113,12 @@ def shared_bytes(spark: SparkSession, path: str) -> Callable[[], bytes]:
 class WordIds:
     """Ids of words, each distinct word encoded once as long as it is kept.
 
-    ``encode`` gets a list of words and returns a list of id lists. Beyond ``limit`` words between
+    ``encode`` gets a list of words and returns a list of id lists, or all ids and their numbers by
+    word. Beyond ``limit`` words between
     calls the less used half is forgotten, which bounds memory; ids never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], limit: int = 400_000, kind: type = np.int32):
+    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]] | tuple[np.ndarray, np.ndarray]], limit: int = 400_000, kind: type = np.int32):
         self.encode, self.limit, self.kind = encode, limit, kind
         self.number: dict = {}
         self.flat = np.zeros(0, dtype=kind)
@@ -140,12 +141,16 @@ class WordIds:
 
     def _learn(self, words: list) -> None:
         found = self.encode(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total, known = int(sizes.sum()), len(self.number)
+        if isinstance(found, tuple):
+            values, sizes = found
+        else:
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            values = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+        total, known = len(values), len(self.number)
         old = known - len(words)
         self.flat = self._room(self.flat, self.used + total)
         self.start, self.count, self.hits = (self._room(a, known) for a in (self.start, self.count, self.hits))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.kind, total)
+        self.flat[self.used : self.used + total] = values
         self.start[old:known] = self.used + np.cumsum(sizes) - sizes
         self.count[old:known] = sizes
         self.hits[old:known] = 0

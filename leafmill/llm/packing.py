@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,21 +76,27 @@ class TextIds:
         self.mark = mark[1] if len(mark) == 3 else -1
         self.words = WordIds(self.library, limit=KEPT_WORDS)
 
-    def library(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word by the tokenizer, many words in one text with marks between them."""
-        if self.mark < 0 or any(MARK in w for w in words):
-            return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        between = b" " + MARK + b" "
-        lots = [between.join(words[i : i + JOINED]).decode() for i in range(0, len(words), JOINED)]
-        found: list[list[int]] = []
-        for lot in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False):
-            ids, start = lot.ids, 0
-            ids.append(self.mark)
-            while start < len(ids):
-                end = ids.index(self.mark, start)
-                found.append(ids[start:end])
-                start = end + 1
-        return found
+    def library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words by the tokenizer and the number of ids of each; many words are encoded in
+        one text, with marks between them."""
+        between, text = b" " + MARK + b" ", MARK.decode()
+        own = [i for i, w in enumerate(words) if self.mark < 0 or MARK in w]
+        apart = set(own)
+        rest = [w for i, w in enumerate(words) if i not in apart] if own else words
+        lots = [between.join(rest[i : i + JOINED]).decode() + " " + text for i in range(0, len(rest), JOINED)]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+        ends = np.flatnonzero(flat == self.mark)
+        counts = np.diff(np.concatenate([[-1], ends])) - 1
+        flat = flat[flat != self.mark]
+        if own:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in own], add_special_tokens=False)]
+            place = np.array(own) - np.arange(len(own))
+            starts = np.concatenate([[0], np.cumsum(counts)])[place]
+            sizes = [len(x) for x in found]
+            flat = np.insert(flat, np.repeat(starts, sizes), np.fromiter(chain.from_iterable(found), np.int32, sum(sizes)))
+            counts = np.insert(counts, place, sizes)
+        return flat, counts
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of ids of each text."""
