@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.references import decode
 from leafmill.functions.text import let, strip
 
 # Pieces of markup as browsers read them. A quote hides '>' only where a value begins;
@@ -20,7 +21,9 @@ ATTRIBUTE_NAME = r"[^\s/>][^\s/>=]*+"
 QUOTED = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)"""
 INSIDE = rf"(?:[\s/]++|{ATTRIBUTE_NAME}(?:\s*+=\s*+{QUOTED}?+)?+)*+"
 COMMENT = r"<!--.*?(?:-->|\z)"
-TAG = rf"</?[a-z][^\s/>]*+{INSIDE}(?:>|\z)"
+# without quotes a tag ends at the first '>', which saves the closer look
+PLAIN_TAG = r"""</?[a-z][^>"']*+>"""
+TAG = rf"{PLAIN_TAG}|</?[a-z][^\s/>]*+{INSIDE}(?:>|\z)"
 OTHER = r"<[!?/][^>]*+(?:>|\z)"
 
 
@@ -36,26 +39,6 @@ ATTRIBUTE = rf"(?s)({ATTRIBUTE_NAME})\s*+=\s*+{VALUE}|{ATTRIBUTE_NAME}"
 TAG_HEAD = r"^</?[a-zA-Z][^\s/>]*+"
 LINE_ENDS = ("<br", "</p", "</h1", "</li", "</div")
 HIDDEN = ("<!--", "<script", "<style")
-ENTITIES = (
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&amp;", "&"),
-)
-
-
-
-
-def unescape(text: Column) -> Column:
-    """Resolve entities; the ampersand last, so that its result is not read again."""
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
 
 
 def markup(html: Column) -> Column:
@@ -68,9 +51,12 @@ def name_of(piece: Column) -> Column:
     return F.lower(F.regexp_extract(piece, NAME, 0))
 
 
-def with_markup(html: Column, change: Callable[[Column, Column], Column]) -> Column:
-    """The page with every piece of markup replaced by ``change(piece, name)``."""
-    changed = F.transform(markup(html), lambda p: let(name_of(p), lambda n: change(p, n)))
+def with_markup(html: Column, change: Callable[[Column, Column], Column], pieces: Column | None = None) -> Column:
+    """The page with every piece of markup replaced by ``change(piece, name)``.
+
+    ``pieces`` are the page's ``markup``, where that is known.
+    """
+    changed = F.transform(markup(html) if pieces is None else pieces, lambda p: let(name_of(p), lambda n: change(p, n)))
     return F.array_join(
         F.zip_with(F.split(html, MARKUP), changed, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), ""
     )
@@ -90,7 +76,7 @@ def visible_text(html: Column) -> Column:
             .otherwise(F.lit(""))
         )
 
-    return unescape(with_markup(html, shown))
+    return decode(with_markup(html, shown))
 
 
 def _paired(text: Column, end: str, opening: str, by: str) -> Column:
@@ -138,13 +124,13 @@ def markdown(html: Column) -> Column:
     text = _paired(text, LINK_END, f"{LINK}([^{LINK_TEXT}]*){LINK_TEXT}", "[$2]($1)")
     text = _paired(text, BOLD_END, BOLD, "**$1**")
     text = _paired(text, STRONG_END, STRONG, "**$1**")
-    return unescape(F.translate(text, MARKS, ""))
+    return decode(F.translate(text, MARKS, ""))
 
 
 def title(pieces: Column) -> Column:
     """Decoded title, NULL when absent, empty or never closed."""
     closed = F.filter(pieces, lambda p: p.rlike(r"(?is)^<title\b.*</title\s*+>$"))
-    return F.nullif(strip(unescape(title_text(F.get(closed, F.lit(0))))), F.lit(""))
+    return F.nullif(strip(decode(title_text(F.get(closed, F.lit(0))))), F.lit(""))
 
 
 def element_names(pieces: Column) -> Column:
@@ -164,7 +150,7 @@ def unquote(value: Column) -> Column:
 
 def opening(piece: Column) -> Column:
     """The opening tag itself of a piece that also holds what it encloses."""
-    return F.regexp_extract(piece, rf"(?is)^<[a-z][^\s/>]*+{INSIDE}>?", 0)
+    return F.regexp_extract(piece, rf"""(?is)^<[a-z](?:[^>"']*+>|[^\s/>]*+{INSIDE}>?)""", 0)
 
 
 def raw_attribute(tag: Column, attribute: str) -> Column:
@@ -180,7 +166,7 @@ def raw_attribute(tag: Column, attribute: str) -> Column:
 
 def attribute_value(tag: Column, attribute: str) -> Column:
     """Decoded value of one attribute of a tag; NULL when absent."""
-    return strip(unescape(raw_attribute(tag, attribute)))
+    return strip(decode(raw_attribute(tag, attribute)))
 
 
 def attribute_values(pieces: Column, names: tuple[str, ...], attribute: str) -> Column:
@@ -189,10 +175,28 @@ def attribute_values(pieces: Column, names: tuple[str, ...], attribute: str) ->
     return F.filter(values, lambda v: v.isNotNull())
 
 
-def attribute_names(tag: Column) -> Column:
-    """Lower-case names of the attributes that have a value, in order; empty for the others."""
-    rest = F.regexp_replace(opening(tag), TAG_HEAD, "")
-    return F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+def attributes(tag: Column) -> Column:
+    """``array<struct<name, value>>``: all attributes with a value, read once; names in lower case,
+    values decoded."""
+
+    def read(rest: Column) -> Column:
+        names = F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1))
+        values = F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(2))
+        pairs = F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("raw")))
+        return F.transform(
+            F.filter(pairs, lambda a: a["name"] != ""),
+            lambda a: F.struct(a["name"].alias("name"), strip(decode(unquote(a["raw"]))).alias("value")),
+        )
+
+    # a '=' is part of every attribute with a value
+    return let(
+        F.when(F.contains(tag, F.lit("=")), F.regexp_replace(opening(tag), TAG_HEAD, "")).otherwise(F.lit("")), read
+    )
+
+
+def value_of(read: Column, attribute: str) -> Column:
+    """Value of one of ``attributes``, the first of its name; NULL when absent."""
+    return F.get(F.filter(read, lambda a: a["name"] == attribute), F.lit(0))["value"]
 
 
 def without_attributes(tag: Column, attributes: str) -> Column:
@@ -203,18 +207,13 @@ def without_attributes(tag: Column, attributes: str) -> Column:
     )
 
 
-def meta_content(pieces: Column, name: str) -> Column:
-    """Content of the first ``<meta name=...>``; NULL when absent."""
-    own = F.filter(tags(pieces, "meta"), lambda t: F.lower(attribute_value(t, "name")) == name)
-    return attribute_value(F.get(own, F.lit(0)), "content")
-
-
 def tag_balance(pieces: Column, names: tuple[str, ...]) -> Column:
     """``array<struct<tag, open>>``: opening minus closing tags, in the order of ``names``.
 
     A tag that the page is cut off in does not count.
     """
-    found = F.transform(F.filter(pieces, lambda p: p.endswith(">")), name_of)
+    wanted = [mark + name for name in names for mark in ("<", "</")]
+    found = F.filter(F.transform(F.filter(pieces, lambda p: p.endswith(">")), name_of), lambda n: n.isin(*wanted))
 
     def count(all_names: Column, wanted: str) -> Column:
         return F.size(F.filter(all_names, lambda t: t == wanted))

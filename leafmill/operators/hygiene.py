@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +24,30 @@ GONE = tuple(f"{mark}{name}" for name in (*EMBEDDING, "form") for mark in ("<",
 
 def scan_metadata(page_table: DataFrame) -> DataFrame:
     """Present metadata fields of each page: ``page_id, field, value``."""
-    pieces = F.col("_pieces")
-    charsets = F.filter(
-        F.transform(h.tags(pieces, "meta"), lambda t: h.attribute_value(t, "charset")),
-        lambda v: v.isNotNull(),
-    )
+    pieces, metas = F.col("_pieces"), F.col("_metas")
+
+    def first(tags: Column, attribute: str) -> Column:
+        """The first value of an attribute on any of the tags."""
+        values = F.transform(tags, lambda t: h.value_of(t, attribute))
+        return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+
+    def named(name: str) -> Column:
+        own = F.filter(metas, lambda t: F.lower(h.value_of(t, "name")) == name)
+        return h.value_of(F.get(own, F.lit(0)), "content")
+
     fields = {
         "Title": h.title(pieces),
-        "Charset": F.get(charsets, F.lit(0)),
-        "Language": h.attribute_value(F.get(h.tags(pieces, "html"), F.lit(0)), "lang"),
-        "Description": h.meta_content(pieces, "description"),
-        "Author": h.meta_content(pieces, "author"),
-        "Keywords": h.meta_content(pieces, "keywords"),
-        "Generator": h.meta_content(pieces, "generator"),
+        "Charset": first(metas, "charset"),
+        "Language": h.value_of(h.attributes(F.get(h.tags(pieces, "html"), F.lit(0))), "lang"),
+        **{name.title(): named(name) for name in ("description", "author", "keywords", "generator")},
     }
     found = F.array(
         *[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()]
     )
-    return page_table.select("page_id", h.markup(F.col("html")).alias("_pieces")).select(
-        "page_id", F.inline(F.filter(found, lambda f: f["value"] != ""))
+    return (
+        page_table.select("page_id", h.markup(F.col("html")).alias("_pieces"))
+        .select("page_id", "_pieces", F.transform(h.tags(pieces, "meta"), h.attributes).alias("_metas"))
+        .select("page_id", F.inline(F.filter(found, lambda f: f["value"] != "")))
     )
 
 
@@ -70,19 +73,13 @@ def strip_metadata(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     )
 
 
-def _events(tags: Column) -> Column:
-    """Names of the events that the tags handle, without ``on``."""
-    names = F.flatten(F.transform(tags, h.attribute_names))
-    return F.transform(
-        F.filter(names, lambda n: n.rlike(f"^{EVENT}$")), lambda n: F.substring(n, F.lit(3), F.length(n))
-    )
-
-
 def _or(text: Column, fallback: str) -> Column:
     return F.when(text == "", F.lit(fallback)).otherwise(text)
 
 
 def _link_action(href: Column) -> Column:
+    """What following a target does; blanks, which browsers drop from it, hide no scheme."""
+    href = F.translate(href, "\t\n\r", "")
     scheme = F.lower(F.regexp_extract(href, SCHEME, 1))
     return (
         F.when(scheme == "javascript", F.lit("JavaScript"))
@@ -91,50 +88,54 @@ def _link_action(href: Column) -> Column:
     )
 
 
-def _reader(attribute: str) -> Callable[[Column], Column]:
-    """Reads one attribute of tags that hold its name; most do not, and are not looked into."""
-    return lambda tag: F.when(F.contains(F.lower(tag), F.lit(attribute)), h.attribute_value(tag, attribute))
+def _is_refresh(read: Column) -> Column:
+    """Whether the attributes of a meta tag make it a refresh."""
+    return F.coalesce(F.lower(h.value_of(read, "http-equiv")) == "refresh", F.lit(False))
 
 
 def page_findings(page_table: DataFrame) -> DataFrame:
     """Findings gathered per page and category: ``page_id, host, category, items``.
 
-    Narrow. The categories are fixed; empty ones give no row.
+    Narrow. The categories are fixed; empty ones give no row. The attributes of a tag are read
+    once, and their values decoded.
     """
-    pieces = F.col("_pieces")
-    opened = F.filter(pieces, lambda p: p.rlike("^<[a-zA-Z]"))
+    opened = F.filter(F.col("_pieces"), lambda p: p.rlike("^<[a-zA-Z]"))
+    read = F.transform(opened, lambda p: F.struct(h.name_of(p).alias("name"), h.attributes(p).alias("read")))
+    tags = F.col("_tags")
+
+    def named(*names: str) -> Column:
+        return F.filter(tags, lambda t: t["name"].isin(*(f"<{n}" for n in names)))
 
-    def is_root(piece: Column) -> Column:
-        return h.name_of(piece).isin(*ROOTS)
+    def value(tag: Column, attribute: str) -> Column:
+        return F.coalesce(h.value_of(tag["read"], attribute), F.lit(""))
+
+    def events(of: Column) -> Column:
+        """Names of the events that tags handle, without ``on``."""
+        names = F.flatten(F.transform(of, lambda t: F.transform(t["read"], lambda a: a["name"])))
+        return F.transform(
+            F.filter(names, lambda n: n.rlike(f"^{EVENT}$")), lambda n: F.substring(n, F.lit(3), F.length(n))
+        )
+
+    def targets(of: Column, attribute: str) -> Column:
+        return F.filter(F.transform(of, lambda t: h.value_of(t["read"], attribute)), lambda v: v.isNotNull())
 
     refresh = F.transform(
-        F.filter(
-            h.tags(pieces, "meta"),
-            lambda t: F.lower(h.attribute_value(t, "http-equiv")) == "refresh",
-        ),
-        lambda t: F.when(F.lower(t).contains("url"), F.lit("URI")).otherwise(
+        F.filter(named("meta"), lambda t: _is_refresh(t["read"])),
+        lambda t: F.when(F.lower(value(t, "content")).contains("url"), F.lit("URI")).otherwise(
             F.lit("Destination (non-action)")
         ),
     )
-
-    def value(tag: Column, attribute: str) -> Column:
-        return F.coalesce(h.attribute_value(tag, attribute), F.lit(""))
-
-    scripts = F.transform(h.tags(pieces, "script"), lambda t: _or(value(t, "src"), "inline"))
-    embedded = F.transform(
-        h.tags(pieces, *EMBEDDING), lambda t: _or(F.concat(value(t, "src"), value(t, "data")), "unnamed")
-    )
-    targets = [h.attribute_values(pieces, LINKING, "href")]
-    for attribute in TARGETS.split("|"):
-        targets.append(F.filter(F.transform(opened, _reader(attribute)), lambda v: v.isNotNull()))
+    links = [targets(named(*LINKING), "href"), *(targets(tags, a) for a in TARGETS.split("|"))]
     categories = {
         "open_action": refresh,
-        "doc_aa": _events(F.filter(opened, is_root)),
-        "javascript": scripts,
-        "embedded_files": embedded,
-        "page_actions": _events(F.filter(opened, lambda t: ~is_root(t))),
-        "annot_actions": F.transform(F.concat(*targets), _link_action),
-        "xfa": F.transform(h.tags(pieces, "form"), lambda t: F.lit("form")),
+        "doc_aa": events(F.filter(tags, lambda t: t["name"].isin(*ROOTS))),
+        "javascript": F.transform(named("script"), lambda t: _or(value(t, "src"), "inline")),
+        "embedded_files": F.transform(
+            named(*EMBEDDING), lambda t: _or(F.concat(value(t, "src"), value(t, "data")), "unnamed")
+        ),
+        "page_actions": events(F.filter(tags, lambda t: ~t["name"].isin(*ROOTS))),
+        "annot_actions": F.transform(F.concat(*links), _link_action),
+        "xfa": F.transform(named("form"), lambda t: F.lit("form")),
     }
     found = F.array(
         *[F.struct(F.lit(k).alias("category"), v.alias("items")) for k, v in categories.items()]
@@ -142,6 +143,7 @@ def page_findings(page_table: DataFrame) -> DataFrame:
     return (
         with_host(page_table)
         .select("page_id", "host", h.markup(F.col("html")).alias("_pieces"))
+        .select("page_id", "host", read.alias("_tags"))
         .select("page_id", "host", F.inline(F.filter(found, lambda f: F.size(f["items"]) > 0)))
     )
 
@@ -208,15 +210,17 @@ def _quiet(piece: Column) -> Column:
 
 def _is_active(pieces: Column) -> Column:
     """Whether any piece of a page is what ``page_findings`` reports."""
+    whole = ("<script", "<form", *(f"<{n}" for n in EMBEDDING))
+
+    def by_attributes(name: Column, read: Column) -> Column:
+        links = name.isin(*(f"<{n}" for n in LINKING))
+        return F.exists(
+            read, lambda a: a["name"].rlike(f"^(?:{EVENT}|{TARGETS})$") | (links & (a["name"] == "href"))
+        ) | ((name == "<meta") & _is_refresh(read))
 
     def active(piece: Column) -> Column:
-        name = h.name_of(piece)
-        names = h.attribute_names(piece)
-        return (
-            name.isin("<script", "<form", *(f"<{n}" for n in EMBEDDING))
-            | ((name == "<meta") & F.coalesce(F.lower(h.attribute_value(piece, "http-equiv")) == "refresh", F.lit(False)))
-            | (name.isin(*(f"<{n}" for n in LINKING)) & F.array_contains(names, "href"))
-            | (piece.rlike("^<[a-zA-Z]") & F.exists(names, lambda n: n.rlike(f"^(?:{EVENT}|{TARGETS})$")))
+        return piece.rlike("^<[a-zA-Z]") & let(
+            h.name_of(piece), lambda name: name.isin(*whole) | let(h.attributes(piece), lambda read: by_attributes(name, read))
         )
 
     return F.exists(pieces, active)
@@ -225,26 +229,25 @@ def _is_active(pieces: Column) -> Column:
 def strip_active_content(page_table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages without anything ``page_findings`` reports; links keep their text.
 
-    A removed part leaves a blank, so that its neighbours cannot join into a new tag.
+    A removed part leaves a blank, so that its neighbours cannot join into a new tag; what stays,
+    stays as it is.
     """
 
     def cleaned(piece: Column, name: Column) -> Column:
-        refresh = (name == "<meta") & F.coalesce(
-            F.lower(h.attribute_value(piece, "http-equiv")) == "refresh", F.lit(False)
-        )
+        refresh = (name == "<meta") & _is_refresh(h.attributes(piece))
         links = name.isin(*(f"<{n}" for n in LINKING))
         return (
-            F.when(name.isin("<!--", "<style"), F.concat(_quiet(piece), F.lit(" ")))
-            .when((name == "<script") | name.isin(*GONE) | refresh, F.lit(" "))
+            F.when((name == "<script") | name.isin(*GONE) | refresh, F.lit(" "))
             .when(links, h.without_attributes(piece, rf"{EVENT}|{TARGETS}|href"))
             .otherwise(_quiet(piece))
         )
 
-    clean = h.with_markup(F.col("html"), cleaned)
-    active = _is_active(h.markup(F.col("html")))
-    return page_table.select("page_id", *keep, "html", active.alias("changed")).select(
-        "page_id",
-        *keep,
-        "changed",
-        F.when(F.col("changed"), clean).otherwise(F.col("html")).alias("html"),
-    )
+    def result(pieces: Column) -> Column:
+        changed = lambda active: F.struct(
+            active.alias("changed"),
+            F.when(active, h.with_markup(F.col("html"), cleaned, pieces)).otherwise(F.col("html")).alias("html"),
+        )
+        return let(_is_active(pieces), changed)
+
+    found = page_table.select("page_id", *keep, let(h.markup(F.col("html")), result).alias("_clean"))
+    return found.select("page_id", *keep, "_clean.changed", "_clean.html")
