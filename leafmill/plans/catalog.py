@@ -15,6 +15,19 @@ from leafmill.sources.files import file_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: What is put before the pages, by ``page_id``, for the queries whose name ends in ``_planted``: the
+#: given pages hold no refresh, handler, frame or form.
+PLANTED = (
+    "",
+    '<meta http-equiv="refresh" content="0;url=/x">',
+    '<p onclick="go()">x</p>',
+    '<iframe src="/f"></iframe>',
+    '<form action="/g"></form>',
+    '<body onload="x()">',
+    '<object data="/o"></object><embed>',
+    '<a href="javascript:y()">z</a><meta http-equiv="refresh" content="9">',
+)
+
 TERMS = "the, there, from, "
 BREAK_LENGTH = 20
 BLANK_SHARE = 0.25
@@ -61,6 +74,16 @@ def _on_pages(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: operator(tables.pages(spark, folder))
 
 
+def _on_planted(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """``operator`` on all pages, each with active content of some kind before its own."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        before = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("page_id") % len(PLANTED) + 1).cast("int"))
+        return operator(tables.pages(spark, folder).withColumn("html", F.concat(before, "html")))
+
+    return run
+
+
 def _with_specs(operator: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         docs = tables.documents(spark, folder)
@@ -179,6 +202,11 @@ QUERIES: dict[str, Query] = {
         lambda p: hygiene.active_content_summary(hygiene.page_findings(p))
     ),
     "strip_active_content": _on_pages(hygiene.strip_active_content),
+    "scan_active_planted": _on_planted(hygiene.scan_active_content),
+    "active_summary_planted": _on_planted(
+        lambda p: hygiene.active_content_summary(hygiene.page_findings(p))
+    ),
+    "strip_active_planted": _on_planted(hygiene.strip_active_content),
     "protect_columns": _protect_columns,
     "unprotect_columns": _unprotect_columns,
     # quality and repair
