@@ -57,36 +57,3 @@ def listed_ranges(spec: Column, total: Column) -> Column:
             found,
         ),
     ).cast(RANGES_TYPE)
-
-
-def merged_ranges(ranges: Column) -> Column:
-    """Sorted, disjoint ranges covering the same pages."""
-    none = F.array().cast(RANGES_TYPE)
-
-    def extend(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(
-            last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b")
-        )
-        return (
-            F.when(F.size(done) == 0, F.array(r))
-            .when(r["a"] > last["b"] + 1, F.concat(done, F.array(r)))
-            .otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown)))
-            .cast(RANGES_TYPE)
-        )
-
-    return F.aggregate(F.sort_array(ranges), none, extend)
-
-
-def covers(ranges: Column, page: Column) -> Column:
-    return F.exists(ranges, lambda r: page.between(r["a"], r["b"]))
-
-
-def covered_up_to(ranges: Column, page: Column) -> Column:
-    """How many pages up to ``page`` lie in disjoint ``ranges``: the new number of a kept page."""
-    return F.aggregate(
-        ranges,
-        F.lit(0),
-        lambda n, r: n
-        + F.greatest(F.lit(0), F.least(page, r["b"]) - r["a"] + 1).cast("int"),
-    )

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from leafmill.functions import html as h
 from leafmill.functions.text import let
 from leafmill.functions.urls import SCHEME
+from leafmill.session import durable
 from leafmill.sources.tables import with_host, with_page_no
 
 SHOWN_FINDINGS = 10
-SALTS = 64
 
 # What counts as active content.
 EVENT = r"on[a-z]+"
@@ -158,43 +158,28 @@ def scan_active_content(page_table: DataFrame, numbers: DataFrame | None = None)
     )
 
 
-def active_content_summary(findings: DataFrame) -> DataFrame:
-    """Count, first findings and number of further ones per site and category.
+def active_content_summary(findings: DataFrame, shown: int = SHOWN_FINDINGS) -> DataFrame:
+    """Count, first ``shown`` findings and number of further ones per site and category.
 
-    ``findings`` comes from ``page_findings``. The first items of a group can only be among the
-    first items of its first pages, so groups are cut into salted shares, each share keeps its
-    first pages and its total, and the shares, few rows each, meet at the end.
+    ``findings`` comes from ``page_findings``. What two branches need of them is kept first, so that
+    pages are read once. The first items of a group are among those of its first pages: a rank on
+    its own, so that every task gives on no more than the first pages it has. The totals are summed
+    up beside it, by task before the shuffle.
     """
-    share = Window.partitionBy("host", "category", "_salt")
-    group = Window.partitionBy("host", "category")
-    shares = (
-        findings.select(
-            "host",
-            "category",
-            "page_id",
-            F.size("items").alias("_n"),
-            F.slice("items", 1, SHOWN_FINDINGS).alias("_first"),
-            F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("_salt"),
-        )
-        .withColumn("_at", F.row_number().over(share.orderBy("page_id")))
-        .withColumn("_share", F.sum("_n").over(share))
-        .filter(F.col("_at") <= SHOWN_FINDINGS)
+    keys = ["host", "category"]
+    kept = durable(
+        findings.select(*keys, "page_id", F.size("items").alias("_n"), F.slice("items", 1, shown).alias("_first"))
     )
-    return (
-        shares.withColumn(
-            "total", F.sum(F.when(F.col("_at") == 1, F.col("_share")).otherwise(0)).over(group)
-        )
-        .select("host", "category", "total", "page_id", F.posexplode("_first").alias("_pos", "item"))
+    group = Window.partitionBy(*keys)
+    pages = kept.withColumn("_at", F.row_number().over(group.orderBy("page_id"))).filter(F.col("_at") <= shown)
+    items = (
+        pages.select(*keys, "page_id", F.posexplode("_first").alias("_pos", "item"))
         .withColumn("ord", F.row_number().over(group.orderBy("page_id", "_pos")))
-        .filter(F.col("ord") <= SHOWN_FINDINGS)
-        .select(
-            "host",
-            "category",
-            "total",
-            F.greatest(F.col("total") - SHOWN_FINDINGS, F.lit(0)).alias("more"),
-            "ord",
-            "item",
-        )
+        .filter(F.col("ord") <= shown)
+    )
+    totals = kept.groupBy(*keys).agg(F.sum("_n").alias("total"))
+    return items.join(totals, keys).select(
+        *keys, "total", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"), "ord", "item"
     )
 
 

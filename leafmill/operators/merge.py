@@ -13,16 +13,28 @@ from leafmill.plans.scale import page_block, running_totals, spread_join
 
 
 def merge_documents(
-    doc_pages: DataFrame, manifest: DataFrame, totals: DataFrame | None = None
+    doc_pages: DataFrame, manifest: DataFrame, totals: DataFrame | None = None, missing: str = "refuse"
 ) -> DataFrame:
     """Concatenate documents: ``manifest`` is ``out_id, seq, doc_id``.
 
     Inputs follow ``seq``; a repeated input counts once, at its first place; an output with a
-    single input is not made. Only page counts are ordered and added up. The pages themselves
-    meet their offset in one join, whose key is a block of pages of one document.
+    single input is not made. An output with an input that has no pages is not made either; with
+    ``missing="skip"`` the other inputs are merged, with ``"raise"`` the whole request is refused.
+    ``merge_report`` names every output and what became of it.
+
+    Only page counts are ordered and added up. The pages themselves meet their offset in one join,
+    whose key is a block of pages of one document.
     """
+    if missing not in ("refuse", "skip", "raise"):
+        raise ValueError("missing is 'refuse', 'skip' or 'raise'")
+    totals = (page_totals(doc_pages) if totals is None else totals).select("doc_id", "total")
     inputs = manifest.groupBy("out_id", "doc_id").agg(F.min("seq").alias("seq"))
-    sized = spread_join(inputs, page_totals(doc_pages) if totals is None else totals, ["doc_id"], ["out_id"])
+    sized = spread_join(inputs, totals, ["doc_id"], ["out_id"])
+    if missing != "skip":
+        lacking = inputs.join(totals, "doc_id", "left_anti").select("out_id").distinct()
+        if missing == "raise" and not lacking.isEmpty():
+            raise ValueError("the manifest names documents without pages")
+        sized = sized.join(lacking, "out_id", "left_anti")
     placed = (
         running_totals(sized, "out_id", ["seq", "doc_id"], "total")
         .filter(F.col("_group_size") >= 2)
@@ -40,8 +52,8 @@ def merge_documents(
 def merge_report(doc_pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """``out_id, inputs, missing, status`` of every output that ``manifest`` names.
 
-    An input without pages is ``missing``; the status is ``ok``, ``missing`` where inputs lack, or
-    ``single`` where fewer than two inputs are left and so nothing is made.
+    An input without pages is ``missing``; the status is ``ok``, ``missing`` where inputs lack, which
+    ``merge_documents`` refuses, or ``single`` where fewer than two inputs are left.
     """
     there = doc_pages.select("doc_id").distinct().withColumn("_there", F.lit(1))
     inputs = manifest.select("out_id", "doc_id").distinct().join(there, "doc_id", "left")

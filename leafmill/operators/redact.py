@@ -50,10 +50,13 @@ def redact_page_counts(doc_pages: DataFrame, terms: str | list[str]) -> DataFram
     )
 
 
-def redact_apply(doc_pages: DataFrame, terms: str | list[str]) -> DataFrame:
-    """Pages with every matched character destroyed; pages without a match are untouched."""
+def redact_apply(doc_pages: DataFrame, terms: str | list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages with every matched character destroyed; pages without a match are untouched.
+
+    ``keep`` names further columns to carry along.
+    """
     masked = mask_terms(F.col("text"), parse_terms(terms))
-    return doc_pages.select("doc_id", "page_no", "text", masked.alias("_masked")).select(
-        "doc_id", "page_no", F.coalesce(F.col("_masked") != F.col("text"), F.lit(False)).alias("redacted"),
+    return doc_pages.select("doc_id", "page_no", *keep, "text", masked.alias("_masked")).select(
+        "doc_id", "page_no", *keep, F.coalesce(F.col("_masked") != F.col("text"), F.lit(False)).alias("redacted"),
         F.col("_masked").alias("text"),
     )

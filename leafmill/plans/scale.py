@@ -14,9 +14,11 @@ from leafmill.session import durable
 
 BLOCK_BITS = 16
 PAGES_PER_BLOCK = 1 << BLOCK_BITS
-HEAVY_KEYS = 1000
-SLICES = 64
-HEAVY_ROWS = 4096
+#: Keys that are cut into slices at most, which bounds what is broadcast; every other key owns less
+#: than one part in so many of the rows.
+HEAVY_KEYS = 10_000
+#: Rows of a slice: a key with more of them gets as many slices as it takes.
+SLICE_ROWS = 4096
 
 
 def page_block(page_no: Column) -> Column:
@@ -27,21 +29,6 @@ def page_block(page_no: Column) -> Column:
     return F.coalesce(F.shiftright(page_no - 1, BLOCK_BITS), F.lit(0))
 
 
-def block_join(pages: DataFrame, per_doc: DataFrame, doc: str, total: str) -> DataFrame:
-    """Inner join of pages with one row per document.
-
-    The document row is repeated once per block of pages, known from its page total, so a
-    document of any length spreads over as many tasks as it has blocks. Ordinary documents have
-    one block and are not repeated at all.
-    """
-    blocks = per_doc.withColumn("_block", F.explode(F.sequence(F.lit(0), page_block(F.col(total)))))
-    return (
-        pages.withColumn("_block", page_block(F.col("page_no")))
-        .join(blocks, [doc, "_block"])
-        .drop("_block")
-    )
-
-
 def spread_join(
     many: DataFrame,
     few: DataFrame,
@@ -49,32 +36,30 @@ def spread_join(
     spread_by: list[str],
     rows: str | None = None,
 ) -> DataFrame:
-    """Inner join where a few keys may own much of ``many``.
+    """Inner join where some keys may own much of ``many``.
 
     The heaviest keys of ``many`` come from a pre-aggregated count, or from the column ``rows``
-    of ``few`` when that already holds it. There are at most ``HEAVY_KEYS`` of them, which bounds
-    the broadcast, and every other key owns less than one part in ``HEAVY_KEYS`` of the rows.
-    Rows of heavy keys are cut into slices and the matching rows of ``few`` are repeated per
-    slice; all other rows join as usual.
+    of ``few`` when that already holds it. Their rows are cut into slices of about ``SLICE_ROWS``
+    and the matching rows of ``few`` are repeated per slice, so that no task gets more than a
+    slice of a key, however many rows it has; all other rows join as usual.
     """
     if rows is None:
         counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     else:
         counts = few.select(*on, F.col(rows).alias("_rows"))
     heavy = (
-        counts.orderBy(F.desc("_rows"))
+        counts.filter(F.col("_rows") > SLICE_ROWS)
+        .orderBy(F.desc("_rows"))
         .limit(HEAVY_KEYS)
-        .filter(F.col("_rows") > HEAVY_ROWS)
-        .select(*on, F.lit(True).alias("_heavy"))
+        .select(*on, F.ceil(F.col("_rows") / SLICE_ROWS).cast("int").alias("_slices"))
     )
-    is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
-    slice_no = F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)).cast("int")
-    sliced = many.join(F.broadcast(heavy), on, "left").withColumn(
-        "_slice", F.when(is_heavy, slice_no).otherwise(0)
+    slices = F.coalesce(F.col("_slices"), F.lit(1))
+    slice_no = F.pmod(F.xxhash64(*spread_by), slices).cast("int")
+    sliced = many.join(F.broadcast(heavy), on, "left").withColumn("_slice", slice_no)
+    repeated = few.join(F.broadcast(heavy), on, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     )
-    slices = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
-    repeated = few.join(F.broadcast(heavy), on, "left").withColumn("_slice", F.explode(slices))
-    return sliced.drop("_heavy").join(repeated.drop("_heavy"), [*on, "_slice"]).drop("_slice")
+    return sliced.drop("_slices").join(repeated.drop("_slices"), [*on, "_slice"]).drop("_slice")
 
 
 def running_totals(

@@ -9,6 +9,9 @@ meant for a selection, as a file system bears only so many folders.
 from __future__ import annotations
 
 import math
+import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import kilobytes, saved_percent
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
+#: Bits of every column in a clustering of several, and rows from which their bounds are taken.
+CLUSTER_BITS, SAMPLE_ROWS = 6, 10_000
 
 # Codec and level behind each compaction level.
 LEVELS = {
@@ -25,20 +30,60 @@ LEVELS = {
 }
 
 
-def _plain(path: str) -> str:
-    return path.removeprefix("file:").rstrip("/").replace("//", "/")
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _refuse_in_place(src: str, out: str) -> None:
-    a, b = _plain(src), _plain(out)
+def full_path(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme and store, without ``.``, ``..``, links or mounts as far as it exists."""
+    fs, at = _file_system(spark, path)
+    at = fs.makeQualified(at)
+    rest: list[str] = []
+    while at.getParent() is not None and not fs.exists(at):
+        rest.append(at.getName())
+        at = at.getParent()
+    at = fs.resolvePath(at) if fs.exists(at) else at
+    found = at.toString()
+    if at.toUri().getScheme() == "file":  # links of the local file system are not seen above
+        found = "file:" + os.path.realpath(at.toUri().getPath())
+    return "/".join([found.rstrip("/"), *reversed(rest)])
+
+
+def refuse_in_place(spark: SparkSession, src: str, out: str) -> None:
+    """Refuses an output that is the input, lies in it or holds it, however either is written."""
+    a, b = full_path(spark, src), full_path(spark, out)
     if a == b or a.startswith(b + "/") or b.startswith(a + "/"):
         raise ValueError("the output must not be the input or overlap it")
 
 
+def replace_with(spark: SparkSession, out: str, write: Callable[[str], None]) -> None:
+    """Lets ``write`` fill a folder beside ``out`` and puts it there when that is done.
+
+    What was at ``out`` before goes only then; if writing fails, it stays as it was.
+    """
+    fs, at = _file_system(spark, out)
+    at = fs.makeQualified(at)
+    mark = uuid.uuid4().hex
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    staged, old = (path(at.getParent(), f".{at.getName()}.{kind}-{mark}") for kind in ("staged", "old"))
+    try:
+        write(staged.toString())
+        if fs.exists(at) and not fs.rename(at, old):
+            raise OSError(f"{out} cannot be replaced")
+        if not fs.rename(staged, at):
+            fs.rename(old, at)
+            raise OSError(f"{out} cannot be written")
+    finally:
+        fs.delete(staged, True)
+    fs.delete(old, True)
+
+
 def write_derived(df: DataFrame, src: str, out: str) -> None:
-    """Write a new version of ``src`` beside it."""
-    _refuse_in_place(src, out)
-    df.write.mode("overwrite").parquet(out)
+    """Write a new version of ``src`` beside it; an older one goes when the new one is complete."""
+    spark = df.sparkSession
+    refuse_in_place(spark, src, out)
+    replace_with(spark, out, lambda staged: df.write.parquet(staged))
 
 
 def _csv_field(value: Column) -> Column:
@@ -125,32 +170,72 @@ def dataset_bytes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _rank_bits(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """Bounds that cut the values of every column into ``1 << CLUSTER_BITS`` parts of like size.
+
+    They come from a sample of a fixed number of rows; the placing is the better the truer they are,
+    and the rows are the same with any.
+    """
+    parts = 1 << CLUSTER_BITS
+    sampled = df.select(*columns).sample(min(1.0, SAMPLE_ROWS / max(1, df.count())), seed=1).limit(2 * SAMPLE_ROWS)
+    held = sampled.agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in columns]).first()
+    out = {}
+    for c in columns:
+        values = held[c]
+        out[c] = sorted({values[k * len(values) // parts] for k in range(1, parts)}) if values else []
+    return out
+
+
+def interleaved(df: DataFrame, columns: list[str]) -> Column:
+    """Place of a row on a curve that keeps rows close in all ``columns`` together: the bits of its
+    rank in each column, taken in turn."""
+    def rank(column: str, bounds: list) -> Column:
+        """How many bounds a value has reached; a missing value, none."""
+        kind = f"array<{df.schema[column].dataType.simpleString()}>"
+        reached = F.filter(F.array(*map(F.lit, bounds)).cast(kind), lambda b: b <= F.col(column))
+        return F.coalesce(F.size(reached), F.lit(0))
+
+    ranks = [rank(c, bounds) for c, bounds in _rank_bits(df, columns).items()]
+    place = F.lit(0).cast("long")
+    for bit in range(CLUSTER_BITS - 1, -1, -1):
+        for rank in ranks:
+            place = F.shiftleft(place, 1).bitwiseOR(F.shiftright(rank, bit).bitwiseAND(1))
+    return place
+
+
 def compact_dataset(
     spark: SparkSession, path: str, out: str, level: str = "medium", cluster_by: list[str] | None = None
 ) -> DataFrame:
     """Rewrite a Parquet dataset without loss and report the sizes.
 
-    The number of files follows from the size before. Without ``cluster_by`` files are only put
-    together, which needs no shuffle; with it rows are also placed by range.
+    The number of files follows from the size before; rows are dealt to them by a shuffle, so that
+    as many tasks read as the input has splits. With ``cluster_by`` rows close in those columns, in
+    several at once by a curve through them, come into the same files and row groups, which a
+    filter on any of them then skips by their statistics.
     """
-    _refuse_in_place(path, out)
+    refuse_in_place(spark, path, out)
     codec, codec_level = LEVELS[level]
-    before = dataset_bytes(spark, path)
-    files = max(1, math.ceil(before.first()["bytes"] / TARGET_FILE_BYTES))
+    before = dataset_bytes(spark, path).first()["bytes"]
+    files = max(1, math.ceil(before / TARGET_FILE_BYTES))
     df = spark.read.parquet(path)
-    df = df.repartitionByRange(files, *cluster_by) if cluster_by else df.coalesce(files)
-    writer = df.write.mode("overwrite").option("compression", codec)
-    if codec_level is not None:
-        writer = writer.option("parquet.compression.codec.zstd.level", str(codec_level))
-    writer.parquet(out)
+    if not cluster_by:
+        placed = df.repartition(files)
+    elif len(cluster_by) == 1:
+        placed = df.repartitionByRange(files, *cluster_by).sortWithinPartitions(*cluster_by)
+    else:
+        key = interleaved(df, cluster_by)
+        placed = df.withColumn("_place", key).repartitionByRange(files, "_place").sortWithinPartitions("_place").drop("_place")
+
+    def write(staged: str) -> None:
+        writer = placed.write.option("compression", codec)
+        if codec_level is not None:
+            writer = writer.option("parquet.compression.codec.zstd.level", str(codec_level))
+        writer.parquet(staged)
+
+    replace_with(spark, out, write)
     after = dataset_bytes(spark, out)
-    return (
-        before.select(kilobytes(F.col("bytes")).alias("before_kb"))
-        .withColumn("after_kb", kilobytes(after.scalar()))
-        .select(
-            F.lit(level).alias("level"),
-            "before_kb",
-            "after_kb",
-            saved_percent(F.col("before_kb"), F.col("after_kb")).alias("saved_pct"),
-        )
-    )
+    return after.select(
+        F.lit(level).alias("level"),
+        kilobytes(F.lit(before)).alias("before_kb"),
+        kilobytes(F.col("bytes")).alias("after_kb"),
+    ).withColumn("saved_pct", saved_percent(F.col("before_kb"), F.col("after_kb")))

@@ -32,6 +32,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(scale, "BLOCK_BITS", 2)
     monkeypatch.setattr(scale, "PAGES_PER_BLOCK", 4)
     monkeypatch.setattr(select, "PAGES_PER_BLOCK", 4)
+    monkeypatch.setattr(select, "FINE", 3)
 
 
 @pytest.fixture
@@ -39,8 +40,7 @@ def eager_salting(monkeypatch):
     """Treat every repeated key as heavy."""
     from leafmill.plans import scale
 
-    monkeypatch.setattr(scale, "HEAVY_ROWS", 1)
-    monkeypatch.setattr(scale, "SLICES", 5)
+    monkeypatch.setattr(scale, "SLICE_ROWS", 2)
 
 
 @pytest.fixture

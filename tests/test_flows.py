@@ -37,3 +37,21 @@ def test_repair_flow(spark, small, tmp_path):
     spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id bigint, url string, html string").write.parquet(clean)
     assert [tuple(r) for r in repair_dataset(spark, clean, again).collect()] == [(0, 1)]
     assert not os.path.exists(again)
+
+
+def test_flows_keep_every_column(spark, tmp_path):
+    """Also columns that are called like what the operators add."""
+    src = str(tmp_path / "pages")
+    rows = [(1, "u", "<html><p onclick='x()'>a</p><title>t</title>", "kept", 5, "c"), (2, None, "<p>b</p>", None, None, "d")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, changed string, code_before int, _clean string").write.parquet(src)
+    before = spark.read.parquet(src)
+    for flow in (sanitize_dataset, clean_metadata_dataset, repair_dataset):
+        out = str(tmp_path / f"{flow.__name__}-wide")
+        flow(spark, src, out)
+        after = spark.read.parquet(out)
+        assert after.columns == before.columns
+        assert sorted(map(str, after.drop("html").collect())) == sorted(map(str, before.drop("html").collect()))
+    docs, out = str(tmp_path / "docs"), str(tmp_path / "redacted")
+    spark.createDataFrame([(1, 1, "see the end", 9, True), (2, 1, "none", 8, None)], "doc_id long, page_no int, text string, n int, redacted boolean").write.parquet(docs)
+    redact_dataset(spark, docs, out, "the")
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {(1, 1, "see ███ end", 9, True), (2, 1, "none", 8, None)}

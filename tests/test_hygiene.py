@@ -67,11 +67,7 @@ def test_strip_leaves_nothing_to_find(spark):
     assert "tail" in html[3]
 
 
-@pytest.mark.parametrize("salts", [1, 7])
-def test_summary(spark, monkeypatch, salts):
-    from leafmill.operators import hygiene
-
-    monkeypatch.setattr(hygiene, "SALTS", salts)
+def test_summary(spark):
     many = {i: f"<form>{'<script></script>' * (i % 4)}" for i in range(1, 31)}
     rows = active_content_summary(page_findings(web(spark, many))).collect()
     by_category = {}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators.merge import merge_documents, merge_report, number_within, split_on_breaks
@@ -75,3 +76,18 @@ def test_report_names_what_is_missing(spark):
     manifest = spark.createDataFrame([("x", 1, 1), ("x", 2, 2), ("y", 1, 1), ("y", 2, 7), ("z", 1, 1), ("z", 2, 2), ("z", 3, 9)], "out_id string, seq int, doc_id long")
     rows = {r.out_id: (r.inputs, r.missing, r.status) for r in merge_report(pages, manifest).collect()}
     assert rows == {"x": (2, 0, "ok"), "y": (2, 1, "single"), "z": (3, 1, "missing")}
+
+
+def test_outputs_with_absent_inputs_are_refused(spark):
+    pages = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, "c")], "doc_id long, page_no int, text string")
+    rows = [("x", 1, 1), ("x", 2, 2), ("y", 1, 1), ("y", 2, 7), ("y", 3, 2), ("z", 1, 8), ("z", 2, 9)]
+    manifest = spark.createDataFrame(rows, "out_id string, seq int, doc_id long")
+    made = lambda **k: {(r.out_id, r.doc_id, r.page_no) for r in merge_documents(pages, manifest, **k).collect()}
+    assert made() == {("x", 1, 1), ("x", 2, 2)}
+    assert made(missing="skip") == {("x", 1, 1), ("x", 2, 2), ("y", 1, 1), ("y", 2, 2)}
+    with pytest.raises(ValueError):
+        made(missing="raise")
+    with pytest.raises(ValueError):
+        made(missing="ignore")
+    told = {r.out_id: r.status for r in merge_report(pages, manifest).collect()}
+    assert told == {"x": "ok", "y": "missing", "z": "single"}

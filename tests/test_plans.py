@@ -48,6 +48,15 @@ def test_selection_reads_only_what_it_needs(spark, small):
     assert "StringContains(text, | )" in plan
 
 
-def test_summary_scans_once_and_limits_groups(spark, small):
+def test_summary_is_reduced_before_the_shuffle(spark, small):
+    """First pages by a rank on its own and totals by partial sums; nothing reads the pages again."""
     plan = final_plan(spark, small, "active_content_summary")
-    assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan
+    assert "FileScan" not in plan and plan.count("Scan ExistingRDD") == 2
+    partial = plan[: plan.index("WindowGroupLimit") + 2000]
+    assert "Partial" in partial and "partial_sum(_n" in plan
+
+
+def test_ranges_meet_pages_by_their_block(spark, small):
+    for name in ("split_by_ranges", "extract_pages", "delete_pages"):
+        plan = final_plan(spark, small, name)
+        assert "_block" in plan.split("SortMergeJoin")[1].split("]")[0]

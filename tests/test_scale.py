@@ -63,3 +63,24 @@ def test_a_missing_group_is_a_group(spark, many_partitions):
     df = spark.createDataFrame([(None, i, 2) for i in range(9)] + [("a", 1, 5)], "g string, k int, v int")
     rows = {(r.g, r.k): (r._position, r._group_size, r._before) for r in running_totals(df, "g", ["k"], "v").collect()}
     assert rows == {**{(None, i): (i + 1, 9, 2 * i) for i in range(9)}, ("a", 1): (1, 1, 0)}
+
+
+def test_slices_follow_the_rows(spark, monkeypatch, many_partitions):
+    """A hot key's largest task is bounded by a slice, with 64 as with 5,000 heavy keys."""
+    from leafmill.plans import scale
+
+    monkeypatch.setattr(scale, "SLICE_ROWS", 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys, hot in ((64, 30_000), (5_000, 2_000)):
+            many = spark.range(hot).selectExpr("0L g", "id k").unionByName(spark.range(keys * 25).selectExpr(f"1 + id % {keys} g", "id k"))
+            few = spark.range(keys + 1).selectExpr("id g", "id * 10 w")
+            joined = spread_join(many, few, ["g"], ["k"])
+            tasks = joined.filter("g = 0").groupBy(F.spark_partition_id()).count()
+            assert joined.filter("w = g * 10").count() == hot + keys * 25
+            # hashing the slices deals them unevenly, by a few times their mean at most
+            assert tasks.agg({"count": "max"}).first()[0] <= max(6 * hot / 200, 8 * 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

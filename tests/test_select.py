@@ -1,8 +1,9 @@
 """Page selection against a plain reading, with documents that cross block borders."""
 
 import random
+import time
 
-from leafmill.operators.select import delete_pages, extract_pages, split_by_ranges
+from leafmill.operators.select import delete_pages, extract_pages, split_by_ranges, split_report
 from tests.test_ranges import reading
 
 SPECS = ["", "all", "1", "2-3", "1-2,2", "5,4-6,1", "9", "1 - 2", "1-11", "3,3", "2-4,6-7,4-6"]
@@ -65,3 +66,37 @@ def test_extract_and_delete_share_the_pages(spark, small_blocks):
     ]
     assert not parts[0] & parts[1]
     assert parts[0] | parts[1] == {(d, p) for d in sound for p in range(1, totals[d] + 1)}
+
+
+def test_gaps_and_missing_documents_are_told(spark):
+    """Page numbers that lack, repeat or are absent: no page is lost without a word."""
+    numbers = {1: [2, 3, 70_000], 2: [1, 2, 3], 3: [1, 1, 3], 4: [1, None, 2], 5: [0, 1, 2], 6: [1, 2, 4, 5, 3]}
+    rows = [(d, p, f"t{p}") for d, ps in numbers.items() for p in ps]
+    pages = spark.createDataFrame(rows, "doc_id bigint, page_no int, text string")
+    specs = spark.createDataFrame([(d, "1-2") for d in numbers] + [(9, "1"), (10, "all")], "doc_id bigint, spec string")
+    status = {1: "gaps", 2: "ok", 3: "gaps", 4: "gaps", 5: "gaps", 6: "ok", 9: "missing", 10: "missing"}
+    for operator, kept in ((extract_pages, {2: [1, 2], 6: [1, 2]}), (delete_pages, {2: [3], 6: [3, 4, 5]})):
+        found = operator(pages, specs).collect()
+        assert {r.doc_id: r.status for r in found} == status
+        assert sum(r.status != "ok" for r in found) == 6
+        got = {d: sorted(r.src_page_no for r in found if r.doc_id == d) for d in kept}
+        assert got == kept
+    assert {r.doc_id: r.status for r in split_report(pages, specs).collect()} == status
+    assert {r.doc_id for r in split_by_ranges(pages, specs).collect()} == {2, 6}
+
+
+def test_many_ranges_over_many_pages(spark):
+    """100,000 pages and 20,000 ranges of one document, in seconds."""
+    n, rng = 100_000, random.Random(3)
+    pages = spark.range(1, n + 1).selectExpr("7L doc_id", "CAST(id AS INT) page_no", "'x' text")
+    starts = [rng.randrange(1, n - 12) for _ in range(20_000)]
+    ranges = [(a, a + rng.randrange(0, 12)) for a in starts]
+    specs = spark.createDataFrame([(7, ",".join(f"{a}-{b}" for a, b in ranges))], "doc_id bigint, spec string")
+    picked = {p for a, b in ranges for p in range(a, b + 1)}
+    start = time.perf_counter()
+    assert split_by_ranges(pages, specs).count() == sum(b - a + 1 for a, b in set(ranges))
+    kept = extract_pages(pages, specs).selectExpr("count(*)", "sum(src_page_no)", "max(page_no)").first()
+    assert tuple(kept) == (len(picked), sum(picked), len(picked))
+    left = delete_pages(pages, specs).selectExpr("count(*)", "sum(src_page_no)", "max(page_no)").first()
+    assert tuple(left) == (n - len(picked), n * (n + 1) // 2 - sum(picked), n - len(picked))
+    assert time.perf_counter() - start < 60

@@ -76,8 +76,67 @@ def test_write_derived_never_in_place(spark, small, tmp_path):
             write_derived(df, src, target)
 
 
+def test_every_spelling_of_the_input_is_refused(spark, tmp_path):
+    src = tmp_path / "x"
+    df = spark.range(3)
+    df.write.parquet(str(src))
+    (tmp_path / "link").symlink_to(src)
+    spellings = [f"{tmp_path}/./x", f"file://{src}", f"{tmp_path}/y/../x", f"{tmp_path}//x/", f"{tmp_path}/link", f"{src}/inner", str(tmp_path), f"{tmp_path}/link/inner/more"]
+    for out in spellings:
+        with pytest.raises(ValueError):
+            write_derived(df, str(src), out)
+        with pytest.raises(ValueError):
+            compact_dataset(spark, str(src), out)
+    with pytest.raises(ValueError):
+        write_derived(df, f"{tmp_path}/link", str(src))
+    assert spark.read.parquet(str(src)).count() == 3
+
+
+def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
+    out, src = str(tmp_path / "out"), str(tmp_path / "src")
+    spark.range(5).write.parquet(src)
+    write_derived(spark.range(3), src, out)
+    broken = spark.range(9).selectExpr("CASE WHEN id = 7 THEN raise_error('no') ELSE id END AS id")
+    with pytest.raises(Exception, match="no"):
+        write_derived(broken, src, out)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+    write_derived(spark.range(4), src, out)
+    assert spark.read.parquet(out).count() == 4
+    assert sorted(os.listdir(tmp_path)) == ["out", "src"]
+
+
+def test_clustering_lets_row_groups_be_skipped(spark, tmp_path):
+    """Rows scattered over the input; a filter on either column then reads a part of the row groups."""
+    import pyarrow.parquet as pq
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    scattered = spark.range(40_000).selectExpr("id", "xxhash64(id) % 1000 a", "xxhash64(id, 5) % 1000 b", "CASE WHEN id % 50 > 0 THEN repeat('x', 20) END t", "'p' _other")
+    scattered.repartition(8).write.parquet(src)
+    spark.conf.set("parquet.block.size", str(64 * 1024))
+    try:
+        compact_dataset(spark, src, out, "medium", ["a", "b"])
+    finally:
+        spark.conf.unset("parquet.block.size")
+    assert spark.read.parquet(out).exceptAll(spark.read.parquet(src)).count() == 0 and spark.read.parquet(out).count() == 40_000
+
+    def touched(folder, column, value):
+        groups = [pq.ParquetFile(f).metadata.row_group(g) for f in glob.glob(f"{folder}/part-*") for g in range(pq.ParquetFile(f).num_row_groups)]
+        stats = [next(g.column(i).statistics for i in range(g.num_columns) if g.column(i).path_in_schema == column) for g in groups]
+        return sum(s.min <= value <= s.max for s in stats) / len(stats)
+
+    for column in ("a", "b"):
+        assert touched(src, column, 400) == 1 and touched(out, column, 400) < 0.5
+
+
+def test_clustering_by_columns_without_values(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(9).selectExpr("id", "CAST(NULL AS INT) a", "CASE WHEN id > 4 THEN 'z' END b").write.parquet(src)
+    compact_dataset(spark, src, out, "low", ["a", "b"])
+    assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, spark.read.parquet(src).collect()))
+
+
 @pytest.mark.parametrize("level", ["low", "medium", "high"])
-@pytest.mark.parametrize("cluster", [None, ["source"]])
+@pytest.mark.parametrize("cluster", [None, ["source"], ["source", "n_chars"]])
 def test_compact(spark, small, tmp_path, level, cluster):
     src, out = f"{small}/documents.parquet", str(tmp_path / "c")
     report = compact_dataset(spark, src, out, level, cluster).first()
