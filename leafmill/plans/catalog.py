@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import convert, extract, hygiene, lock, merge, profile, quality, redact, select
+from leafmill.operators import convert, extract, hygiene, lock, merge, personal, profile, quality, redact, select
 from leafmill.session import fresh_path
 from leafmill.sinks import files as sinks
 from leafmill.sources import tables
-from leafmill.sources.files import file_inventory
+from leafmill.sources.files import table_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ TERMS = "the, there, from, "
 BREAK_LENGTH = 20
 BLANK_SHARE = 0.25
 LINKS = ("internal", "external")
+TABLES = ("documents", "pages", "embeddings", "conversations", "labels", "events", "orders", "lineitem")
 
 
 def _specs(docs: DataFrame) -> DataFrame:
@@ -103,11 +104,14 @@ def _merge_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _protect_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Locked and opened again, and what the locked value was like."""
     keys = _keys(spark, ["a user key"])
-    docs = tables.documents(spark, folder).select("doc_id", "text")
-    locked = lock.protect_columns(docs, ["text"], keys)
+    docs = tables.documents(spark, folder).select("doc_id", "text", F.col("text").cast("binary").alias("plain"))
+    locked = lock.protect_columns(docs, ["text"], keys).select(
+        "*", F.octet_length("text").alias("locked_bytes"), (F.col("text") != F.col("plain")).alias("hidden")
+    )
     opened = lock.unprotect_columns(locked, ["text"], keys)
-    return opened.select("doc_id", F.col("text").cast("string").alias("text"))
+    return opened.select("doc_id", F.col("text").cast("string").alias("text"), "locked_bytes", "hidden")
 
 
 def _unprotect_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,6 +129,50 @@ def _unprotect_columns(spark: SparkSession, folder: str) -> DataFrame:
     return opened.select("doc_id", "status", readable.alias("text"))
 
 
+def _lock_report(spark: SparkSession, folder: str) -> DataFrame:
+    return lock.lock_report(_unprotect_columns(spark, folder))
+
+
+def _size_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.size_totals(_size_report(spark, folder))
+
+
+def _merge_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the merge, where some outputs also name a document that is not there."""
+    docs = tables.documents(spark, folder)
+    absent = docs.filter("doc_id % 97 = 0").select(
+        F.col("source").alias("out_id"), F.lit(0).alias("seq"), (-1 - F.col("doc_id")).alias("doc_id")
+    )
+    return merge.merge_report(tables.paginate(docs), _manifest(docs).unionByName(absent))
+
+
+def _assemble_in_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return convert.assemble_document(convert.page_texts(tables.pages(spark, folder)), pages_per_part=3)
+
+
+def _file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """Files and rows of the given tables, from what comes with their rows."""
+    found = None
+    for name in TABLES:
+        own = table_files(spark.read.parquet(f"{folder}/{name}.parquet"), [".parquet"])
+        own = own.groupBy("ext").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows")).select(F.lit(name).alias("name"), "*")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _compact_clustered(spark: SparkSession, folder: str) -> DataFrame:
+    """What is read back of every level, with rows placed by source and size at once."""
+    found = None
+    for level in sinks.LEVELS:
+        out = fresh_path(spark, f"clustered-{level}")
+        sinks.compact_dataset(spark, f"{folder}/documents.parquet", out, level, ["source", "n_chars"])
+        own = spark.read.parquet(out).groupBy("source", "lang").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum(F.octet_length("text")).alias("bytes"), F.sum("doc_id").alias("ids")
+        ).select(F.lit(level).alias("level"), "*")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def _size_report(spark: SparkSession, folder: str) -> DataFrame:
     pages = tables.pages(spark, folder)
     return quality.size_report(pages, hygiene.strip_active_content(pages), "page_id", "html")
@@ -161,12 +209,13 @@ def _compact_dataset(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # scans, sources, sinks
-    "file_inventory": lambda spark, folder: file_inventory(spark, folder, [".parquet"]),
+    "file_inventory": _file_inventory,
     "paginate": _on_docs(tables.paginate),
     "write_derived": _write_derived,
     "export_tables_csv": _export_tables_csv,
     "export_links_txt": _export_links_txt,
     "compact_dataset": _compact_dataset,
+    "compact_clustered": _compact_clustered,
     # profiles and conversion
     "doc_profile": _on_docs(profile.doc_profile),
     "page_profile": _on_pages(profile.page_profile),
@@ -175,6 +224,7 @@ QUERIES: dict[str, Query] = {
     "html_to_text": _on_pages(convert.html_to_text),
     "html_to_markdown": _on_pages(convert.html_to_markdown),
     "assemble_document": _on_pages(lambda p: convert.assemble_document(convert.page_texts(p))),
+    "assemble_in_parts": _assemble_in_parts,
     "empty_page_report": _on_pages(convert.empty_page_report),
     # page selection
     "parse_page_ranges": _parse_page_ranges,
@@ -182,6 +232,7 @@ QUERIES: dict[str, Query] = {
     "extract_pages": _with_specs(select.extract_pages),
     "delete_pages": _with_specs(select.delete_pages),
     "merge_documents": _merge_documents,
+    "merge_report": _merge_report,
     "split_on_breaks": _on_docs(
         lambda d: merge.split_on_breaks(d, lambda line: F.length(line) < BREAK_LENGTH)
     ),
@@ -209,9 +260,13 @@ QUERIES: dict[str, Query] = {
     "strip_active_planted": _on_planted(hygiene.strip_active_content),
     "protect_columns": _protect_columns,
     "unprotect_columns": _unprotect_columns,
+    "lock_report": _lock_report,
+    "pii_scan": _on_docs(personal.pii_scan),
     # quality and repair
     "structure_check": _on_pages(quality.structure_check),
+    "structure_summary": _on_pages(lambda p: quality.structure_summary(quality.structure_check(p))),
     "blank_page_check": _on_doc_pages(lambda p: quality.blank_page_check(p, BLANK_SHARE)),
     "repair_pages": _on_pages(quality.repair_pages),
     "size_report": _size_report,
+    "size_totals": _size_totals,
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,17 @@ def local_session(cores: int | str = "*", app: str = "leafmill", memory: str = "
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a folder is made here.
+    Where that setting is absent, a folder of this application in the warehouse, which executors
+    share as well; a local session takes it away when it ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="leafmill-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        folder = f"{warehouse}/shared-{spark.sparkContext.applicationId}"
+        if spark.sparkContext.master.startswith("local["):
+            atexit.register(shutil.rmtree, folder.removeprefix("file:"), ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

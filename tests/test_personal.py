@@ -1,0 +1,44 @@
+"""Counts of personal data against Python's own reading of the patterns."""
+
+import random
+import re
+import time
+from collections import Counter
+
+from leafmill.operators.personal import PATTERNS, pii_counts, pii_scan
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "ipv4": r"(?a:\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b)",
+    "card": r"(?a:\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b)",
+    "phone": r"\+[0-9][0-9 ().-]{8,}[0-9]",
+}
+
+
+def test_as_python_reads_the_patterns(spark):
+    rng = random.Random(2)
+    parts = ["a", "b.c", "@", ".", "com", "_", " ", "1", "12", "1234", "192.168.0.1", "+49 (30) 123-456", "-", "x@y.org", "1234 5678 9012 3456", "%", "\n"]
+    texts = ["a@b.com_x@y.org", "a@b.co.uk", "a@@b.de", "1.2.3.4.5", "1234567890123456", "12345678901234567", "+1", "", None]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 7 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = {(i, k): n for i, t in enumerate(texts) for k, p in PLAIN.items() if (n := len(re.findall(p, t or "")))}
+    assert {(r.doc_id, r.kind): r.n for r in pii_counts(df.repartition(4)).collect()} == want
+    totals, docs = Counter(), Counter()
+    for (i, k), n in want.items():
+        source = f"s{i % 3}" if i % 7 else None
+        totals[source, k] += n
+        docs[source, k] += 1
+    assert {(r.source, r.kind): (r.docs, r.matches) for r in pii_scan(df).collect()} == {x: (docs[x], totals[x]) for x in totals}
+    assert set(PATTERNS) == set(PLAIN)
+
+
+def test_long_runs_end_in_seconds(spark):
+    long = ["a" * 1_000_000, "a@" * 500_000, "a@" + "b-" * 500_000, "1" * 1_000_000, "+1" * 500_000, "1." * 500_000, "+" + "1 " * 500_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").selectExpr("*", "'s' source")
+    start = time.perf_counter()
+    pii_scan(df).collect()
+    assert time.perf_counter() - start < 30
+
+
+def test_empty_table(spark):
+    assert pii_scan(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
