@@ -284,12 +284,13 @@ def test_language_model(spark):
 
 
 def test_class_scores_are_probabilities_and_training_helps(spark):
-    # the start knows the class before; only the class two back says here which one follows
+    # the start knows the word before; only the class two back says here which class follows
+    rows = 2 * maxent.CLASSES
     table = [
-        (two * maxent.CLASSES + before, {(7 * two + k) % maxent.CLASSES: 9.0 - k for k in range(5)})
+        (two * rows + before, [((7 * two + k) % maxent.CLASSES, 9.0 - k) for k in range(5)])
         for two in range(6)
         for before in range(8)
     ]
-    weights, seen = maxent.train(spark.createDataFrame(table, "place int, counts map<int,double>"), steps=6)
+    weights, seen = maxent.train(spark.createDataFrame(table, "place long, cells array<struct<kind:int,n:double>>"), rows, steps=6)
     assert seen[-1] > seen[0]
     assert np.exp(weights.log_softmax(np.arange(50))).sum(axis=1) == pytest.approx(np.ones(50))
