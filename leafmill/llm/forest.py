@@ -282,9 +282,9 @@ def open_members(members: DataFrame, place: DataFrame, scratch: Scratch) -> Data
 def shingle_counts(sets: DataFrame) -> np.ndarray:
     """How often the shingles of each slot occur in ``sets``."""
     slots = F.transform("shingles", lambda s: F.shiftrightunsigned(s, 64 - COUNT_BITS).cast("int"))
-    found = sets.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toPandas()
+    found = sets.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.int32)
-    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 

@@ -1,19 +1,22 @@
 """Quality classification of documents by hierarchical empirical Bayes.
 
-The evidence of a document is the log odds of a logistic model over features of its whole text,
-fitted on labelled rows. The prior of a document is that of its path, which is shrunk towards its
-host, which is shrunk towards all documents: at each level the mean of the members' probabilities
-counts as much as there are members, and the level above as much as its variance between sites
-says (method of moments). A document is left out of the means it is judged by. Sites are
-aggregated in groups; rows of a large site never meet.
-
-The model is fitted on at most ``LABELLED`` labelled documents, those whose hashed doc_id is
-lowest, which bounds what the driver gets. All else covers all documents.
-
-Defined results: null, empty and blank texts have the features of no words; null hosts and paths
-are sites of that name; repeated rows count and stay, and their labels are averaged; labels that are
-null or of unknown documents are ignored; without labels of both kinds no text is evidence and all
-is kept; other columns are ignored; an empty table gives no rows.
+The evidence of a document is the log odds of a logistic model over its whole text, fitted on labelled
+rows: its words and word pairs, hashed into ``LEXICAL`` slots, and some counts of its surface. The prior
+of a document is that of its path, which is shrunk towards its host, which is shrunk towards all
+documents: at each level the mean of the members' probabilities counts as much as there are members,
+and the level above as much as its variance between sites says (method of moments). A document is left
+out of the means it is judged by. Sites are aggregated in groups, and met in slices where one of them
+owns many documents.
+
+The model is fitted by Newton steps over at most ``LABELLED`` labelled documents, those whose hashed
+doc_id is lowest: every step is a job over their features, and the driver gets sums of the square of the
+number of features. All else covers all documents.
+
+Defined results: null, empty and blank texts have the features of no words; texts of any length are
+read whole; null hosts and paths are sites of that name; repeated rows count and stay, and their labels
+are averaged; labels that are null or of unknown documents are ignored; a null doc_id is judged like any
+other; without labels of both kinds no text is evidence and all is kept; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +27,18 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.batches import bytes_of, text_slices, written
+from leafmill.llm.batches import WordIds, bytes_of, lists, text_slices, written
+from leafmill.plans.scale import spread_join
 
 LABELLED = 20_000
+#: Slots of hashed words, and as many of pairs of neighbours, and parts in which the fit adds up.
+LEXICAL, PARTS = 128, 4
+MIX = np.uint64(0x9E3779B97F4A7C15)
 KEEP_FROM = 0.5
 RIDGE = 1.0
 FEATURES = ("words", "distinct", "repeated", "capitals", "symbols", "exclaimed", "digits", "word_length", "repeated_lines", "columns")
@@ -40,7 +49,7 @@ KINDS[[35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 124, 125, 12
 SHOUT = re.compile(rb"[!?]{2}").findall
 
 
-def features(text: bytes) -> list[float]:
+def surface(text: bytes) -> list[float]:
     """Values of ``FEATURES``, each of moderate size for texts of any length."""
     words = text.split()
     n = len(words)
@@ -61,43 +70,114 @@ def features(text: bytes) -> list[float]:
     ]
 
 
-def document_features(docs: DataFrame, host: Column, path: Column) -> DataFrame:
-    """``doc_id, host, path, x``: the features of every whole text."""
+class Features:
+    """Features of texts: shares of the slots of words and of word pairs, and the surface."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                x = [features(t) for t in bytes_of(part, "text")]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "host", "path", "x"]
-                )
+    SIZE = 2 * LEXICAL + len(FEATURES)
 
-    used = docs.select("doc_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "text")
-    return used.mapInArrow(run, "doc_id bigint, host string, path string, x array<double>")
+    def __init__(self) -> None:
+        self.known = WordIds(lambda words: [(xxhash.xxh3_64_intdigest(w),) for w in words], kind=np.uint64)
+
+    def of(self, batch: pa.RecordBatch, column: str = "text") -> np.ndarray:
+        n = batch.num_rows
+        texts = pc.ascii_lower(pc.fill_null(batch.column(column), ""))
+        found = pc.ascii_split_whitespace(texts)
+        words, row = found.flatten(), np.repeat(np.arange(n), found.value_lengths().to_numpy(zero_copy_only=False))
+        there = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        code, _ = self.known.of_array(words)
+        code, row = code[there], row[there]
+        shift = np.uint64(64 - (LEXICAL.bit_length() - 1))
+        pair = row[1:] == row[:-1]
+        second = ((code[:-1] * MIX + code[1:]) * MIX >> shift)[pair].astype(np.int64)
+        counts = [
+            np.bincount(r * LEXICAL + slot, minlength=n * LEXICAL).reshape(n, LEXICAL)
+            for r, slot in ((row, (code * MIX >> shift).astype(np.int64)), (row[1:][pair], second))
+        ]
+        size = np.maximum(1, np.bincount(row, minlength=n))[:, None]
+        return np.hstack([*(np.sqrt(c / size) for c in counts), np.array([surface(t) for t in bytes_of(batch, column)]).reshape(n, -1)])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> np.ndarray:
-    """Weights (the last one constant) on raw features; Newton steps on standardised ones.
+def fit(rows: DataFrame, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic model of ``rows`` (``x, y``), the last one constant, by Newton steps.
 
-    ``y`` may be fractional. All zero where one kind of label is missing.
+    ``y`` may be fractional. All zero where one kind of label is missing. A step is one pass over the
+    rows; features are brought to equal spread first.
     """
-    if len(y) == 0 or y.min() == y.max():
-        return np.zeros(x.shape[1] + 1)
-    mean, spread = x.mean(axis=0), x.std(axis=0)
+    size = Features.SIZE
+
+    def pass_over(work, width: int) -> np.ndarray:
+        """Sum of what ``work`` gives for the rows of every task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+                    total += work(x, batch.column("y").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["t"])
+
+        found = rows.coalesce(PARTS).mapInArrow(run, "t binary").collect()  # one row per part
+        return np.sum([np.frombuffer(r.t) for r in found], axis=0) if found else np.zeros(width)
+
+    def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(y), y.sum(), (y > 0).sum(), (y < 1).sum()], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    n, positive, some, others, *rest = pass_over(moments, 4 + 2 * size)
+    if n == 0 or some == 0 or others == 0:
+        return np.zeros(size + 1)
+    mean = np.array(rest[:size]) / n
+    spread = np.sqrt(np.maximum(np.array(rest[size:]) / n - mean * mean, 0.0))
     spread[spread < 1e-9] = 1.0
-    z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
-    w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
-    penalty[-1] = 1e-6
+    w, penalty = np.zeros(size + 1), np.full(size + 1, ridge)
+    w[-1], penalty[-1] = np.log((positive + 0.5) / (n - positive + 0.5)), 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        now = w.copy()
+
+        def newton(x: np.ndarray, y: np.ndarray, now: np.ndarray = now) -> np.ndarray:
+            z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ now, -30, 30)))
+            return np.concatenate([z.T @ (y - p), ((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).ravel()])
+
+        sums = pass_over(newton, (size + 1) * (size + 2))
+        step = np.linalg.solve(sums[size + 1 :].reshape(size + 1, -1) + np.diag(penalty), sums[: size + 1] - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     raw = w[:-1] / spread
     return np.append(raw, w[-1] - raw @ mean)
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """``x, y`` of at most ``most`` labelled documents; their ids are sent to the texts, not the texts."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features()
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                x = made.of(part)
+                flat = lists(x.ravel().astype(np.float32), np.full(len(x), x.shape[1]), pa.float32())
+                yield pa.RecordBatch.from_arrays([flat, part.column("y")], names=["x", "y"])
+
+    return written(texts.mapInArrow(run, "x array<float>, y double"), "labelled")
+
+
+def evidence_of(docs: DataFrame, host: Column, path: Column, weights: np.ndarray) -> DataFrame:
+    """``doc_id, host, path, odds``: the log odds of every whole text by the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features()
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                odds = np.clip(made.of(part) @ weights[:-1] + weights[-1], -30, 30) if weights.any() else np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(odds)], names=["doc_id", "host", "path", "odds"])
+
+    used = docs.select("doc_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "text")
+    return used.mapInArrow(run, "doc_id bigint, host string, path string, odds double")
+
+
 def logit(p: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(q / (1 - q))
@@ -128,17 +208,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", "source", "lang") if path is None else path
-    measured = written(document_features(docs, host, path), "features")
-    known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
-    sample = measured.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
-    x = np.array([r.x for r in sample]).reshape(-1, len(FEATURES))
-    y = np.array([r.y for r in sample])
-    w = fit(x, y)
-    usual = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if w.any() else 0.0
-
-    total = sum((F.col("x")[i] * float(v) for i, v in enumerate(w[:-1])), F.lit(float(w[-1]) if w.any() else 0.0))
-    odds = F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0))
-    rows = written(measured.select("doc_id", "host", "path", odds.alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds")))), "evidence")
+    sample = labelled_features(docs, labels, label, labelled)
+    w = fit(sample)
+    sums = sample.agg(F.sum("y").alias("y"), F.count("y").alias("n")).first()
+    usual = float(np.log((sums.y + 0.5) / (sums.n - sums.y + 0.5))) if w.any() else 0.0
+    rows = evidence_of(docs, host, path, w).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
+    rows = written(rows, "evidence")
     mean = rows.agg(F.avg("p")).first()[0]
     mean = min(1 - 1e-6, max(1e-6, 0.5 if mean is None else mean))
 
@@ -148,7 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     host_mean = (F.col("host_sum") + a * mean) / (F.col("host_n") + a)
     paths = written(paths, "sites")
     b = _strength(paths, "path", host_mean)
-    joined = rows.join(paths, ["host", "path"])
+    joined = spread_join(rows, paths, ["host", "path"], ["doc_id", "odds"], rows="path_n")
     host_prior = (F.col("host_sum") - F.col("p") + a * mean) / (F.col("host_n") - 1 + a)
     path_prior = (F.col("path_sum") - F.col("p") + b * F.col("host_prior")) / (F.col("path_n") - 1 + b)
     judged = joined.withColumn("host_prior", host_prior).withColumn("path_prior", path_prior)
