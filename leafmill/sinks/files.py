@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import kilobytes, saved_percent
+from leafmill.session import durable
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 #: Bits of every column in a clustering of several, and rows from which their bounds are taken.
@@ -155,8 +156,9 @@ def link_report_lines(links: DataFrame) -> DataFrame:
 
 
 def export_links_txt(links: DataFrame, out: str, layout: str = "sorted") -> None:
-    """Text report of the links of every site."""
-    _write_lines(link_report_lines(links), out, layout, ["host"], ["host", "page_no", "ord"])
+    """Text report of the links of every site; links are found once, for heads, lines and their order."""
+    found = durable(links.select("host", "page_no", "ord", "uri"))
+    _write_lines(link_report_lines(found), out, layout, ["host"], ["host", "page_no", "ord"])
 
 
 def dataset_bytes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,31 +1,38 @@
-import re
+"""Range expressions that are made from their ranges, and such with a single thing broken."""
 
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
+import random
 
 from leafmill.operators.select import parse_page_ranges
 
 BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
-def reading(spec: str, total: int):
-    """The rules of the grammar in plain Python: list of ranges, or None."""
-    spec = spec.strip(BLANK).lower()
-    if spec in ("", "all", "each"):
-        return [(p, p) for p in range(1, total + 1)]
-    found = []
-    for part in (p.strip(BLANK) for p in spec.split(",")):
-        if part == "":
-            continue
-        match = re.fullmatch("([0-9]+)(-([0-9]+))?", part)
-        if match is None:
-            return None
-        a = int(match[1])
-        b = a if match[3] is None else int(match[3])
-        if not 1 <= a <= b <= total:
-            return None
-        found.append((a, b))
-    return found or None
+def written_out(rng, ranges):
+    """An expression for ``ranges``, with blanks, zeros and empty parts where they may stand."""
+    blanks = lambda: "".join(rng.choices(BLANK, k=rng.choice([0, 0, 1, 2])))
+    number = lambda n: "0" * rng.choice([0, 0, 0, 2]) + str(n)
+    parts = []
+    for a, b in ranges:
+        text = number(a) if a == b and rng.random() < 0.7 else f"{number(a)}-{number(b)}"
+        parts += [blanks() for _ in range(rng.choice([0, 0, 0, 1]))] + [blanks() + text + blanks()]
+    return blanks() + ",".join(parts) + "," * rng.choice([0, 0, 1]) + blanks()
+
+
+def some_ranges(rng, total):
+    starts = [rng.randint(1, total) for _ in range(rng.randint(1, 5))]
+    return [(a, rng.randint(a, total)) for a in starts]
+
+
+def broken(rng, total):
+    """An expression that would be sound but for one part."""
+    wrong = [
+        "0", f"0-{total}", str(total + 1), f"1-{total + 1}", f"{total + 2}-{total + 3}", "-1", "1-", "-", "1--2", "1-1-1", "1 1", "1 -1", "1- 1",
+        "x", "1x", "one", "1.0", "+1", "\u0661", "\u00b2", "all", "9" * 30, *([f"{total}-{total - 1}"] if total > 1 else []),
+    ]
+    parts = [written_out(rng, [r]).strip(BLANK).strip(",") for r in some_ranges(rng, total)]
+    parts[rng.randrange(len(parts))] = rng.choice(wrong)
+    text = ",".join(parts)
+    return text if text.strip(BLANK).lower() not in ("all", "each") else text + ",1"
 
 
 def run(spark, cases):
@@ -74,21 +81,22 @@ def test_listed_cases(spark, small_blocks):
     assert run(spark, list(cases)) == list(cases.values())
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(
-    st.lists(
-        st.tuples(
-            st.one_of(
-                st.text(alphabet="0123,- al", max_size=9),
-                st.lists(
-                    st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=4
-                ).map(lambda rs: ",".join(f"{a}-{b}" if b else str(a) for a, b in rs)),
-            ),
-            st.integers(0, 9),
-        ),
-        min_size=80,
-        max_size=160,
-    )
-)
-def test_against_plain_reading(spark, small_blocks, cases):
-    assert run(spark, cases) == [reading(s, t) for s, t in cases]
+def test_made_and_broken_expressions(spark, small_blocks):
+    rng = random.Random(12)
+    cases, want = [], []
+    for _ in range(1500):
+        total = rng.randint(1, 30)
+        ranges = some_ranges(rng, total)
+        cases.append((written_out(rng, ranges), total))
+        want.append(ranges)
+        cases.append((broken(rng, total), total))
+        want.append(None)
+    for word in ("", "all", "each", "ALL", " Each\t", "\n"):
+        total = rng.randint(1, 9)
+        cases.append((word, total))
+        want.append([(p, p) for p in range(1, total + 1)])
+    for commas in (",", ", ,", ",,,"):
+        cases.append((commas, 3))
+        want.append(None)
+    got = run(spark, cases)
+    assert [(c, g, w) for c, g, w in zip(cases, got, want, strict=True) if g != w] == []
