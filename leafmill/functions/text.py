@@ -104,21 +104,28 @@ def largest_char_share(text: Column) -> Column:
     """Share of the most frequent character; 1.0 for an empty text.
 
     The text stays one value in its row; no row per character is ever made. The characters of a
-    short prefix are removed one after the other, and what each removal takes away is its count.
-    Frequent characters show up early, so the rest is soon shorter than the best count and cannot
-    beat it. Only where it is longer, the rest is sorted to find its own most frequent character.
+    short prefix are removed one after the other, those most frequent in it first, and what each
+    removal takes away is its count. The rest is soon no longer than the best count and cannot beat
+    it: then no more are looked at. Only where it stays longer, the rest is sorted to find its own most
+    frequent character.
     """
 
     def remove(state: Column, char: Column) -> Column:
-        return let(
+        less = let(
             F.replace(state["rest"], char, F.lit("")),
             lambda rest: F.struct(
                 rest.alias("rest"),
                 F.greatest(state["best"], F.length(state["rest"]) - F.length(rest)).alias("best"),
             ),
         )
+        return F.when(F.length(state["rest"]) > state["best"], less).otherwise(state)
 
-    prefix_chars = F.array_distinct(F.split(F.left(text, F.lit(COMMON_PREFIX)), ""))
+    def in_turn(prefix: Column) -> Column:
+        without = lambda c: F.length(F.replace(prefix, c, F.lit("")))
+        ranked = F.transform(F.array_distinct(F.split(prefix, "")), lambda c: F.struct(without(c).alias("left"), c.alias("char")))
+        return F.transform(F.sort_array(ranked), lambda r: r["char"])
+
+    prefix_chars = let(F.left(text, F.lit(COMMON_PREFIX)), in_turn)
     start = F.struct(text.alias("rest"), F.lit(0).alias("best"))
     most = let(
         F.aggregate(prefix_chars, start, remove),
