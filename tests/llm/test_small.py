@@ -285,12 +285,20 @@ def test_language_model(spark):
 
 def test_class_scores_are_probabilities_and_training_helps(spark):
     # the start knows the word before; only the class two back says here which class follows
-    rows = 2 * maxent.CLASSES
-    table = [
-        (two * rows + before, [((7 * two + k) % maxent.CLASSES, 9.0 - k) for k in range(5)])
-        for two in range(6)
-        for before in range(8)
-    ]
-    weights, seen = maxent.train(spark.createDataFrame(table, "place long, cells array<struct<kind:int,n:double>>"), rows, steps=6)
+    n = maxent.CLASSES
+    kinds, places = np.arange(n), []
+    after_row, after_two = np.zeros((n, n)), np.zeros((n, n, n))
+    for two in range(6):
+        for before in range(8):
+            counts = {(7 * two + k) % n: 9.0 - k for k in range(5)}
+            places.append((two * n + before, sum(counts.values())))
+            for kind, x in counts.items():
+                after_row[before, kind] += x
+                after_two[two, before, kind] += x
+    weights, seen = maxent.train(spark.createDataFrame(places, "place long, n double"), after_row, after_two, kinds, steps=6)
     assert seen[-1] > seen[0]
     assert np.exp(weights.log_softmax(np.arange(50))).sum(axis=1) == pytest.approx(np.ones(50))
+    # the likelihood is that of the counts
+    logs = weights.log_softmax(np.array([p for p, _ in places]))
+    total = sum(after_two[p // n, p % n] @ logs[i] for i, (p, _) in enumerate(places)) / after_row.sum()
+    assert total == pytest.approx(seen[-1])
