@@ -9,7 +9,8 @@ other unknown layout is refused.
 Everything is built-in expressions. Defined results: null texts and roles are empty; repeated
 rows are turns of their own, ordered by turn, role and text; null conversation ids form one
 conversation; records of an unknown layout keep their row, with layout ``unknown`` and null
-turns, and formatted they give null texts, as do conversations without turns; other columns of a table are ignored; an empty table gives no conversation.
+turns, and formatted they give null texts, as do conversations without turns; texts of any length are kept whole; other columns of a
+table are ignored, whatever their names; an empty table gives no conversation.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ different components alone are made, each task once. The order goes by counts in
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; fewer than
 five words are one shingle; repeated rows of a doc_id share its result; a null doc_id takes part
-without representing; other columns are ignored; an empty table gives no rows.
+without representing; texts of any length are read whole; other columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ the subsets in which either text has terms. A text without terms in the band use
 
 Defined results: null is the empty text, whose fingerprint is that of no terms; two such texts are
 alike (1). Equal texts have equal fingerprints. Repeated rows stay; the order of equal doc_ids is
-by a hash of the text. Texts of any length are read whole. Other columns are ignored. An empty table
-gives no rows.
+by a hash of the text. Texts of any length are read whole. Other columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ the signatures: they can never match, so this drops no result.
 
 Everything is built-in expressions. Templates are a parameter; they, not the data, bound what is
 broadcast. Defined results: null, empty and shorter texts hold no licence and give no row; repeated
-rows give repeated results; one row per document row and licence, with the best containment.
+rows give repeated results; one row per document row and licence, with the best containment, the first
+of equal ones; texts of any length are read whole; a null doc_id stays; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ switched off. Where no piece of the vocabulary has a word mark after another cha
 crosses a word, and words are encoded apart and remembered.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; other columns
-are kept, and a clash with the new columns is refused; repeated rows stay.
+are kept, and a clash with the new columns is refused; repeated rows stay; texts of any length are
+read whole, in slices of words; an empty table gives no rows.
 """
 
 from __future__ import annotations
