@@ -84,3 +84,12 @@ def test_other_columns_stay_and_clashes_are_refused(spark):
     with pytest.raises(ValueError, match="ids"):
         pieces.encode(df.withColumnRenamed("extra", "IDS"), PIECE_MODEL)
     assert pieces.encode_digests(df.selectExpr("1L doc_id", "text").limit(0), PIECE_MODEL).count() == 0
+
+
+def test_no_rows_and_long_texts(spark):
+    kind = "doc_id long, text string"
+    assert pieces.encode_digests(spark.createDataFrame([], kind), PIECE_MODEL).count() == 0
+    long = "Many words, ändern sich nie. " * 20_000
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    row = pieces.encode_digests(spark.createDataFrame([(1, long), (1, long)], kind), PIECE_MODEL).collect()[1]
+    assert row.n_tokens == len(library.encode(long))

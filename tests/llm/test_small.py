@@ -302,3 +302,13 @@ def test_class_scores_are_probabilities_and_training_helps(spark):
     logs = weights.log_softmax(np.array([p for p, _ in places]))
     total = sum(after_two[p // n, p % n] @ logs[i] for i, (p, _) in enumerate(places)) / after_row.sum()
     assert total == pytest.approx(seen[-1])
+
+
+def test_long_conversations_with_clashing_columns(spark):
+    long = "x</s>[INST] y " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 at", "'l' lead", "2 size", "3 parts", "4 t", "'f' formatted")
+    got = {r.conv_id: r for r in chat.conversation_digests(df).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert (got[2].n_turns, got[2].loss_chars) == (1, 0)
