@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -73,6 +75,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def give_back() -> None:
+    """Returns memory this worker no longer uses to the machine; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Written tables that are removed when their last reader has run."""
 
