@@ -1,8 +1,11 @@
 """Exact duplicates by a stream: against a plain grouping, with collisions, hot groups and later files."""
 
+import os
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from leafmill.llm import ledger
@@ -83,6 +86,16 @@ def test_state_goes_on_with_later_files(spark, tmp_path):
     assert key(slow) == key(log)
 
 
+def test_open_stores_take_no_disk_in_advance(spark, table):
+    local = Path(SparkFiles.getRootDirectory()).parent  # where this session's executor works
+    before = set(local.glob("StateStoreId*"))
+    ledger.Ledger(spark).absorb(ledger.located(ledger.arriving(spark, table)))
+    stores = set(local.glob("StateStoreId*")) - before
+    assert stores
+    for store in stores:
+        assert sum(os.lstat(f).st_blocks * 512 for f in store.rglob("*")) < 1 << 20
+
+
 def test_empty_table_and_single_file(spark, tmp_path, small):
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
