@@ -14,8 +14,9 @@ Within a class, words that are among the most frequent, one of ``PER_OWN`` disti
 at most, have a feature for every such word they follow ``LEAST_PAIR`` times or more. These do not
 overlap, so that their maximum-entropy weights have a closed form: after the word before, the words
 with a feature get their share of the counts less a discount, and the rest of the class shares what is
-left in proportion to its own counts. The ``MOST_PAIRS`` most frequent pairs are kept, which bounds what is
-sent out. Either softmax sums to one over the whole vocabulary and the unknown word.
+left in proportion to its own counts. All pairs count: the most frequent ones, ``MOST_PAIRS`` at most, are
+sent out, and the tokens of all others meet their weights in a join, summed up by text. Either softmax
+sums to one over the whole vocabulary and the unknown word.
 
 Training sums over all training text, by grouped aggregation, which loses nothing for these features,
 and then takes gradient steps: every step is a Spark job over the table of histories, each task
@@ -40,8 +41,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,8 @@ CLASSES = 2 + FREQUENT + ENDINGS
 #: Words with pairs of their own: one of so many distinct ones, and so many at most; and words that are
 #: features of the class after them.
 PER_OWN, MOST_OWN, MOST_HISTORY = 8, 8192, 1024
-#: Pairs of them with a feature within the class, and what their counts are lowered by.
+#: Occurrences from which pairs of them have a feature within the class, how many of those pairs are sent
+#: out at most (the others are joined), and what their counts are lowered by.
 LEAST_PAIR, MOST_PAIRS, DISCOUNT = 4, 1 << 20, 0.5
 #: Bytes of text in a block that shares word numbers.
 BLOCK_BYTES = 12 << 20
@@ -82,7 +85,7 @@ def blocks(docs: DataFrame, write: Callable[[DataFrame, str], DataFrame] = writt
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        block = TaskContext.get().partitionId() << 16
         number: dict[bytes, int] = {}
         counts = np.zeros(1 << 16, np.int64)
         size = 0
@@ -186,14 +189,15 @@ class Vocabulary:
 
 
 def row_sequences(numbered: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Texts as rows, with all that counts alone decide:
-    ``doc_id, held_out, n_tokens, n_known, base_score, within_score, rows`` (little-endian 16 bit)."""
+    """Texts as rows, with all that counts alone decide: ``at, doc_id, held_out, n_tokens, n_known,
+    base_score, within_score, rows`` (little-endian 16 bit); ``at`` is another number for every text."""
     total, distinct, mass = vocabulary.total, vocabulary.distinct, vocabulary.mass
     found = vocabulary.words.select("block", "number", "key").join(vocabulary.classed, "key", "left").select(
         "block", "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(UNKNOWN)).cast("int").alias("class"),
         F.coalesce("row", F.lit(UNKNOWN)).cast("int").alias("row"),
     )
     texts = numbered.filter("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids")
+    # a block has less than 1 << 24 texts, as each takes a byte at least
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         give_back()  # what the block before has left
@@ -210,16 +214,17 @@ def row_sequences(numbered: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             out["base_score"].append(float(base[ids].sum()))
             out["within_score"].append(float(within[ids].sum()))
             out["rows"].append(row[ids].tobytes())
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **out}, schema=CODED)
+        numbers = pc.add(pc.shift_left(texts.column("block"), 24), pa.array(np.arange(texts.num_rows)))
+        return pa.table({"at": numbers, "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **out}, schema=CODED)
 
     grouped = texts.groupBy("block").cogroup(found.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(
-        run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, within_score double, rows binary"
+        run, "at bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, within_score double, rows binary"
     )
     return written(grouped, "row-sequences")
 
 
 CODED = pa.schema([
-    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("at", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("base_score", pa.float64()), ("within_score", pa.float64()), ("rows", pa.binary()),
 ])
 
@@ -315,11 +320,20 @@ def history_counts(coded: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame,
 
 
 class Pairs:
-    """Weights of word pairs within a class: natural logs to add to what counts alone give."""
+    """Weights of word pairs within a class: natural logs to add to what counts alone give.
 
-    def __init__(self, codes: np.ndarray, gains: np.ndarray, groups: np.ndarray, rests: np.ndarray, kind_of_row: np.ndarray):
+    ``late`` has the pairs that are not sent out, ``pair, gain``: what to add to ``gain`` for each of
+    their tokens. ``late_bits`` has a bit for each of them.
+    """
+
+    def __init__(self, codes: np.ndarray, gains: np.ndarray, groups: np.ndarray, rests: np.ndarray, kind_of_row: np.ndarray,
+                 late: DataFrame | None = None, late_bits: np.ndarray | None = None):
         self.codes, self.gains, self.groups, self.rests = codes, gains, groups, rests
-        self.kind_of_row = kind_of_row
+        self.kind_of_row, self.late, self.late_bits = kind_of_row, late, late_bits
+
+    def sent(self) -> Pairs:
+        """What tasks need."""
+        return Pairs(self.codes, self.gains, self.groups, self.rests, self.kind_of_row, None, self.late_bits)
 
     @staticmethod
     def _found(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +341,7 @@ class Pairs:
         return at, sorted_codes[at] == codes if len(sorted_codes) else np.zeros(len(codes), bool)
 
     def gain(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """What the word before adds to each word, given its class."""
+        """What the word before adds to each word, given its class; for late pairs, as if they had no feature."""
         out = np.zeros(len(own))
         at, has = self._found(self.groups, before * CLASSES + self.kind_of_row[own])
         out[has] = self.rests[at[has]]
@@ -335,44 +349,83 @@ class Pairs:
         out[has] = self.gains[at[has]]
         return out
 
+    def is_late(self, pairs: np.ndarray) -> np.ndarray:
+        return (self.late_bits[pairs >> 6] >> (pairs & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
 def pair_weights(coded: DataFrame, vocabulary: Vocabulary) -> Pairs:
     """Weights of all pairs of an own or frequent word and an own word after it, from all training text."""
-    kinds, rows = vocabulary.kind_of_row, vocabulary.rows
+    kinds, rows, spark = vocabulary.kind_of_row, vocabulary.rows, coded.sparkSession
+    scratch = Scratch(spark)
 
     def codes(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         _, one, own, once, _ = tokens_of(texts, kinds)
         # the row before decides; words after it without a row of their own count for their class alone
         return [(one * rows + own, np.where(once, 0.5, 1.0))]
 
-    counted = written(_summed(coded, codes, "pair"), "pairs")
-    row, before = F.pmod("pair", F.lit(rows)), F.floor(F.col("pair") / rows)
-    group_of = (before * CLASSES + F.element_at(F.lit(kinds.tolist()), (row + 1).cast("int"))).alias("group")
-    strong = counted.filter((row >= 2 * CLASSES) & (F.col("n") >= LEAST_PAIR)).orderBy(F.desc("n"), "pair").limit(MOST_PAIRS)
-    strong = written(strong.select("pair", "n", group_of), "strong-pairs")
-    # how much of each class comes after each row that has such a pair
-    whole = counted.groupBy(group_of).agg(F.sum("n").alias("n")).join(strong.select("group").distinct(), "group", "left_semi")
-
-    def held(table: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys in order and their counts; bounded by MOST_PAIRS."""
-        found = table.select(key, "n").toArrow()
-        keys, n = (found.column(c).to_numpy() for c in (key, "n"))
+    counted = scratch.written(_summed(coded, codes, "pair"), "pairs")
+    plain = np.zeros(rows)
+    plain[2 * CLASSES :] = vocabulary.own_counts / vocabulary.mass[kinds[2 * CLASSES :]]
+    of_rows = spark.createDataFrame(list(zip(range(rows), kinds.tolist(), plain.tolist(), strict=True)), "row bigint, kind bigint, plain double")
+    placed = counted.withColumn("row", F.pmod("pair", F.lit(rows))).join(F.broadcast(of_rows), "row").select(
+        "pair", "n", "plain", (F.floor(F.col("pair") / rows) * CLASSES + F.col("kind")).alias("group"),
+        ((F.col("row") >= 2 * CLASSES) & (F.col("n") >= LEAST_PAIR)).alias("strong"),
+    )
+    # of each class after each row that has such a pair; a class that is covered as a whole keeps to its counts
+    taken, covered = F.sum(F.when(F.col("strong"), F.col("n") - DISCOUNT)), F.sum(F.when(F.col("strong"), F.col("plain")))
+    whole = placed.groupBy("group").agg(F.sum("n").alias("total"), taken.alias("taken"), covered.alias("covered")).filter(F.col("covered") < 1 - 1e-6)
+    rest = F.log((1 - F.col("taken") / F.col("total")) / (1 - F.col("covered")))
+    whole = written(whole.select("group", "total", rest.alias("rest")), "pair-groups")
+    # rows times classes of them at most, whatever the input
+    strong = placed.filter("strong").join(F.broadcast(whole), "group")
+    gain = F.log((F.col("n") - DISCOUNT) / F.col("total") / F.col("plain"))
+    size = F.floor(F.log2("n") * 16).alias("size")
+    strong = written(strong.select("pair", size, gain.alias("gain"), (gain - F.col("rest")).alias("more")), "strong-pairs")
+    scratch.drop_all()
+
+    sizes = sorted(((r["size"], r["count"]) for r in strong.groupBy("size").count().collect()), reverse=True)
+    least, room = math.inf, MOST_PAIRS
+    for of_size, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        least = of_size
+
+    def held(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order and their values."""
+        found = table.select(key, value).toArrow()
+        keys, values = (found.column(c).to_numpy() for c in (key, value))
         order = np.argsort(keys, kind="stable")
-        return keys[order], n[order]
-
-    pair, n = held(strong, "pair")
-    groups, totals = held(whole, "group")
-    one, own = pair // rows, pair % rows
-    group = one * CLASSES + kinds[own]
-    at = np.searchsorted(groups, group)
-    plain = vocabulary.own_counts[own - 2 * CLASSES] / vocabulary.mass[kinds[own]]
-    share = (n - DISCOUNT) / totals[at]
-    taken, covered = (np.bincount(at, x, minlength=len(groups)) for x in (share, plain))
-    # a class that is covered as a whole keeps to its counts
-    sound = covered < 1 - 1e-6
-    kept = sound[at]
-    rests = np.log((1 - taken[sound]) / (1 - covered[sound]))
-    return Pairs(pair[kept], np.log(share[kept] / plain[kept]), groups[sound], rests, kinds)
+        return keys[order], values[order]
+
+    late = late_bits = None
+    if room < 0:
+        late = strong.filter(F.col("size") < least).select("pair", F.col("more").alias("gain"))
+        bit = F.expr("bit_or(shiftleft(1L, CAST(pair & 63 AS INT)))")
+        words, bits = held(late.groupBy(F.shiftright("pair", 6).alias("word")).agg(bit.alias("bits")), "word", "bits")
+        late_bits = np.zeros(rows * rows // 64 + 1, np.uint64)  # a bit for each pair of rows
+        late_bits[words] = bits.view(np.uint64)
+    return Pairs(*held(strong.filter(F.col("size") >= least), "pair", "gain"), *held(whole, "group", "rest"), kinds, late, late_bits)
+
+
+def late_gains(coded: DataFrame, late: DataFrame, pairs: Broadcast[Pairs]) -> DataFrame:
+    """``at, late``: by text, the sum of what the pairs in ``late`` add; texts without such pairs are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pairs.value.kind_of_row
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                _, one, own, _, sizes = tokens_of(part.column("rows").to_pylist(), kinds)
+                codes = one * len(kinds) + own
+                found = np.flatnonzero(pairs.value.is_late(codes))
+                at = np.repeat(part.column("at").to_numpy(), sizes)[found]
+                for k in range(0, len(found), 100_000):
+                    some = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(codes[found[some]])], names=["at", "pair"])
+
+    met = coded.select("at", "rows").mapInArrow(run, "at bigint, pair bigint").join(late, "pair")
+    return met.groupBy("at").agg(F.sum("gain").alias("late"))
 
 
 class Weights:
@@ -498,7 +551,8 @@ def score(docs: DataFrame) -> DataFrame:
     known = vocabulary.kind_of_row[: vocabulary.histories]
     weights, _ = train(*history_counts(coded, vocabulary), known)
     past, context = vocabulary.past, docs.sparkSession.sparkContext
-    values, pairs = context.broadcast(weights.values), context.broadcast(pair_weights(coded, vocabulary))
+    weighed = pair_weights(coded, vocabulary)
+    values, pairs = context.broadcast(weights.values), context.broadcast(weighed.sent())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Weights(known, values.value)
@@ -506,9 +560,13 @@ def score(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 gained = score_texts(part.column("rows").to_pylist(), model, past, pairs.value) / math.log(10)
-                names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+                names = ["at", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
                 total = part.column("within_score").to_numpy() + gained
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(total)], names=[*names, "score"])
 
-    scored = coded.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = coded.mapInArrow(run, "at bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    if weighed.late is not None:
+        added = late_gains(coded, weighed.late, pairs)
+        total = F.col("score") + F.coalesce("late", F.lit(0.0)) / math.log(10)
+        scored = scored.join(added, "at", "left").withColumn("score", total)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -134,6 +134,27 @@ def test_scores_equal_a_plain_reading(spark, table, monkeypatch):
         assert sorted(asked[d]) == pytest.approx(sorted(want[d]), rel=1e-4), d
 
 
+def test_pairs_that_are_not_sent_out_count_as_well(spark, table, monkeypatch):
+    monkeypatch.setattr(maxent, "STEPS", 1)
+
+    def scores():
+        found = defaultdict(list)
+        for r in maxent.score(table).collect():
+            found[r.doc_id].append(r.score)
+        return found
+
+    vocabulary, coded, _, _ = trained(table)
+    everything, want = maxent.pair_weights(coded, vocabulary), scores()
+    for most in (30, 0):
+        monkeypatch.setattr(maxent, "MOST_PAIRS", most)
+        got = scores()
+        for d in want:
+            assert sorted(got[d]) == pytest.approx(sorted(want[d]), rel=1e-6), d
+        pairs = maxent.pair_weights(coded, vocabulary)
+        assert len(pairs.codes) <= most and len(pairs.codes) + pairs.late.count() == len(everything.codes)
+    assert everything.late is None
+
+
 def test_probabilities_sum_to_one(spark, table):
     texts = [(r.doc_id, r.text) for r in table.collect()]
     _, _, weights, _ = trained(table)
