@@ -376,8 +376,7 @@ def pair_weights(coded: DataFrame, vocabulary: Vocabulary) -> Pairs:
     whole = placed.groupBy("group").agg(F.sum("n").alias("total"), taken.alias("taken"), covered.alias("covered")).filter(F.col("covered") < 1 - 1e-6)
     rest = F.log((1 - F.col("taken") / F.col("total")) / (1 - F.col("covered")))
     whole = written(whole.select("group", "total", rest.alias("rest")), "pair-groups")
-    # rows times classes of them at most, whatever the input
-    strong = placed.filter("strong").join(F.broadcast(whole), "group")
+    strong = placed.filter("strong").join(whole, "group")
     gain = F.log((F.col("n") - DISCOUNT) / F.col("total") / F.col("plain"))
     size = F.floor(F.log2("n") * 16).alias("size")
     strong = written(strong.select("pair", size, gain.alias("gain"), (gain - F.col("rest")).alias("more")), "strong-pairs")
