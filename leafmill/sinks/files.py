@@ -13,7 +13,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import kilobytes, saved_percent
@@ -22,6 +22,8 @@ from leafmill.session import durable
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 #: Bits of every column in a clustering of several, and rows from which their bounds are taken.
 CLUSTER_BITS, SAMPLE_ROWS = 6, 10_000
+#: Slices that a clustered file consists of, at least.
+SLICES_PER_FILE = 4
 
 # Codec and level behind each compaction level.
 LEVELS = {
@@ -205,6 +207,50 @@ def interleaved(df: DataFrame, columns: list[str]) -> Column:
     return place
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how large a row is: the bytes of its strings, and of other values as text if they are nested."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        column, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            column = F.to_json(F.struct(column))
+        elif kind not in ("string", "binary", "char", "varchar"):
+            size = size + 8
+            continue
+        size = size + F.coalesce(F.octet_length(column), F.lit(0))
+    return size
+
+
+def clustered(df: DataFrame, columns: list[str], files: int) -> DataFrame:
+    """Rows by their place on the curve (``interleaved``), in ``files`` partitions of like size in bytes.
+
+    Neither a place with many rows nor one with long rows makes a large partition: a place is cut into
+    slices of a ``SLICES_PER_FILE``-th of a partition, and the slices follow each other until a
+    partition is full.
+    """
+    bits = CLUSTER_BITS * len(columns)
+    at = df.metadataColumn("_metadata")  # where a row stands, which no two rows share
+    spread = F.xxhash64(at["file_path"], at["row_index"])
+    placed = df.select("*", interleaved(df, columns).alias("_place"), spread.alias("_spread"), _row_bytes(df).alias("_bytes"))
+    # the first bits alone, so that there are 4,096 sums at most for any number of columns
+    coarse = F.shiftright("_place", max(0, bits - 2 * CLUSTER_BITS))
+    sums = placed.groupBy(coarse.alias("_coarse")).agg(F.sum("_bytes").alias("_bytes"))
+    earlier = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.greatest(F.lit(1.0), F.sum("_bytes").over(Window.partitionBy()) / files)  # bytes of a partition
+    cuts = sums.select(
+        "_coarse",
+        (F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)) / part).alias("_start"),
+        (F.col("_bytes") / part).alias("_share"),
+        F.greatest(F.lit(1), F.ceil(F.col("_bytes") / part * SLICES_PER_FILE)).alias("_slices"),
+    )
+    slice_no = F.pmod("_spread", F.col("_slices"))
+    file_no = F.least(F.lit(files - 1), F.floor(F.col("_start") + F.col("_share") * slice_no / F.col("_slices"))).cast("int")
+    dealt = placed.drop("_bytes").withColumn("_coarse", coarse).join(F.broadcast(cuts), "_coarse").withColumn("_file", file_no)
+    order = columns if len(columns) == 1 else ["_place"]
+    sorted_ = dealt.repartitionById(files, "_file").sortWithinPartitions(*order)
+    return sorted_.drop("_place", "_spread", "_coarse", "_start", "_share", "_slices", "_file")
+
+
 def compact_dataset(
     spark: SparkSession, path: str, out: str, level: str = "medium", cluster_by: list[str] | None = None
 ) -> DataFrame:
@@ -213,20 +259,14 @@ def compact_dataset(
     The number of files follows from the size before; rows are dealt to them by a shuffle, so that
     as many tasks read as the input has splits. With ``cluster_by`` rows close in those columns, in
     several at once by a curve through them, come into the same files and row groups, which a
-    filter on any of them then skips by their statistics.
+    filter on any of them then skips by their statistics; the files are of like size before compression.
     """
     refuse_in_place(spark, path, out)
     codec, codec_level = LEVELS[level]
     before = dataset_bytes(spark, path).first()["bytes"]
     files = max(1, math.ceil(before / TARGET_FILE_BYTES))
     df = spark.read.parquet(path)
-    if not cluster_by:
-        placed = df.repartition(files)
-    elif len(cluster_by) == 1:
-        placed = df.repartitionByRange(files, *cluster_by).sortWithinPartitions(*cluster_by)
-    else:
-        key = interleaved(df, cluster_by)
-        placed = df.withColumn("_place", key).repartitionByRange(files, "_place").sortWithinPartitions("_place").drop("_place")
+    placed = clustered(df, cluster_by, files) if cluster_by else df.repartition(files)
 
     def write(staged: str) -> None:
         writer = placed.write.option("compression", codec)

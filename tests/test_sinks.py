@@ -5,7 +5,7 @@ import os
 import pytest
 
 from leafmill.operators.extract import extract_links, table_rows
-from leafmill.sinks import compact_dataset, export_links_txt, export_tables_csv, write_derived
+from leafmill.sinks import compact_dataset, export_links_txt, export_tables_csv, files, write_derived
 from leafmill.sources import documents, file_inventory, pages
 
 
@@ -128,6 +128,29 @@ def test_clustering_lets_row_groups_be_skipped(spark, tmp_path):
         assert touched(src, column, 400) == 1 and touched(out, column, 400) < 0.5
 
 
+@pytest.mark.parametrize("by", [["kind"], ["kind", "size"]])
+def test_clustered_files_are_of_like_size(spark, tmp_path, monkeypatch, by):
+    """One value with half the rows, and one row in a hundred with nine tenths of the bytes."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    text = "array_join(transform(sequence(1, IF(id % 100 = 0, 900, 1)), i -> md5(concat(id, ' ', i))), '')"
+    rows = spark.range(20_000).selectExpr("id", "IF(id % 2 = 0, 'same', concat('k', id % 40)) kind", f"{text} text").selectExpr("*", "length(text) size")
+    rows.repartition(6).write.parquet(src)
+    whole = sum(os.path.getsize(p) for p in glob.glob(f"{src}/part-*"))
+    monkeypatch.setattr(files, "TARGET_FILE_BYTES", whole / 8)
+    compact_dataset(spark, src, out, "medium", by)
+    written = spark.read.parquet(out)
+    assert written.exceptAll(spark.read.parquet(src)).count() == 0 and written.count() == 20_000
+    sizes = sorted(r[0] for r in written.groupBy("_metadata.file_path").agg({"size": "sum"}).select("sum(size)").collect())
+    assert 7 <= len(sizes) <= 8 and sizes[-1] < 1.6 * sum(sizes) / 8
+
+
+def test_clustering_of_no_rows(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(0).selectExpr("id", "'x' `a.b`", "array(id) c", "id `d``e`").write.parquet(src)
+    compact_dataset(spark, src, out, "low", ["id", "c"])
+    assert spark.read.parquet(out).columns == ["id", "a.b", "c", "d`e"] and spark.read.parquet(out).count() == 0
+
+
 def test_clustering_by_columns_without_values(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     spark.range(9).selectExpr("id", "CAST(NULL AS INT) a", "CASE WHEN id > 4 THEN 'z' END b").write.parquet(src)
