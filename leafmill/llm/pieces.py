@@ -21,12 +21,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.batches import WordIds, lists, shared_bytes, text_slices, texts_of
+from leafmill.llm.batches import WordIds, give_back, lists, shared_bytes, size_slices, text_slices, texts_of
 
 MARK = "▁"
 # Field numbers of the model file (ModelProto, its pieces and its normaliser).
@@ -35,6 +36,10 @@ PIECE_TEXT, PIECE_TYPE = 1, 3
 CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
 USER_DEFINED, BYTE = 4, 6
 UNKNOWN_TYPE = 2
+# What a worker holds at once, beside one text: words it knows, bytes of text it cuts, ids it decodes.
+# An executor runs two workers per task, and each comes to hold the words when it is used again.
+KEPT_WORDS = 200_000
+SLICE_BYTES, SLICE_IDS = 1 << 18, 1 << 16
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -139,7 +144,7 @@ class Codec:
         self.marked = apart and self.prefix and not self.squeeze
         # where no piece holds a line feed, nothing merges across one
         self.lines = self.marked and not any(b"\n" in p[PIECE_TEXT] for p in pieces)
-        self.known = WordIds(lambda words: self.cutter.encode(list(map(self._whole, words)), num_threads=1))
+        self.known = WordIds(lambda words: self.cutter.encode(list(map(self._whole, words)), num_threads=1), limit=KEPT_WORDS)
 
     def _whole(self, word: str) -> str:
         return word if not self.marked or self.lines and word[:1] == "\n" else MARK + word
@@ -250,47 +255,60 @@ def _with_columns(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
 
 
+def _without(schema: T.StructType, columns: list[str], gone: str | None) -> tuple[T.StructType, list[int]]:
+    """``schema`` without ``gone``, and the places of the other ``columns``."""
+    places = [i for i, c in enumerate(columns) if c != gone]
+    return T.StructType([schema.fields[i] for i in [*places, *range(len(columns), len(schema.fields))]]), places
+
+
 def _codec(model: Callable[[], bytes], kept: dict = {}) -> Codec:  # noqa: B006  one per worker process
     data = model()
-    if kept.get("data") is not data:
+    if kept.get("data") != data:  # not one more codec for another broadcast of the same model
+        kept.clear()
         kept.update(data=data, codec=Codec(data))
     return kept["codec"]
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text", piece_ids: str = "ids",
-           starts: str = "piece_starts", ends: str = "piece_ends") -> DataFrame:
+           starts: str = "piece_starts", ends: str = "piece_ends", keep_text: bool = True) -> DataFrame:
     """Adds the piece ids of ``text`` and the bytes of the source that each piece covers.
 
     Span i is ``[starts[i], ends[i])`` in UTF-8; spans follow each other and cover the text but for
     what normalisation removes. Ids equal the library's, without begin and end ids or sampling.
+    Without ``keep_text`` the text itself is not returned.
     """
     model = shared_bytes(df.sparkSession, model_path)
     numbers = T.ArrayType(T.IntegerType(), False)
     schema = _with_columns(df.schema, **{piece_ids: numbers, starts: numbers, ends: numbers})
+    schema, kept = _without(schema, df.columns, None if keep_text else text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SLICE_BYTES):
                 ids, begin, end, counts = codec.encode(texts_of(part, text))
                 new = [lists(x.astype(np.int32), counts, pa.int32()) for x in (ids, begin, end)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, piece_ids, starts, ends])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *new], names=schema.names)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, model_path: str, piece_ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the text of ``piece_ids``; null and no ids give the empty text."""
+def decode(df: DataFrame, model_path: str, piece_ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
+    """Adds the text of ``piece_ids``; null and no ids give the empty text.
+
+    Without ``keep_ids`` the ids themselves are not returned.
+    """
     model = shared_bytes(df.sparkSession, model_path)
-    schema = _with_columns(df.schema, **{text: T.StringType()})
+    schema, kept = _without(_with_columns(df.schema, **{text: T.StringType()}), df.columns, None if keep_ids else piece_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in size_slices(batch, pc.list_value_length(batch.column(piece_ids)), SLICE_IDS):
                 found = [codec.decode(x or []) for x in part.column(piece_ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, text])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(found, pa.string())], names=schema.names)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -300,7 +318,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     ``span_bytes`` is the number of source bytes that the pieces cover.
     """
-    coded = encode(docs.select("doc_id", "text"), model_path).select(
+    coded = encode(docs.select("doc_id", "text"), model_path, keep_text=False).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -311,6 +329,6 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
             lambda x, y: x + y,
         ).alias("span_bytes"),
     )
-    return decode(coded, model_path).select(
+    return decode(coded, model_path, keep_ids=False).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "span_bytes"
     )

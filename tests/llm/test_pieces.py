@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import Row
 
 from leafmill.llm import pieces
+from leafmill.llm.batches import WordIds, size_slices
 from leafmill.llm.pieces import NORMALIZER_FIELD, Codec, fields
 from leafmill.llm.queries import PIECE_MODEL
 
@@ -93,3 +97,62 @@ def test_no_rows_and_long_texts(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     row = pieces.encode_digests(spark.createDataFrame([(1, long), (1, long)], kind), PIECE_MODEL).collect()[1]
     assert row.n_tokens == len(library.encode(long))
+
+
+GROWTH = """
+import re, sys
+sys.path[:0] = {path!r}
+import pyarrow as pa
+from leafmill.llm import pieces
+from leafmill.llm.batches import text_slices, texts_of
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+codec = pieces.Codec(open({model!r}, "rb").read())
+before, most = held(), 0
+for n in range(60):
+    texts = [" ".join(f"w{{(n * 200 + i) * 50 + k:x}}" for k in range(50)) for i in range(200)]
+    for part in text_slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text", getattr(pieces, "SLICE_BYTES", 1 << 20)):
+        codec.encode(texts_of(part, "text"))
+    most = max(most, held())
+print(most - before)
+"""
+
+
+def test_many_words_take_bounded_memory():
+    """Four workers and the heap share an executor."""
+    code = GROWTH.format(path=sys.path, model=PIECE_MODEL)
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 95
+
+
+def test_long_words_are_forgotten_sooner():
+    known = WordIds(lambda words: [list(w) for w in words], limit=10)
+    for n in range(50):
+        word = bytes([n]) * 100
+        ids, counts = known.of([word])
+        assert ids.tolist() == list(word) and counts.tolist() == [100]
+    assert len(known.number) <= 3 and known.used <= 300
+
+
+def test_another_copy_of_the_model_takes_no_other_codec():
+    assert pieces._codec(lambda: bytes(bytearray(MODEL))) is pieces._codec(lambda: bytes(bytearray(MODEL)))
+
+
+def test_slices_follow_the_number_of_ids():
+    lists = pa.array([[1] * 60, None, [], [1] * 60, [1] * 500, [1]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([lists], ["ids"])
+    parts = [p.column(0).to_pylist() for p in size_slices(batch, lists.value_lengths(), 100)]
+    assert [x for p in parts for x in p] == lists.to_pylist()
+    assert [sum(len(x or []) for x in p) for p in parts] == [60, 60, 501]
+    assert not list(size_slices(batch.slice(0, 0), lists.value_lengths().slice(0, 0), 100))
+
+
+def test_text_and_ids_can_be_left_out(spark):
+    df = spark.createDataFrame([(1, "many words", "x"), (2, None, "y"), (3, "", "z"), (4, "ä" * 90, "x")], "id int, text string, more string")
+    coded = pieces.encode(df, PIECE_MODEL, keep_text=False)
+    assert coded.columns == ["id", "more", "ids", "piece_starts", "piece_ends"]
+    found = pieces.decode(coded, PIECE_MODEL, keep_ids=False)
+    assert found.columns == ["id", "more", "piece_starts", "piece_ends", "decoded"]
+    rows = {r.id: (r.more, r.decoded) for r in found.collect()}
+    assert rows == {1: ("x", "many words"), 2: ("y", ""), 3: ("z", ""), 4: ("x", "ä" * 90)}
